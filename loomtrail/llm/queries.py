@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, quality, simhash
+from . import decontaminate, exact_dedup, html, line_dedup, lm_score, mixing, quality, simhash, substring_dedup, urls
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read(spark, sf_dir, "pages"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+#: The rules of the URL query: verdict, host and path prefix.
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), RULES)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -39,6 +51,37 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP6_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+s AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+w AS (
+  SELECT doc_id, pos, lead(pos, 1) OVER d AS pos1, lead(pos, 2) OVER d AS pos2,
+         line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS said
+  FROM s WHERE line <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY said ORDER BY doc_id, pos) AS nth FROM w WHERE said IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, unnest([pos, pos1, pos2]) AS pos FROM r WHERE nth > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(c.pos) AS n_removed,
+       coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE c.pos IS NULL), '') AS text
+FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.pos = l.pos GROUP BY l.doc_id
+"""
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents")).drop("tag")
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -49,9 +92,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = (op2_quality_classifier, op4_decontaminate, op5_exact_dedup, op9_mix_sources, op10_simhash_dedup)
+    named = (
+        op1_html_extraction, op2_quality_classifier, op3_url_filter, op4_decontaminate, op5_exact_dedup,
+        op6_line_dedup, op7_substring_dedup, op8_lm_score, op9_mix_sources, op10_simhash_dedup,
+    )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
