@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregate_queries, sequence_queries
+from .registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def tool_usage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    by_tool = events.groupBy(F.col("event_type").alias("tool")).agg(F.count("*").alias("calls"))
-    return by_tool
+_PARTS = (aggregate_queries.catalog, sequence_queries.catalog)
 
 
 def queries() -> dict[str, Query]:
-    return {"tool_usage_profile": tool_usage_profile}
+    return {name: f for part in _PARTS for name, f in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"tool_usage_profile": "SELECT event_type AS tool, count(*) AS calls FROM events GROUP BY event_type"}
+    return {name: sql for part in _PARTS for name, sql in part.sql.items()}
