@@ -100,7 +100,7 @@ def _patched(text: str) -> list[tuple]:
 
 def _hunks(content: str, exact: bool, body: str) -> tuple[str, bool]:
     for hunk in re.split(r"^@@.*$", body, flags=re.M):
-        lines = [x for x in hunk.splitlines() if x[:1] in " +-"]
+        lines = [x for x in hunk.splitlines() if x and x[0] in " +-"]
         old = "".join(x[1:] + "\n" for x in lines if x[0] in " -")
         new = "".join(x[1:] + "\n" for x in lines if x[0] in " +")
         if lines and old in content:
