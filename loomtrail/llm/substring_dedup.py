@@ -17,7 +17,7 @@ from .tokens import pieces, split_words, xxh64
 #: Bytes that the gear hash looks back, hash bits that must be zero at a cut, words of a chunk at most.
 LOOK_BACK, CUT_BITS, MOST = 16, 2, 64
 #: Words of consecutive repeated chunks from which on a passage counts.
-LEAST_WORDS = 20
+LEAST_WORDS = 30
 _GEAR = np.random.default_rng(42).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -85,12 +85,12 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, tag, first_doc_id, start_word, end_word, n_words) of each passage that occurred before.
+    """(doc_id, tag, first_doc_ids, start_word, end_word, n_words) of each passage that occurred before.
 
     Chunks with one digest are the same text but for case and white space. The first occurrence is in the
     document with the smallest id (null last), then content tag, then place; consecutive chunks of which
-    each occurred before make a passage, which counts from ``least_words`` words on. first_doc_id is where
-    the first of its chunks is first found. Words are counted from 0, end_word is the one after. A passage
+    each occurred before make a passage, which counts from ``least_words`` words on. first_doc_ids are the
+    documents in which its chunks are first found, each once. Words are counted from 0, end_word is the one after. A passage
     of w words always has the chunks that lie whole in it, about w - 10 words.
 
     Counts and first places are summed up before the shuffle; the join back
@@ -116,10 +116,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 for a, b in zip([0, *breaks], [*breaks, len(k)], strict=True):
                     start, end = int(ends[k[a]] - words[k[a]]), int(ends[k[b - 1]])
                     if end - start >= least_words:
-                        out.append((i, tag, marked[a]["first_id"], start, end, end - start))
-            yield pd.DataFrame(out, columns=["doc_id", "tag", "first_doc_id", "start_word", "end_word", "n_words"])
+                        out.append((i, tag, list(dict.fromkeys(m["first_id"] for m in marked[a:b])), start, end, end - start))
+            yield pd.DataFrame(out, columns=["doc_id", "tag", "first_doc_ids", "start_word", "end_word", "n_words"])
 
-    return joined.mapInPandas(runs, "doc_id long, tag long, first_doc_id long, start_word long, end_word long, n_words long")
+    return joined.mapInPandas(runs, "doc_id long, tag long, first_doc_ids array<long>, start_word long, end_word long, n_words long")
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:

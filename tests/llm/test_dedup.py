@@ -150,10 +150,10 @@ def test_passages_that_repeat_are_found(spark):
     passage = [prose(1000 + i, 60) for i in range(30)]
     rows = [(i, f"{prose(i, 80)} {passage[i % 30]} {prose(500 + i, 70)}") for i in range(60)] + [(100, None), (101, ""), (102, "short"), (100, None)]
     found = substring_dedup.repeated_passages(frame(spark, rows)).collect()
-    pairs = {(r["first_doc_id"], r["doc_id"]) for r in found}
+    pairs = {(i, r["doc_id"]) for r in found for i in r["first_doc_ids"]}
     assert pairs == {(i, i + 30) for i in range(30)}
     for r in found:
-        assert 80 - 1 <= r["start_word"] and r["end_word"] <= 141 and r["n_words"] == r["end_word"] - r["start_word"] >= 20
+        assert 80 - 1 <= r["start_word"] and r["end_word"] <= 141 and r["n_words"] == r["end_word"] - r["start_word"] >= 30
     left = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeated_passages(frame(spark, rows)).collect()}
     assert left[3] == rows[3][1] and left[100] is None
     assert len(left[33].split()) < 185 and set(left[33].split()) <= set(rows[33][1].split())
