@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import content_tag, cut, fresh, text_of
 
 #: Documents that a leaf of the tree rounds, and children of a node above.
-LEAF, FAN = 20_000, 256
+LEAF, FAN = 1_000, 256
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
 
     size counts the words of the text (null: 0). Every document of a source has target / source_size
     expected copies; the whole part is given to all, the fraction is rounded by the pivotal method. Leaves
-    are groups of about 20,000 documents of a source, dealt by a hash of id and text, so that a source with
+    are groups of about 1,000 documents of a source, dealt by a hash of id and text, so that a source with
     a third of all rows has many. Each leaves one open document at most; those meet in nodes of 256
     until one is left, which is drawn alone. Words taken differ from the target by one document at most.
     Draws are hashes of id, text and ``seed``: reruns agree, however rows are partitioned. Documents
