@@ -72,7 +72,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = cut(_signatures(docs, id_col, text_col, _digest(text)))
     alive = _survivors(rows).withColumn("alive", F.lit(True))
     marked = rows.join(alive, ["length", "prefix"], "left")
-    groups = _decide(marked.where("alive"))
+    # cut, so that the join has an exchange of its own, which may be split where a group is large
+    groups = cut(_decide(marked.where("alive")))
     joined = marked.join(groups, "digest", "left")
     mine = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tag") == F.col("keep_tag"))
     single = F.col("group_size").isNull()
@@ -96,7 +97,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     alive = cut(_survivors(rows))
     again = _signatures(docs, id_col, text_col, text).join(alive, ["length", "prefix"], "left_semi")
     full = cut(again.withColumn("digest", F.sha2(without_spaces(F.col("digest")).cast("binary"), 256)))
-    groups = _decide(full)
+    groups = cut(_decide(full))
     same = groups["keep_id"].eqNullSafe(full["id"]) & (groups["keep_tag"] == full["tag"]) & (groups["digest"] == full["digest"])
     best = groups.join(full, same).groupBy(groups["keep_id"], groups["keep_tag"]).agg(F.count("*").alias("keep_n"))
     single = rows.join(alive, ["length", "prefix"], "left_anti").select(
