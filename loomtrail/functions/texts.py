@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +22,19 @@ def requirement_candidates(instruction: Column, most: int = 30, least_width: int
     marked = F.regexp_replace(instruction, r"(?<=[.!?])\s+(?=\S)|(?<=[。！？；])|\n+", "\u0000")
     parts = F.transform(F.split(marked, "\u0000"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s+", "")))
     wide = F.filter(parts, lambda x: width(x) >= least_width)
-    keyed = F.transform(wide, lambda x, i: F.struct((~x.rlike(HINTS)).alias("plain"), i.alias("at"), x.alias("text")))
-    once = F.filter(keyed, lambda k: F.array_position(F.transform(wide, lambda y: F.lower(y)), F.lower(k["text"])) == k["at"] + 1)
+
+    def first_of_each(sides: Column) -> Column:
+        places = F.transform(F.array_distinct(sides["lower"]), lambda x: F.array_position(sides["lower"], x).cast("int"))
+        return F.transform(places, lambda at: F.struct((~F.element_at(sides["text"], at).rlike(HINTS)).alias("plain"), at.alias("at"), F.element_at(sides["text"], at).alias("text")))
+
+    once = bound(wide, lambda w: bound(F.struct(w.alias("text"), F.transform(w, lambda x: F.lower(x)).alias("lower")), first_of_each))
     chosen = F.slice(F.array_sort(once), 1, most)
-    in_order = F.array_sort(F.transform(chosen, lambda k: F.struct(k["at"], k["text"])))
-    return F.transform(in_order, lambda k: k["text"])
+    return F.transform(F.array_sort(F.transform(chosen, lambda k: F.struct(k["at"], k["text"]))), lambda k: k["text"])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it within lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def split_metadata(text: Column, most: int = 2000) -> Column:
