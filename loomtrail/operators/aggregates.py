@@ -180,3 +180,23 @@ def data_card(runs: DataFrame, facets: Sequence[str]) -> DataFrame:
         own = F.col("_set") == (1 << n) - 1 - (1 << (n - 1 - i))
         facet, value = F.when(own, F.lit(f)).otherwise(facet), F.when(own, F.col(f)).otherwise(value)
     return grouped.select(facet.alias("facet"), value.alias("value"), "count")
+
+
+def reward_labels(rewards: DataFrame) -> DataFrame:
+    """Imported reward sets: decks, masked ones, latest import, and the one root or else the folder above the first."""
+    roots = F.when(F.countDistinct("root") == 1, F.min("root")).otherwise(F.regexp_replace(F.min("root"), "/[^/]*$", ""))
+    return rewards.groupBy("label").agg(F.count("*").alias("decks"), F.count_if("masked").alias("masked"), F.max("imported_at").alias("imported_at"), roots.alias("root"))
+
+
+def component_usage(traces: DataFrame, top: int = 60) -> DataFrame:
+    """Components (kind, name) over runs: runs that have one, call one, name one or do either; one count a run."""
+    used, named = F.size("calls") > 0, F.size("mentions") > 0
+    each = traces.groupBy("kind", "name", "run_id").agg(F.bool_or(used).alias("c"), F.bool_or(named).alias("m"))
+    sums = each.groupBy("kind", "name").agg(F.count("*").alias("present"), F.count_if("c").alias("called"), F.count_if("m").alias("named"), F.count_if(F.col("c") | F.col("m")).alias("any_use"))
+    return sums.orderBy(F.desc("any_use"), F.desc("present"), "kind", "name").limit(top)
+
+
+def phase_shares(steps: DataFrame, phase: str = "phase") -> DataFrame:
+    """(run_id, phase, steps, share) of steps by the phase that they are in."""
+    total = F.sum("steps").over(Window.partitionBy("run_id"))
+    return steps.where(F.col(phase).isNotNull()).groupBy("run_id", F.col(phase).alias("phase")).agg(F.count("*").alias("steps")).withColumn("share", F.round(F.col("steps") / total, 3))

@@ -104,3 +104,9 @@ def spawning_calls(children: DataFrame, calls: DataFrame) -> DataFrame:
     launch = F.when(F.col("by_call.parent_run") != F.col("run_id"), F.col("by_call"))
     named = F.when(F.col("by_name.parent_run") != F.col("run_id"), F.col("by_name"))
     return joined.withColumn("launch", F.coalesce(launch, named)).select(*children.columns, F.col("launch.parent_run").alias("launched_by"), F.col("launch.step").alias("launched_at"))
+
+
+def related_runs(wanted: DataFrame, runs: DataFrame) -> DataFrame:
+    """For a stated set of runs those of other episodes with the same task."""
+    mine = wanted.where(F.col("task_key").isNotNull()).select(F.col("run_id").alias("of_run"), "task_key", F.col("episode_key").alias("_own"))
+    return runs.join(mine, "task_key").where(F.col("episode_key") != F.col("_own")).drop("_own")

@@ -198,3 +198,24 @@ def task_keys(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("""SELECT o_orderkey, CASE WHEN o_totalprice / 200000 >= 1 THEN 'pass' WHEN o_totalprice / 200000 <= 0 THEN 'fail' ELSE 'partial' END AS status FROM orders""")
 def score_statuses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", scalars.score_status(F.col("o_totalprice") / 200000).alias("status"))
+
+
+@catalog.query("""WITH r AS (SELECT o_orderstatus AS label, o_orderkey % 9 = 0 AS masked, o_custkey AS imported_at, '/runs/' || CASE WHEN o_orderstatus = 'P' THEN 'only' ELSE o_orderpriority END AS root FROM orders)
+SELECT label, count(*) AS decks, count(*) FILTER (WHERE masked) AS masked, max(imported_at) AS imported_at, CASE WHEN count(DISTINCT root) = 1 THEN min(root) ELSE regexp_replace(min(root), '/[^/]*$', '') END AS root FROM r GROUP BY label""")
+def reward_labels(spark: SparkSession, d: str) -> DataFrame:
+    root = F.concat(F.lit("/runs/"), F.when(F.col("o_orderstatus") == "P", "only").otherwise(F.col("o_orderpriority")))
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("label"), (F.col("o_orderkey") % 9 == 0).alias("masked"), F.col("o_custkey").alias("imported_at"), root.alias("root"))
+    return a.reward_labels(rows)
+
+
+@catalog.query(f"""WITH {CALLS}, t AS (SELECT run_id, tool, bool_or(weight > 90) AS c, bool_or(is_error) AS m FROM calls GROUP BY ALL)
+SELECT 'tool' AS kind, tool AS name, count(*) AS present, count(*) FILTER (WHERE c) AS called, count(*) FILTER (WHERE m) AS named, count(*) FILTER (WHERE c OR m) AS any_use FROM t GROUP BY tool""")
+def component_usage(spark: SparkSession, d: str) -> DataFrame:
+    some = lambda when: F.when(when, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return a.component_usage(calls(spark, d).select("run_id", F.lit("tool").alias("kind"), F.col("tool").alias("name"), some(F.col("weight") > 90).alias("calls"), some(F.col("is_error")).alias("mentions")))
+
+
+@catalog.query(f"""WITH {CALLS}, c AS (SELECT run_id, tool AS phase, count(*) AS steps FROM calls WHERE tool <> 'click' GROUP BY ALL)
+SELECT run_id, phase, steps, round(steps / sum(steps) OVER (PARTITION BY run_id), 3) AS share FROM c""")
+def phase_shares(spark: SparkSession, d: str) -> DataFrame:
+    return a.phase_shares(calls(spark, d).select("run_id", F.when(F.col("tool") != "click", F.col("tool")).alias("phase")))

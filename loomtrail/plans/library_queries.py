@@ -179,3 +179,10 @@ def page_kinds(spark: SparkSession, d: str) -> DataFrame:
     html = F.col("html")
     kind = F.when(html.startswith("Traceback"), "raised").when(scalars.tool_error(html), "error").otherwise("none")
     return table(spark, d, "pages").select("page_id", F.regexp_count(html, F.lit("<p>")).cast("long").alias("paragraphs"), kind.alias("kind"))
+
+
+@catalog.query("""WITH r AS (SELECT doc_id AS run_id, lang AS task_key, source AS episode_key FROM documents)
+SELECT a.run_id AS of_run, b.run_id FROM r a JOIN r b ON a.task_key = b.task_key AND a.episode_key <> b.episode_key WHERE a.run_id % 250 = 0""")
+def related_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("run_id"), F.col("lang").alias("task_key"), F.col("source").alias("episode_key"))
+    return joins.related_runs(rows.where("run_id % 250 = 0"), rows).select("of_run", "run_id")
