@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +22,11 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     Spark lists and reads the files, so that any store will do. The first rows of a file decide; hidden and vendored
     folders, sidecars, and what lies deeper than eight folders are left out.
     """
-    base = F.lit(root.rstrip("/"))
+    base = re.sub("^[a-z]+:(//)?", "", root.rstrip("/"))
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,json}").text(root)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.trim("value").alias("line"))
     inner = F.regexp_replace(F.col("path"), "^[a-z]+:(//)?", "")
-    rows = rows.withColumn("_inner", F.substring_index(inner, F.regexp_replace(base, "^[a-z]+:(//)?", ""), -1))
+    rows = rows.withColumn("_inner", F.substring_index(inner, base, -1))
     folders = F.split("_inner", "/")
     wanted = ~F.exists(folders, lambda f: f.isin(*VENDORED) | f.startswith(".")) & (F.size(folders) <= MAX_DEPTH + 2) & ~F.element_at(folders, -1).isin(*SIDECARS)
     rows = rows.where(wanted & (F.col("line") != "") & (F.col("block") == 0))

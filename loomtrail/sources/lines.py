@@ -61,3 +61,20 @@ def run_id(path: Column, key: Column | None = None) -> Column:
     """The stable id of a run: 16 hex digits of the digest of its path and key."""
     whole = path if key is None else F.when(key.isNull(), path).otherwise(F.concat(path, F.lit("#"), key))
     return F.substring(F.sha2(whole.cast("binary"), 256), 1, 16)
+
+
+#: Kinds of content parts that may stand as JSON in a string.
+PART_KINDS = ("text", "input_text", "output_text", "image", "image_url", "input_image", "tool_result")
+
+
+def decoded_content(content: Column) -> Column:
+    """A content string that holds a JSON list of known parts as that list; anything else as it is."""
+    inner = F.try_parse_json(F.when(is_text(content), F.try_variant_get(content, "$", "string")))
+    parts = F.try_variant_get(inner, "$", "array<variant>")
+    known = F.forall(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.type", "string").isin(*PART_KINDS), F.lit(False)))
+    return F.when((F.size(parts) > 0) & known, inner).otherwise(content)
+
+
+def arguments(text: Column) -> Column:
+    """A call's arguments as JSON if they begin like it and are; else the text, which marks them as bad if it begins so."""
+    return F.when(F.ltrim(text).rlike(r"^[{\[]"), F.coalesce(F.to_json(F.try_parse_json(text)), text)).otherwise(text)

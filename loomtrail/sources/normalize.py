@@ -145,3 +145,11 @@ def readiness(messages: DataFrame, calls: DataFrame, orphans: DataFrame | None =
     )
     j = j.withColumn("issues", issues).withColumn("ready", ~F.exists("issues", lambda x: x["severity"] == "block"))
     return j.select("run_id", "tokens", "trained_tokens", "context_tokens", "trained_share", "ready", "issues")
+
+
+def request_times(messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """Messages without a stamp get that of the request that they answer: the one sent with as many messages as stand
+    before them. requests: (run_id, message_count, stamp_ms)."""
+    answered = requests.select("run_id", (F.col("message_count") + 1).alias("step"), F.col("stamp_ms").alias("_asked")).groupBy("run_id", "step").agg(F.min("_asked").alias("_asked"))
+    joined = messages.join(answered, ["run_id", "step"], "left")
+    return joined.withColumn("stamp_ms", F.coalesce("stamp_ms", "_asked")).drop("_asked")

@@ -52,3 +52,19 @@ def write_export(rows: DataFrame, runs: DataFrame, path: str, facets: list[str])
     """Sample lines with their data card beside them."""
     write_lines(rows, f"{path}/samples")
     data_card(runs, facets).write.json(f"{path}/data_card")
+
+
+def judge_lines(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """(path, row, line): judge results beside their runs, to be written in the order of path and row."""
+    joined = results.join(runs.select("run_id", "path", "row"), "run_id")
+    return joined.select("path", "row", F.to_json(F.struct(*[c for c in joined.columns if c not in ("path", "row")])).alias("line"))
+
+
+def accepted_lines(samples: DataFrame, gates: DataFrame) -> DataFrame:
+    """Lines of the samples that the gate includes, byte for byte."""
+    return samples.join(gates.where("gate = 'include'").select("sample_id"), "sample_id", "left_semi")
+
+
+def rerun_chains(gates: DataFrame) -> DataFrame:
+    """The chains of samples that weren't included: ids without the number of their context, each once."""
+    return gates.where("gate <> 'include'").select(F.regexp_replace("sample_id", r"_context_\d+$", "").alias("chain")).distinct()

@@ -111,3 +111,50 @@ def test_metrics_and_context(spark, tmp_path):
     m = normalize.metrics(t.messages, t.tool_calls).first()
     assert (m["steps"], m["tool_calls"], m["tool_errors"], m["tools"]) == (4, 2, 1, 2)
     assert normalize.context_estimates(t.messages).orderBy("step").first()["estimate"] == 0
+
+
+def test_contents_arguments_and_request_times(spark):
+    rows = spark.createDataFrame([('"plain"',), (json.dumps(json.dumps([{"type": "text", "text": "in"}])),), (json.dumps(json.dumps([{"type": "odd"}])),)], "x string").withColumn("v", F.parse_json("x"))
+    assert [r[0] for r in rows.select(lines.content_text(lines.decoded_content(F.col("v")))).collect()] == ["plain", "in", '[{"type": "odd"}]']
+    got = spark.createDataFrame([('{"b": 1, "a": 2}',), ("{bad",), ("text",)], "x string").select(lines.arguments(F.col("x"))).collect()
+    assert [r[0] for r in got] == ['{"a":2,"b":1}', "{bad", "text"]
+    m = spark.createDataFrame([("r", 1, None), ("r", 2, None), ("r", 3, 9)], "run_id string, step int, stamp_ms long")
+    q = spark.createDataFrame([("r", 1, 5), ("r", 2, 7)], "run_id string, message_count int, stamp_ms long")
+    assert [r["stamp_ms"] for r in normalize.request_times(m, q).orderBy("step").collect()] == [None, 5, 9]
+
+
+def test_exports(spark):
+    from loomtrail.sources import sinks
+
+    gates = spark.createDataFrame([("a_context_1", "include"), ("b_context_1", "review"), ("b_context_2", "exclude")], "sample_id string, gate string")
+    assert [r["chain"] for r in sinks.rerun_chains(gates).collect()] == ["b"]
+    samples = spark.createDataFrame([("a_context_1", "x"), ("b_context_1", "y")], "sample_id string, line string")
+    assert [r["line"] for r in sinks.accepted_lines(samples, gates).collect()] == ["x"]
+    found = sinks.judge_lines(spark.createDataFrame([("r", 0.5)], "run_id string, p double"), spark.createDataFrame([("r", "f", 3)], "run_id string, path string, row int")).first()
+    assert (found["path"], found["row"], json.loads(found["line"])) == ("f", 3, {"run_id": "r", "p": 0.5})
+    m = spark.createDataFrame([("r", 1, "user", "do", ""), ("r", 2, "tool", "", "hm"), ("r", 3, "assistant", "done", "")], "run_id string, step int, role string, text string, thinking string")
+    c = spark.createDataFrame([("r", 2, 1, "c1", "Bash", "{}", "out")], "run_id string, step int, call_index int, call_id string, raw_name string, input string, result_text string")
+    said = json.loads(sinks.chat_samples(m, c).first()["line"])["messages"]
+    assert [x["role"] for x in said] == ["user", "assistant", "tool", "assistant"] and said[2]["tool_call_id"] == "c1"
+    reviews = spark.createDataFrame([("r", 3, '{"content": "better"}'), ("q", None, "x")], "run_id string, turning_step int, correction string")
+    pair = sinks.corrections(reviews, m).first()
+    assert json.loads(pair["dpo"])["chosen"]["content"] == "better" and json.loads(pair["dpo"])["rejected"]["content"] == "done" and len(json.loads(pair["sft"])["messages"]) == 3
+
+
+def test_discovery_and_rewards(spark, tmp_path):
+    from loomtrail.sources import discover, rewards
+
+    (tmp_path / "a" / "node_modules").mkdir(parents=True)
+    write(tmp_path / "a" / "c.jsonl", [SAMPLE])
+    write(tmp_path / "a" / "node_modules" / "c.jsonl", [SAMPLE])
+    write(tmp_path / "a" / "r.jsonl", [{"type": "session_meta", "payload": {"id": "x"}}])
+    write(tmp_path / "a" / "s.jsonl", [{"type": "user", "sessionId": "s", "message": {"role": "user", "content": "hi"}}])
+    write(tmp_path / "a" / "results.json", [{"messages": []}])
+    found = discover.fingerprint(discover.discover(spark, str(tmp_path / "a"))).collect()
+    assert {r["path"].rsplit("/", 1)[-1]: r["format"] for r in found} == {"c.jsonl": "chat", "r.jsonl": "rollout", "s.jsonl": "session"} and all(len(r["fingerprint"]) == 64 for r in found)
+    for task, text in (("t1", {"ledger": [{"id": "L1", "pass": False, "severity": "bad", "slides": [1]}, {"id": "m", "pass": False, "severity": "monitor"}], "R": 0.75, "tier": 4, "masked": False}), ("t2", {"ledger": [], "R": 0.1, "masked": True}), ("t3", "[broken"), ("_skip", {"ledger": []})):
+        (tmp_path / "w" / "work" / task).mkdir(parents=True)
+        write(tmp_path / "w" / "work" / task / "reward.json", [text])
+    good, errors = rewards.read_rewards(spark, str(tmp_path / "w"), "label")
+    got = {r["task_id"]: (r["r"], r["status"], [f["id"] for f in r["failed"]]) for r in good.collect()}
+    assert got == {"t1": (0.75, "pass", ["L1"]), "t2": (None, "unknown", [])} and [r["task_id"] for r in errors.collect()] == ["t3"]
