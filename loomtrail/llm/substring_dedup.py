@@ -72,16 +72,35 @@ def _chunks(texts: list[str | None], begun: int) -> Chunks:
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each document with arrays of its chunks' digests and of the words in each."""
+    """One row for each document: the words in each of its chunks, the digests of chunks in the order in which each is
+    first found in it, and the places of those that were found in it before."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             c = chunks(batch["text"].tolist())
-            at = np.searchsorted(c.text, np.arange(1, len(batch)))
-            yield pd.DataFrame({"id": batch["id"], "tag": batch["tag"], "digests": np.split(c.digest.view(np.int64), at) if len(batch) else [], "words": np.split(c.words.astype(np.int16), at) if len(batch) else []})
+            at = np.searchsorted(c.text, np.arange(len(batch)))
+            place = np.arange(len(c.text)) - at[c.text]
+            order = np.lexsort((place, c.digest, c.text))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (np.diff(c.text[order]) != 0) | (c.digest[order][1:] != c.digest[order][:-1])
+            first = np.empty(len(order), dtype=bool)
+            first[order] = new
+            yield pd.DataFrame(
+                {
+                    "id": batch["id"],
+                    "tag": batch["tag"],
+                    "words": _by_text(c.words.astype(np.int16), c.text, len(batch)),
+                    "digests": _by_text(c.digest[first].view(np.int64), c.text[first], len(batch)),
+                    "again": _by_text(place[~first].astype(np.int32), c.text[~first], len(batch)),
+                }
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), content_tag(F.col(text_col)).alias("tag"), text_of(F.col(text_col)).alias("text"))
-    return rows.mapInPandas(each, "id long, tag long, digests array<long>, words array<smallint>")
+    return rows.mapInPandas(each, "id long, tag long, words array<smallint>, digests array<long>, again array<int>")
+
+
+def _by_text(values: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+    return np.split(values, np.searchsorted(text, np.arange(1, n))) if n else []
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -93,31 +112,35 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents in which its chunks are first found, each once. Words are counted from 0, end_word is the one after. A passage
     of w words always has the chunks that lie whole in it, about w - 10 words.
 
-    Counts and first places are summed up before the shuffle; the join back
-    may be split by adaptive execution, so that a chunk that a third of all documents have is no hot group.
+    A digest leaves a document once, as what repeats within it is known there. Counts and first places are summed up
+    before the shuffle, so that a chunk that a third of all documents have is no hot group there.
     Null and empty texts have no chunks; rows that repeat an id and a text are one document and make no
     passage by themselves.
     """
     docs_chunks = cut(_chunked(docs, id_col, text_col))
-    rows = docs_chunks.select("id", "tag", F.posexplode("digests").alias("k", "digest"))
+    places = F.when(F.size("words") > 0, F.array_except(F.sequence(F.lit(0), F.size("words") - 1), F.col("again")))
+    rows = docs_chunks.select("id", "tag", F.inline(F.arrays_zip(places.alias("k"), F.col("digests").alias("digest"))).alias("k", "digest"))
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tag", "k")
     repeated = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = rows.join(repeated, "digest").where(place != F.col("first"))
     marks = later.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("k", F.col("first.id").alias("first_id")))).alias("marks"))
-    joined = docs_chunks.select("id", "tag", "words").dropDuplicates(["id", "tag"]).alias("d").join(marks.alias("m"), F.expr("d.id <=> m.id AND d.tag = m.tag")).select("d.id", "d.tag", "d.words", "m.marks")
+    once = docs_chunks.select("id", "tag", "words", "again").dropDuplicates(["id", "tag"])
+    joined = once.alias("d").join(marks.alias("m"), F.expr("d.id <=> m.id AND d.tag = m.tag"), "left").select("d.id", "d.tag", "d.words", "d.again", "m.marks").where("marks IS NOT NULL OR size(again) > 0")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, tag, words, marked in zip(batch["id"], batch["tag"], batch["words"], batch["marks"], strict=True):
+            for i, tag, words, again, marks in zip(batch["id"], batch["tag"], batch["words"], batch["again"], batch["marks"], strict=True):
+                own = [] if pd.isna(i) else [int(i)]
+                first = {int(k): own for k in again} | {m["k"]: [] if m["first_id"] is None else [m["first_id"]] for m in (marks if marks is not None else [])}
                 ends = np.cumsum(words, dtype=np.int64)
-                k = np.array([m["k"] for m in marked])
+                k = np.array(sorted(first))
                 breaks = np.flatnonzero(np.diff(k) > 1) + 1
                 for a, b in zip([0, *breaks], [*breaks, len(k)], strict=True):
                     start, end = int(ends[k[a]] - words[k[a]]), int(ends[k[b - 1]])
                     if end - start >= least_words:
-                        out.append((i, tag, list(dict.fromkeys(m["first_id"] for m in marked[a:b])), start, end, end - start))
-            yield pd.DataFrame(out, columns=["doc_id", "tag", "first_doc_ids", "start_word", "end_word", "n_words"])
+                        out.append((None if pd.isna(i) else int(i), tag, list(dict.fromkeys(x for n in k[a:b].tolist() for x in first[n])), start, end, end - start))
+            yield pd.DataFrame(out, columns=["doc_id", "tag", "first_doc_ids", "start_word", "end_word", "n_words"]).astype({"doc_id": "Int64"})
 
     return joined.mapInPandas(runs, "doc_id long, tag long, first_doc_ids array<long>, start_word long, end_word long, n_words long")
 

@@ -160,6 +160,16 @@ def test_passages_that_repeat_are_found(spark):
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_within_a_document_and_without_ids(spark):
+    once, twice = prose(20, 80), f"{prose(21, 80)} {prose(22, 30)} {prose(21, 80)}"
+    rows = [(1, twice), (None, f"{prose(23, 20)} {once}"), (4, once), (5, "pair of " * 3000), (6, "pair of " * 3000 + "end")]
+    found = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert {r["doc_id"]: (r["first_doc_ids"], r["n_words"] > 60) for r in found if r["doc_id"] in (1, None)} == {1: ([1], True), None: ([4], True)}
+    assert {r["doc_id"] for r in found} == {1, None, 5, 6}
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeated_passages(frame(spark, rows)).collect()}
+    assert left[4] == once and len(left[1].split()) < 130
+
+
 def test_long_and_repeated_rows_make_no_passage_by_themselves(spark):
     rows = [(1, prose(9, 3000))] * 2 + [(2, prose(10, 3000))]
     assert substring_dedup.repeated_passages(frame(spark, rows)).count() == 0
