@@ -15,8 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .urls import host_of
 
+#: Hosts up to which their winning paths are broadcast, so that pages aren't shuffled (about 20 MB).
+BROADCAST_HOSTS = 200_000
+
 # fixed values: elements by what they are
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|head"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -191,7 +195,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     page_host, host = "__page_host", "__host"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn(page_host, host_of(F.col("url")))
-    winners = host_paths(pages, url_col, html_col).withColumnRenamed("host", host)
+    winners = cut(host_paths(pages, url_col, html_col).withColumnRenamed("host", host))
+    # beyond the bound both sides are shuffled, and adaptive execution may split a host with very many pages
+    winners = F.broadcast(winners) if winners.count() <= BROADCAST_HOSTS else winners
     joined = rows.join(winners, rows[page_host] == winners[host], "left").drop(page_host, host)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -247,7 +247,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 WANT = "Head&line First para boldtext here next Second <b> 5 < 6 link one two"
 
 
-def test_html(spark):
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_html(spark, monkeypatch, bound):
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", bound)
     pages = [(i, f"http://h.example/{i}", PAGE.format("article", "article")) for i in range(5)]
     pages += [(9, "http://g.example/1", PAGE.format('div class="post-12"', "div")), (10, None, None), (11, "http://h.example/x", ""), (12, "odd", "plain text"), (13, "http://h.example/y", "<p>no article"), (14, "http://h.example/z", PAGE.format("article", "article").split("</article>")[0]), (14, "u", "<script>x")]
     got = html.main_text(frame(spark, pages, "page_id long, url string, html string, text string, host string, path string")).collect()
