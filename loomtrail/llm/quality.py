@@ -23,7 +23,7 @@ PASSAGE, PAIRS, ENCODED, ATTENTION = 50, 64, 24, 12
 #: Labelled documents that the classifier is fitted on at most, and passes over them.
 SAMPLE, EPOCHS = 4_000, 40
 
-_KINDS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c", b"\r\n", b".", b",;:", b"!?", b"#$%&*@^~", b"|<>{}[]\\/_=+", b"'\"()-`")
+_KINDS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \n", b".", b",;:", b"!?", b"#$%&*@^~", b"|<>{}[]\\/_=+", b"'\"()-`")
 _KIND = np.full(256, len(_KINDS) + 1, dtype=np.int64)
 _KIND[:128] = len(_KINDS)
 for _n, _bytes in enumerate(_KINDS):
@@ -44,7 +44,8 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    # how words are spaced and broken into lines says nothing of quality
+    raw = [b" ".join((t or "").encode("utf-8", "surrogatepass").split()) for t in texts]
     data = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n" + bytes(8), dtype=np.uint8)
     size = len(data) - 8
     space = _IS_SPACE[data[:size]]
@@ -67,7 +68,7 @@ def _passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     body = data[at[0] : size]
     n_bytes = np.bincount(of_byte, minlength=total).clip(1)[:, None]
     x[:, :_N_KINDS] = np.bincount(of_byte * _N_KINDS + _KIND[body], minlength=total * _N_KINDS).reshape(total, -1) / n_bytes
-    lower = np.frombuffer(data.tobytes().lower(), dtype=np.uint8)[at[0] : size + 1].astype(np.int64)
+    lower = np.frombuffer(data.tobytes().lower().replace(b"\n", b" "), dtype=np.uint8)[at[0] : size + 1].astype(np.int64)
     pair = _PAIR[lower[:-1] * 256 + lower[1:]]
     x[:, _N_KINDS : _N_KINDS + PAIRS] = np.bincount(of_byte * PAIRS + pair, minlength=total * PAIRS).reshape(total, -1) / n_bytes
     # a word's first eight bytes and length stand for it
