@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import content_tag, cut, fresh, text_of
@@ -16,8 +16,12 @@ from .tokens import pieces, split_words, xxh64
 
 #: Bytes that the gear hash looks back, hash bits that must be zero at a cut, words of a chunk at most.
 LOOK_BACK, CUT_BITS, MOST = 16, 2, 64
-#: Words of consecutive repeated chunks from which on a passage counts.
-LEAST_WORDS = 30
+#: Words of consecutive repeated chunks from which on a passage counts, and of one that is extended to its exact ends.
+LEAST_WORDS, EXACT_WORDS = 30, 51
+#: Words before the first common cut of a passage: those that fill LOOK_BACK bytes, and the one after them.
+UNSETTLED = LOOK_BACK // 2 + 2
+#: Documents up to which the places to look at in them are broadcast, so that texts aren't shuffled.
+BROADCAST_DOCS = 200_000
 _GEAR = np.random.default_rng(42).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -73,7 +77,7 @@ def _chunks(texts: list[str | None], begun: int) -> Chunks:
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each document: the words in each of its chunks, the digests of chunks in the order in which each is
-    first found in it, and the places of those that were found in it before."""
+    first found in it, the places of those that were found in it before, and where each of these was first found."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,6 +89,8 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             new[1:] = (np.diff(c.text[order]) != 0) | (c.digest[order][1:] != c.digest[order][:-1])
             first = np.empty(len(order), dtype=bool)
             first[order] = new
+            of = np.empty(len(order), dtype=np.int64)
+            of[order] = place[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             yield pd.DataFrame(
                 {
                     "id": batch["id"],
@@ -92,11 +98,12 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     "words": _by_text(c.words.astype(np.int16), c.text, len(batch)),
                     "digests": _by_text(c.digest[first].view(np.int64), c.text[first], len(batch)),
                     "again": _by_text(place[~first].astype(np.int32), c.text[~first], len(batch)),
+                    "of": _by_text(of[~first].astype(np.int32), c.text[~first], len(batch)),
                 }
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), content_tag(F.col(text_col)).alias("tag"), text_of(F.col(text_col)).alias("text"))
-    return rows.mapInPandas(each, "id long, tag long, words array<smallint>, digests array<long>, again array<int>")
+    return rows.mapInPandas(each, "id long, tag long, words array<smallint>, digests array<long>, again array<int>, of array<int>")
 
 
 def _by_text(values: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
@@ -108,9 +115,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Chunks with one digest are the same text but for case and white space. The first occurrence is in the
     document with the smallest id (null last), then content tag, then place; consecutive chunks of which
-    each occurred before make a passage, which counts from ``least_words`` words on. first_doc_ids are the
-    documents in which its chunks are first found, each once. Words are counted from 0, end_word is the one after. A passage
-    of w words always has the chunks that lie whole in it, about w - 10 words.
+    each occurred before make a passage, which counts from ``least_words`` words on. Where such a run and the
+    partial chunks around it may reach EXACT_WORDS, its chunks are extended word by word to both sides against
+    the text of their first occurrence (at the ends of a run that counts anyway only the outer chunks are), and
+    what then has EXACT_WORDS counts with its exact ends. first_doc_ids are the documents in which its chunks
+    are first found, each once. Words are counted from 0, end_word is the one after. Lost is only what has no
+    whole chunk, or whose every chunk first stands in some other document.
 
     A digest leaves a document once, as what repeats within it is known there. Counts and first places are summed up
     before the shuffle, so that a chunk that a third of all documents have is no hot group there.
@@ -123,26 +133,93 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tag", "k")
     repeated = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = rows.join(repeated, "digest").where(place != F.col("first"))
-    marks = later.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("k", F.col("first.id").alias("first_id")))).alias("marks"))
-    once = docs_chunks.select("id", "tag", "words", "again").dropDuplicates(["id", "tag"])
-    joined = once.alias("d").join(marks.alias("m"), F.expr("d.id <=> m.id AND d.tag = m.tag"), "left").select("d.id", "d.tag", "d.words", "d.again", "m.marks").where("marks IS NOT NULL OR size(again) > 0")
+    marks = later.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("k", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag"), F.col("first.k").alias("first_k")))).alias("marks"))
+    once = docs_chunks.select("id", "tag", "words", "again", "of").dropDuplicates(["id", "tag"])
+    joined = once.alias("d").join(marks.alias("m"), F.expr("d.id <=> m.id AND d.tag = m.tag"), "left").select("d.id", "d.tag", "d.words", "d.again", "d.of", "m.marks").where("marks IS NOT NULL OR size(again) > 0")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, tag, words, again, marks in zip(batch["id"], batch["tag"], batch["words"], batch["again"], batch["marks"], strict=True):
-                own = [] if pd.isna(i) else [int(i)]
-                first = {int(k): own for k in again} | {m["k"]: [] if m["first_id"] is None else [m["first_id"]] for m in (marks if marks is not None else [])}
+            for i, tag, words, again, of, marks in zip(batch["id"], batch["tag"], batch["words"], batch["again"], batch["of"], batch["marks"], strict=True):
+                i = None if pd.isna(i) else int(i)
+                first = {int(k): (i, tag, int(f)) for k, f in zip(again, of, strict=True)} | {m["k"]: (m["first_id"], m["first_tag"], m["first_k"]) for m in (marks if marks is not None else [])}
                 ends = np.cumsum(words, dtype=np.int64)
                 k = np.array(sorted(first))
                 breaks = np.flatnonzero(np.diff(k) > 1) + 1
                 for a, b in zip([0, *breaks], [*breaks, len(k)], strict=True):
-                    start, end = int(ends[k[a]] - words[k[a]]), int(ends[k[b - 1]])
-                    if end - start >= least_words:
-                        out.append((None if pd.isna(i) else int(i), tag, list(dict.fromkeys(x for n in k[a:b].tolist() for x in first[n])), start, end, end - start))
-            yield pd.DataFrame(out, columns=["doc_id", "tag", "first_doc_ids", "start_word", "end_word", "n_words"]).astype({"doc_id": "Int64"})
-
-    return joined.mapInPandas(runs, "doc_id long, tag long, first_doc_ids array<long>, start_word long, end_word long, n_words long")
+                    begin, last = int(k[a]), int(k[b - 1])
+                    start, end = int(ends[begin] - words[begin]), int(ends[last])
+                    counts = end - start >= least_words
+                    before = min(start, int(words[begin - 1]) + UNSETTLED) if begin else 0
+                    after = int(words[last + 1]) - 1 if last + 1 < len(words) else 0
+                    if counts:
+                        asked = {n for n, more in ((begin, before), (last, after)) if more}
+                    else:
+                        asked = k[a:b].tolist() if before + end - start + after >= EXACT_WORDS else ()
+                    seeds = [(n, int(ends[n] - words[n]), int(ends[n]), *first[n]) for n in sorted(asked)]
+                    if counts or seeds:
+                        froms = list(dict.fromkeys(first[n][0] for n in k[a:b].tolist() if first[n][0] is not None)) if counts else []
+                        out.append((i, tag, froms, start, end, counts, seeds))
+            yield pd.DataFrame(out, columns=["id", "tag", "froms", "start", "end", "counts", "seeds"]).astype({"id": "Int64"})
+
+    seed = "array<struct<k int, start long, end long, first_id long, first_tag long, first_k int>>"
+    found = cut(joined.mapInPandas(runs, f"id long, tag long, froms array<long>, start long, end long, counts boolean, seeds {seed}"))
+    whole = found.where("counts").select("id", "tag", "froms", "start", "end")
+    spans = whole.unionByName(_extended(docs, found.select("id", "tag", F.inline("seeds")), id_col, text_col))
+    return spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "end", "froms")).alias("spans")).mapInPandas(
+        _merged, "doc_id long, tag long, first_doc_ids array<long>, start_word long, end_word long, n_words long"
+    )
+
+
+def _extended(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, froms, start, end) of the chunks that have EXACT_WORDS once they are extended to both sides.
+
+    Only 32-bit hashes of the MOST words on both sides of the chunks asked for are sent.
+    """
+    own = seeds.select("id", "tag", "k")
+    asked = own.unionByName(seeds.select(F.col("first_id").alias("id"), F.col("first_tag").alias("tag"), F.col("first_k").alias("k")))
+    asked = cut(asked.groupBy("id", "tag").agg(F.sort_array(F.collect_set("k")).alias("ks")).withColumnsRenamed({"id": "asked_id", "tag": "asked_tag"}))
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_DOCS else asked
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), content_tag(F.col(text_col)).alias("tag"), text_of(F.col(text_col)).alias("text"))
+    texts = texts.join(asked, F.expr("id <=> asked_id AND tag = asked_tag")).select("id", "tag", "text", "ks")
+
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, tag, text, ks in zip(batch["id"], batch["tag"], batch["text"], batch["ks"], strict=True):
+                words, c = split_words([text]), chunks([text])
+                hashes = xxh64(words.data, words.start, words.end).astype(np.uint32).view(np.int32)
+                start = c.first[ks]
+                end = start + c.words[ks]
+                left = [hashes[max(0, s - MOST) : s][::-1] for s in start]
+                right = [hashes[e : e + MOST] for e in end]
+                yield pd.DataFrame({"id": pd.array([i] * len(ks)).astype("Int64"), "tag": tag, "k": ks, "left": left, "right": right})
+
+    windows = cut(texts.mapInPandas(around, "id long, tag long, k int, left array<int>, right array<int>").dropDuplicates(["id", "tag", "k"]))
+    both = seeds.alias("s").join(windows.alias("a"), F.expr("s.id <=> a.id AND s.tag = a.tag AND s.k = a.k"))
+    both = both.join(windows.alias("b"), F.expr("s.first_id <=> b.id AND s.first_tag = b.tag AND s.first_k = b.k"))
+
+    def same(side: str) -> Column:
+        differs = F.array_position(F.zip_with(f"a.{side}", f"b.{side}", lambda x, y: x.eqNullSafe(y)), F.lit(False))
+        return F.when(differs == 0, F.size(f"a.{side}")).otherwise(differs - 1)
+
+    start, end = F.col("s.start") - same("left"), F.col("s.end") + same("right")
+    froms = F.array_compact(F.array("s.first_id"))
+    return both.select("s.id", "s.tag", froms.alias("froms"), start.alias("start"), end.alias("end")).where(F.col("end") - F.col("start") >= EXACT_WORDS)
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One passage for those of a document that overlap."""
+    for batch in batches:
+        out = []
+        for i, tag, spans in zip(batch["id"], batch["tag"], batch["spans"], strict=True):
+            done: list[tuple[int, int, list[int]]] = []
+            for start, end, froms in sorted((s["start"], s["end"], sorted(s["froms"])) for s in spans):
+                if done and start < done[-1][1]:
+                    done[-1] = (done[-1][0], max(done[-1][1], end), list(dict.fromkeys([*done[-1][2], *froms])))
+                else:
+                    done.append((start, end, list(froms)))
+            out += [(None if pd.isna(i) else int(i), tag, froms, start, end, end - start) for start, end, froms in done]
+        yield pd.DataFrame(out, columns=["doc_id", "tag", "first_doc_ids", "start_word", "end_word", "n_words"]).astype({"doc_id": "Int64"})
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:

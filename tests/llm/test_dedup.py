@@ -175,3 +175,13 @@ def test_long_and_repeated_rows_make_no_passage_by_themselves(spark):
     assert substring_dedup.repeated_passages(frame(spark, rows)).count() == 0
     rows = [(1, prose(9, 300)), (2, prose(9, 300).upper().replace(" ", "\n"))]
     assert substring_dedup.repeated_passages(frame(spark, rows)).agg(F.sum("n_words")).first()[0] >= 295
+
+
+def test_passages_of_just_over_fifty_words_are_found_to_their_ends(spark):
+    passage = [prose(3000 + i, 51) for i in range(400)]
+    rows = [(i, f"{prose(i, 40)} start{i} {passage[i % 400]} stop{i} {prose(5000 + i, 40)}") for i in range(800)]
+    rows += [(900, f"{prose(900, 90)} {prose(8000, 25)}"), (901, f"{prose(8000, 25)} {prose(901, 90)}")]
+    found = {r["doc_id"]: r for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert set(found) == set(range(400, 800))
+    assert all(i - 400 in r["first_doc_ids"] for i, r in found.items())
+    assert {(r["start_word"], r["end_word"]) for r in found.values()} == {(41, 92)}
