@@ -57,9 +57,17 @@ def latest_by_prefix(runs: DataFrame, rewards: DataFrame, id_col: str = "run_id"
 
 def spans_of(files: DataFrame, order: Sequence[str], records: str = "records") -> DataFrame:
     """Files with the half-open span of rows [start_row, end_row) that they hold, by running sums of their
-    records. The running sum is over one row for each file."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("end_row", F.sum(records).over(w)).withColumn("start_row", F.col("end_row") - F.col(records))
+    records: sums within range partitions, then offsets from the one sum of each partition joined back. The
+    partitions are cut once, since they could be dealt otherwise when they are computed again."""
+    by_order = [F.col(c) for c in order]
+    dealt = files.repartitionByRange(*by_order).withColumn("_part", F.spark_partition_id())
+    dealt = dealt.checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    within = Window.partitionBy("_part").orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = dealt.groupBy("_part").agg(F.sum(records).alias("_sum"))
+    # one row for each partition
+    offsets = sums.alias("p").join(sums.alias("o"), F.col("o._part") < F.col("p._part"), "left").groupBy("p._part").agg(F.coalesce(F.sum("o._sum"), F.lit(0)).alias("_offset"))
+    spans = dealt.withColumn("end_row", F.sum(records).over(within)).join(F.broadcast(offsets), "_part")
+    return spans.withColumn("end_row", F.col("end_row") + F.col("_offset")).withColumn("start_row", F.col("end_row") - F.col(records)).drop("_part", "_offset")
 
 
 def span_join(rows: DataFrame, spans: DataFrame, at: str = "row", bucket: int = 1024) -> DataFrame:

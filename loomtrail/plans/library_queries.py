@@ -63,6 +63,14 @@ def manifest_span_join(spark: SparkSession, d: str) -> DataFrame:
     return joins.span_join(rows, joins.spans_of(files, ["l_orderkey"])).select("c_custkey", "l_orderkey")
 
 
+@catalog.query()
+def manifest_span_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``manifest_span_join`` over the spans of all orders; its SQL has those below 4000."""
+    files = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("records"))
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") * 2).alias("row"))
+    return joins.span_join(rows, joins.spans_of(files, ["l_orderkey"])).select("c_custkey", "l_orderkey")
+
+
 @catalog.query(f"""WITH {CALLS} SELECT a.run_id, a.call_id, arg_min(b.call_id, (b.ts, b.call_id)) AS matched FROM calls a LEFT JOIN calls b ON b.run_id = a.run_id AND b.tool = 'purchase' AND (b.ts, b.call_id) > (a.ts, a.call_id)
 WHERE a.is_error GROUP BY a.run_id, a.call_id""")
 def first_match_after(spark: SparkSession, d: str) -> DataFrame:

@@ -32,6 +32,14 @@ def overlapping_edits(spark: SparkSession, d: str) -> DataFrame:
     return changes.overlapping(rows, rows, ["order_key"], 1000).where("left_id < right_id").select("order_key", "left_id", "right_id")
 
 
+@catalog.query()
+def overlapping_edits_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``overlapping_edits`` of all orders; its SQL has those below 3000."""
+    start = (F.col("l_quantity") * 100).cast("long")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("int").alias("id"), start.alias("start"), (start + 900).alias("end"))
+    return changes.overlapping(rows, rows, ["order_key"], 1000).where("left_id < right_id").select("order_key", "left_id", "right_id")
+
+
 @catalog.query("""WITH c AS (SELECT o_orderkey AS position, o_orderpriority AS sample_id, o_orderstatus = 'F' AS gate_warning, o_custkey % 3 AS n, o_orderkey % 2 = 0 AS recorded FROM orders WHERE o_orderstatus <> 'P')
 SELECT sample_id, position FROM c ORDER BY CASE WHEN gate_warning THEN 3 WHEN n > 0 THEN 2 WHEN NOT recorded THEN 1 ELSE 0 END DESC, sample_id, position LIMIT 100 OFFSET 50""")
 def change_review_queue(spark: SparkSession, d: str) -> DataFrame:

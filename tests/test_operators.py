@@ -1,5 +1,8 @@
 """Operators on tiny literal frames, and texts."""
 
+import os
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +184,36 @@ def test_streams(spark, tmp_path):
         imports.import_new(imports.stream_lines(spark, str(tmp_path / "in")), lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "ck")).awaitTermination(60)
         (tmp_path / "in" / "b.jsonl").write_text('{"n": 3}\n')
     assert [c for _, c in seen] == [2, 1]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_whole_tables_are_joined(spark):
+    from loomtrail.plans import catalog
+
+    queries = catalog.queries()
+    lines = [tuple(r) for r in spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "cast(l_quantity * 100 as bigint)").collect()]
+    spans, done = [], 0
+    for key, n in sorted(Counter(r[0] for r in lines).items()):
+        spans.append((done, done + n, key))
+        done += n
+    keys = [r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()]
+    want = sorted((c, k) for c in keys for a, b, k in spans if a <= 2 * c < b)
+    assert sorted(tuple(r) for r in queries["manifest_span_join_whole"](spark, SF).collect()) == want
+    orders = defaultdict(list)
+    for key, n, q in lines:
+        orders[key].append((n, q))
+    pairs = sorted((k, a, b) for k, of in orders.items() for a, p in of for b, q in of if a < b and abs(p - q) <= 900)
+    assert sorted(tuple(r) for r in queries["overlapping_edits_whole"](spark, SF).collect()) == pairs
+
+
+def test_spans_are_summed_in_several_partitions(spark):
+    files = spark.createDataFrame([(i, i % 7) for i in range(1000)], "at int, records long")
+    got = joins.spans_of(files, ["at"])
+    assert "SinglePartition" not in got._jdf.queryExecution().toString()
+    ends = 0
+    for at, records, end, start in sorted(tuple(r) for r in got.select("at", "records", "end_row", "start_row").collect()):
+        assert (start, end) == (ends, ends + records), at
+        ends = end
