@@ -207,6 +207,10 @@ def test_whole_tables_are_joined(spark):
         orders[key].append((n, q))
     pairs = sorted((k, a, b) for k, of in orders.items() for a, p in of for b, q in of if a < b and abs(p - q) <= 900)
     assert sorted(tuple(r) for r in queries["overlapping_edits_whole"](spark, SF).collect()) == pairs
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source").collect()]
+    related = sorted((a, b) for a, la, sa in docs if a % 100 == 0 for b, lb, sb in docs if la == lb and sa != sb)
+    assert sorted(tuple(r) for r in queries["related_runs_each_hundredth"](spark, SF).collect()) == related
+    assert {a for a, _ in related} - {a for a, _ in queries["related_runs"](spark, SF).collect()}
 
 
 def test_spans_are_summed_in_several_partitions(spark):
