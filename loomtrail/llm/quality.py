@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on at most ``sample`` labelled documents that are not held out, first in the order of a hash.
 
     Rows of ``labels`` that share an id count by their mean; null ids and labels are left out. The features
-    of the sample's passages are made on the executors; only those, bounded by the sample, reach the driver.
+    of the sample's passages are made on the executors; only those, bounded by the sample, reach the driver. Where
+    several rows share a chosen id, the text with the smallest content tag stands for it.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("id"), 3)).groupBy("id").agg(F.avg("y").alias("y"))
@@ -178,8 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             parts = np.split(x, np.cumsum(counts)[:-1]) if len(counts) else []
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "x": [p.tobytes() for p in parts]})
 
-    bags = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInPandas(encode, "id long, y double, x binary").toPandas()
-    bags = bags.sort_values(["id", "x"], kind="stable").head(2 * sample)
+    labelled = texts.join(F.broadcast(chosen), "id")
+    # reduced in each task before the shuffle, so that an id with very many rows is no hot group
+    one = labelled.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("tag"), "text", "y")).alias("first"))
+    bags = one.select("id", "first.y", "first.text").mapInPandas(encode, "id long, y double, x binary").toPandas()
+    bags = bags.sort_values("id", kind="stable")
     x = [np.frombuffer(b, dtype=np.float32).reshape(-1, WIDTH) for b in bags["x"]]
     return fit(np.concatenate(x) if x else np.zeros((0, WIDTH), np.float32), np.array([len(b) for b in x], dtype=int), (bags["y"].to_numpy() >= 0.5).astype(float))
 

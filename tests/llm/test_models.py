@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomtrail.llm import decontaminate, html, lm_score, mixing, quality, urls
 from loomtrail.llm.queries import RULES
@@ -271,3 +272,15 @@ def test_hosts_agree_on_a_path():
 
 def test_extra_columns_stay():
     assert SCHEMA.split(", ")[-1] == "__tag string"
+
+
+def test_a_labelled_id_with_very_many_rows_hides_no_other_label(spark):
+    rows, labels = corpus(120)
+    truth = dict(labels)
+    hot = next(i for i, _ in rows if i in truth and not fold(i, 3))
+    text = dict(rows)[hot]
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    docs = frame(spark, rows + [(hot, f"{text} {n % 3}") for n in range(300)]).where(F.col("doc_id") >= hot)
+    model = quality.train(docs, known, sample=100)
+    scored = {r["predicted"] for r in quality.score(docs, model).collect()}
+    assert model.weights and scored == {0, 1}
