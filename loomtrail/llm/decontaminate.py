@@ -168,15 +168,16 @@ def _dense_regions(texts: list[str], numbers: list[int], index: Index, q: int) -
     # texts lie so far apart that no band of diagonals touches two of them
     gap = 2 * int(index.width.max()) + max(map(len, index.codes)) + 1
     diagonal = np.repeat(at, many) - index.offset[place] + (doc + 1) * gap
-    keys, counts = np.unique((item.astype(np.int64) << 40) | (diagonal // index.width[item]), return_counts=True)
+    # so all q-grams of a band are of one text, which its first one names
+    keys, first, counts = np.unique((item.astype(np.int64) << 40) | (diagonal // index.width[item]), return_index=True, return_counts=True)
     # overlapping bands, two widths wide: what a band and the next one have together
     both = counts.copy()
     follows = np.flatnonzero(keys[1:] == keys[:-1] + 1)
     both[follows] += counts[follows + 1]
     item = keys >> 40
     dense = both >= index.need[item]
+    doc = doc[first[dense]]
     item, low = item[dense].astype(np.int64), ((keys[dense] & ((1 << 40) - 1)) * index.width[item[dense]])
-    doc = np.clip(np.searchsorted(ends + (np.arange(len(ends)) + 1) * gap, low + 2 * index.width[item], side="right"), 0, len(ends) - 1)
     low -= (doc + 1) * gap
     left = np.maximum(low, begins[doc])
     right = np.minimum(low + 2 * index.width[item] + index.budget[item] + index.length[item], ends[doc])

@@ -284,3 +284,12 @@ def test_a_labelled_id_with_very_many_rows_hides_no_other_label(spark):
     model = quality.train(docs, known, sample=100)
     scored = {r["predicted"] for r in quality.score(docs, model).collect()}
     assert model.weights and scored == {0, 1}
+
+
+@pytest.mark.parametrize("n", range(8, 17))
+def test_short_passages_at_the_end_of_any_text(n):
+    passage = "qzxjvkwybdfghmpt"[:n]
+    index = decontaminate.build_index([(1, passage)])
+    for pad in range(1, 40):
+        texts = [f"{'o' * pad} {passage}", "a text that follows in the same piece and has none of it"]
+        assert {(t, i) for t, i, *_ in decontaminate.search(texts, index)} == {(0, 1)}, pad
