@@ -22,7 +22,9 @@ from .urls import host_of
 BROADCAST_HOSTS = 200_000
 
 # fixed values: elements by what they are
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|head"
+_RAW = "script|style|textarea|title"
+_SKIPPED = "noscript|template|iframe|object|svg|math"
+_IN_HEAD = frozenset("title meta link base style script noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("nav header footer aside form button select option dialog menu fieldset label canvas audio video".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -38,7 +40,7 @@ _WANTED = frozenset("article content post entry story main body text".split())
 _NEVER_DROPPED = frozenset("html body main".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<({_SKIPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\2\s*>)?|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -90,8 +92,15 @@ def parse(html: str) -> Page:
             text.clear()
         linked = 0
 
+    def leave_head() -> None:
+        """A head without an end tag ends at the first thing that can't stand in it."""
+        if stack[-1][0] == "head":
+            stack.pop()
+
     def say(piece: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and piece.strip():
+            leave_head()
         if piece and not stack[-1][2]:
             piece = unescape(piece)
             text.append(piece)
@@ -100,15 +109,17 @@ def parse(html: str) -> Page:
     for token in _TOKEN.finditer(html):
         say(html[at : token.start()])
         at = token.end()
-        tag = (token[3] or "").lower()
-        if token[1]:
-            if token[1].lower() not in ("title", "head"):
+        tag = (token[4] or "").lower()
+        if (tag or token[2]) and not token[3] and (tag or token[2].lower()) not in _IN_HEAD:
+            leave_head()
+        if token[1] or token[2]:
+            if (token[1] or token[2]).lower() != "title":
                 continue
             close_block()
         elif tag == "br":
             if not stack[-1][2]:
                 text.append(" ")
-        elif tag and token[2]:
+        elif tag and token[3]:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
             # an inline end tag doesn't reach out of its block
             if depth and (tag not in _INLINE or all(s[0] in _INLINE for s in stack[depth:])):
@@ -124,11 +135,11 @@ def parse(html: str) -> Page:
                     del stack[depth:]
             elif tag not in _INLINE:
                 close_block()
-            if tag in _VOID or token[4].endswith("/") and tag in _INLINE:
+            if tag in _VOID or token[5].endswith("/") and tag in _INLINE:
                 continue
             _, path, dropped, containers, in_link = stack[-1]
-            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(token[4])} if token[4] else {}
-            dropped = dropped or _unwanted(tag, attributes)
+            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(token[5])} if token[5] else {}
+            dropped = dropped or tag == "head" or _unwanted(tag, attributes)
             if tag in _CONTAINERS and not dropped:
                 classes = ".".join(sorted({_DIGITS.sub("", c) for c in attributes.get("class", "").lower().split()} - {""}))
                 path = f"{path}/{tag}" + f".{classes}" * bool(classes)

@@ -293,3 +293,20 @@ def test_short_passages_at_the_end_of_any_text(n):
     for pad in range(1, 40):
         texts = [f"{'o' * pad} {passage}", "a text that follows in the same piece and has none of it"]
         assert {(t, i) for t, i, *_ in decontaminate.search(texts, index)} == {(0, 1)}, pad
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<html><head><title>x</title><meta charset=utf-8><body><article><p>All of it</article>", "All of it"),
+        ("<html><head><title>x</title><p>All of it", "All of it"),
+        ("<head><title>x</title></head><p>All of it", "All of it"),
+        ("<p>Before.</p><svg width='1' viewBox=\"0 > 1\"/><p>After", "Before. After"),
+        ("<p>Before.</p><math/><p>Between</p><math><mi>x</mi></math><p>After", "Before. Between After"),
+        ("<p>Before.</p><svg><text>no</text></svg><p>After", "Before. After"),
+        ("<p>Before.</p><iframe src=x><p>After", "Before. After"),
+        ("<p>Before.</p><script>no<p>no", "Before."),
+    ],
+)
+def test_missing_ends_swallow_no_text(source, want):
+    assert html.extract(html.parse(source), None) == want
