@@ -39,6 +39,9 @@ _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search
 _WANTED = frozenset("article content post entry story main body text".split())
 _NEVER_DROPPED = frozenset("html body main".split())
 
+#: Share of the plain text of a page's own best path from which on the host's path is taken.
+FAIR_SHARE = 0.25
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<({_SKIPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\2\s*>)?|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
     re.S | re.I,
@@ -151,12 +154,16 @@ def parse(html: str) -> Page:
     return Page(paths, blocks)
 
 
+def _plain(block: Block) -> int:
+    return max(0, len(block.text) - 2 * block.linked)
+
+
 def scores(page: Page) -> dict[str, float]:
     """For each path the share of the page's text in it that isn't link text, weighed by what it is called.
 
     A container that has all the text is as good as one within it that has all of it too; the inner wins.
     """
-    plain = [max(0, len(b.text) - 2 * b.linked) for b in page.blocks]
+    plain = [_plain(b) for b in page.blocks]
     total = sum(plain)
     if not total:
         return {}
@@ -173,25 +180,29 @@ def scores(page: Page) -> dict[str, float]:
 
 
 def extract(page: Page, path: str | None) -> str:
-    """The blocks in containers with that path, in page order. Where the page has no text in such a container,
-    its own best path is taken, and if it has none all blocks are."""
-    for choice in (path, max(sorted(s), key=s.get) if (s := scores(page)) else None):
+    """The blocks in containers with that path, in page order. Where they have less than FAIR_SHARE of the plain text
+    that the page's own best path has, that one is taken, and if it has none all blocks are."""
+
+    def within(choice: str | None) -> list[Block]:
         numbers = {n for n, p in enumerate(page.paths) if p == choice}
-        said = [b.text for b in page.blocks if not numbers.isdisjoint(b.containers)]
-        if said:
-            return " ".join(said)
-    return " ".join(b.text for b in page.blocks)
+        return [b for b in page.blocks if not numbers.isdisjoint(b.containers)]
+
+    own = within(max(sorted(s), key=s.get) if (s := scores(page)) else None)
+    said = within(path)
+    if sum(map(_plain, said)) < FAIR_SHARE * sum(map(_plain, own)):
+        said = own
+    return " ".join(b.text for b in said or own or page.blocks)
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the path with the highest sum of scores on each host. Scores are summed before the shuffle."""
+    """(host, path): the path with the highest sum of scores on each host that has a name. Scores are summed before the shuffle."""
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             votes = [(host, path, score) for host, html in zip(batch["host"], batch["html"], strict=True) for path, score in scores(parse(html)).items()]
             yield pd.DataFrame(votes, columns=["host", "path", "score"])
 
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("html IS NOT NULL")
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("html IS NOT NULL AND host <> ''")
     votes = rows.mapInPandas(vote, "host string, path string, score double").groupBy("host", "path").agg(F.sum(F.round("score", 6).cast("decimal(28,6)")).alias("score"))
     return votes.groupBy("host").agg(F.max(F.struct("score", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
@@ -202,7 +213,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     The text is the article without menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles, markup and reader comments; character references are decoded, white space in a block is one
     space, blocks are joined by one. Null or empty pages have an empty text; pages without a host (null or
-    odd URLs) vote as the empty host. Rows repeat as they come; other columns are not read.
+    odd URLs) don't vote and are read by their own best path. Rows repeat as they come; other columns are not read.
     """
     page_host, host = "__page_host", "__host"
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn(page_host, host_of(F.col("url")))

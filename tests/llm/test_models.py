@@ -310,3 +310,14 @@ def test_short_passages_at_the_end_of_any_text(n):
 )
 def test_missing_ends_swallow_no_text(source, want):
     assert html.extract(html.parse(source), None) == want
+
+
+def test_a_host_path_with_little_of_a_page_is_not_taken(spark):
+    article = f"<main><p>{prose(1, 60)}</p></main>"
+    pages = [(i, "http://two.example/a", f"<body><div><p>{prose(i, 60)}</p></div>") for i in range(5)]
+    pages += [(7, "http://two.example/b", f"<body><div>short line</div>{article}")]
+    pages += [(i, None, f"<body><div><p>{prose(i, 60)}</p></div>") for i in range(10, 15)] + [(17, None, f"<body><div>{prose(3, 20)}</div>{article}")]
+    got = {r["page_id"]: (r["text"], r["path"]) for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == (prose(3, 60), "/body/div")
+    assert got[7][0] == prose(1, 60)
+    assert got[12] == (prose(12, 60), None) and prose(1, 60) in got[17][0] and got[17][1] is None
