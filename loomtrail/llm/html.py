@@ -59,10 +59,12 @@ class Block(NamedTuple):
 
 
 class Page(NamedTuple):
-    """Generalised paths of the containers of a page by number, and the blocks that may be main text."""
+    """Generalised paths of the containers of a page by number, the blocks that may be main text, and the containers
+    that are named like something else."""
 
     paths: list[str]
     blocks: list[Block]
+    doubted: frozenset[int] = frozenset()
 
 
 def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
@@ -70,10 +72,34 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
+    return tag != "article" and (tag in _DROPPED or attributes.get("role", "").lower() in _UNWANTED_ROLES)
+
+
+def _doubtful(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a part of its class or id names something that is never main text."""
     names = set(re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
     if tag == "article":
         return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
-    return tag in _DROPPED or bool(names & _UNWANTED) or attributes.get("role", "").lower() in _UNWANTED_ROLES
+    return tag not in _NEVER_DROPPED and bool(names & _UNWANTED)
+
+
+def _without_regions(blocks: list[Block], regions: list[tuple[int, ...]], around: list[tuple[int, ...]], articles: list[tuple[int, ...]]) -> list[Block]:
+    """The blocks that are in no element that its name alone rules out.
+
+    Each block and article has the numbers of such elements around it, and each such element those around it. One
+    stays if it holds an article or main or most of the page's plain text, and none stands beside it.
+    """
+    sizes = [0] * len(around)
+    for block, inside in zip(blocks, regions, strict=True):
+        for r in inside:
+            sizes[r] += _plain(block)
+    total = sum(map(_plain, blocks))
+    gone = set()
+    for r, outer in enumerate(around):
+        beside = any(r not in a and set(a) <= set(outer) for a in articles)
+        if beside or not (any(r in a for a in articles) or 2 * sizes[r] > total):
+            gone.add(r)
+    return [b for b, inside in zip(blocks, regions, strict=True) if gone.isdisjoint(inside)]
 
 
 def parse(html: str) -> Page:
@@ -81,8 +107,13 @@ def parse(html: str) -> Page:
     web: a block start ends an open paragraph, an end tag closes all that is open within its element."""
     paths: list[str] = []
     blocks: list[Block] = []
-    # of each open element: tag, path, whether it is left out, containers, whether it is a link
-    stack: list[tuple[str, str, bool, tuple[int, ...], bool]] = [("", "", False, (), False)]
+    # elements in doubt by their name: those around each one, around each block and around each article
+    around: list[tuple[int, ...]] = []
+    regions: list[tuple[int, ...]] = []
+    articles: list[tuple[int, ...]] = []
+    doubted: set[int] = set()
+    # of each open element: tag, path, whether it is left out, containers, whether it is a link, elements in doubt
+    stack: list[tuple[str, str, bool, tuple[int, ...], bool, tuple[int, ...]]] = [("", "", False, (), False, ())]
     text: list[str] = []
     linked, at = 0, 0
 
@@ -92,6 +123,7 @@ def parse(html: str) -> Page:
             said = " ".join("".join(text).split())
             if said:
                 blocks.append(Block(said, linked, stack[-1][3]))
+                regions.append(stack[-1][5])
             text.clear()
         linked = 0
 
@@ -126,7 +158,7 @@ def parse(html: str) -> Page:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
             # an inline end tag doesn't reach out of its block
             if depth and (tag not in _INLINE or all(s[0] in _INLINE for s in stack[depth:])):
-                if tag not in _INLINE:
+                if tag not in _INLINE or stack[-1][5] != stack[depth - 1][5]:
                     close_block()
                 del stack[depth:]
         elif tag:
@@ -140,18 +172,28 @@ def parse(html: str) -> Page:
                 close_block()
             if tag in _VOID or token[5].endswith("/") and tag in _INLINE:
                 continue
-            _, path, dropped, containers, in_link = stack[-1]
+            _, path, dropped, containers, in_link, doubts = stack[-1]
             attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(token[5])} if token[5] else {}
             dropped = dropped or tag == "head" or _unwanted(tag, attributes)
+            in_doubt = not dropped and _doubtful(tag, attributes)
+            if in_doubt:
+                if tag in _INLINE:
+                    close_block()
+                around.append(doubts)
+                doubts = (*doubts, len(around) - 1)
+            elif tag in ("article", "main") and not dropped:
+                articles.append(doubts)
             if tag in _CONTAINERS and not dropped:
                 classes = ".".join(sorted({_DIGITS.sub("", c) for c in attributes.get("class", "").lower().split()} - {""}))
                 path = f"{path}/{tag}" + f".{classes}" * bool(classes)
                 containers = (*containers, len(paths))
+                if in_doubt:
+                    doubted.add(len(paths))
                 paths.append(path)
-            stack.append((tag, path, dropped, containers, in_link or tag == "a"))
+            stack.append((tag, path, dropped, containers, in_link or tag == "a", doubts))
     say(html[at:])
     close_block()
-    return Page(paths, blocks)
+    return Page(paths, _without_regions(blocks, regions, around, articles), frozenset(doubted))
 
 
 def _plain(block: Block) -> int:
@@ -161,7 +203,7 @@ def _plain(block: Block) -> int:
 def scores(page: Page) -> dict[str, float]:
     """For each path the share of the page's text in it that isn't link text, weighed by what it is called.
 
-    A container that has all the text is as good as one within it that has all of it too; the inner wins.
+    A container that is named like something else has half its score. One that has all the text is as good as one within it that has all of it too; the inner wins.
     """
     plain = [_plain(b) for b in page.blocks]
     total = sum(plain)
@@ -172,9 +214,9 @@ def scores(page: Page) -> dict[str, float]:
         for c in block.containers:
             held[c] += n
     out: dict[str, float] = {}
-    for path, n in zip(page.paths, held, strict=True):
+    for c, (path, n) in enumerate(zip(page.paths, held, strict=True)):
         tag, _, classes = path.rpartition("/")[2].partition(".")
-        good = {"article": 1.3, "main": 1.2, "body": 0.8}.get(tag, 1.0) * (1.1 if set(re.split(r"[._-]", classes)) & _WANTED else 1.0)
+        good = {"article": 1.3, "main": 1.2, "body": 0.8}.get(tag, 1.0) * (1.1 if set(re.split(r"[._-]", classes)) & _WANTED else 1.0) * (0.5 if c in page.doubted else 1.0)
         out[path] = out.get(path, 0.0) + good * n / total * (1 + 0.01 * min(20, path.count("/")))
     return out
 

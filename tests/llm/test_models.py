@@ -321,3 +321,13 @@ def test_a_host_path_with_little_of_a_page_is_not_taken(spark):
     assert got[3] == (prose(3, 60), "/body/div")
     assert got[7][0] == prose(1, 60)
     assert got[12] == (prose(12, 60), None) and prose(1, 60) in got[17][0] and got[17][1] is None
+
+
+@pytest.mark.parametrize("wrapper", ["class='content with-sidebar'", "class='no-comments'", "class='page-header-layout'", "id='related-post'"])
+@pytest.mark.parametrize("tag", ["article", "main", "p"])
+def test_a_wrapper_is_not_dropped_by_a_part_of_its_name(wrapper, tag):
+    text, side = prose(1, 60), prose(2, 10)
+    page = f"<body><div {wrapper}><{tag}>{text}</{tag}><div class='sidebar'>{side}</div></div><div id='comments'>{side}</div>"
+    assert html.extract(html.parse(page), None) == text
+    beside = f"<body><article>{text}</article><div {wrapper}><article>{prose(3, 90)}</article></div>"
+    assert html.extract(html.parse(beside), None) == text
