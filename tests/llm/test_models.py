@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,17 +70,64 @@ def test_language_model(spark):
     assert {r["train_tokens"] for r in got} == {n} and all(r["score"] < 0 for r in got)
 
 
-def test_language_model_shares_sum_to_one():
-    t = lm_score.Trainer()
-    texts = [prose(i, 50) for i in range(40)]
-    tokens = lm_score.tokens(texts)
-    t.learn(tokens.features, tokens.kind)
-    p = lm_score._probabilities(t.weights, tokens.features)
+def brute_score(rows, model):
+    """Scores by dictionaries and loops over words; only hashes and features come from the operator."""
+    counts, cell_of, texts = Counter(), {}, []
+    for i, text in rows:
+        t = lm_score.tokens([text])
+        words = [None if k == lm_score._END else int(w) for w, k in zip(t.word, t.kind, strict=True)]
+        texts.append((fold(i, 5), t, words))
+        for w, cell in zip(words, t.cell.tolist(), strict=True):
+            cell_of[w] = cell
+            counts[w] += not texts[-1][0]
+    size, types = Counter(), Counter()
+    for w, n in counts.items():
+        size[cell_of[w]] += n
+        types[cell_of[w]] += n > 0
+
+    def outcome(rows, right):
+        logits = [sum(float(model.weights[r, c]) for r in rows) for c in range(lm_score.CLASSES)]
+        return logits[right] / math.log(10) - math.log10(sum(math.exp(x) for x in logits))
+
+    told = []
+    for _, t, words in texts:
+        score = 0.0
+        for n, w in enumerate(words):
+            score += outcome(t.kind_rows[:, n], t.kind[n]) + (0 if w is None else outcome(t.member_rows[:, n], t.member[n]))
+            score += math.log10((counts[w] + 0.5) / (size[cell_of[w]] + 0.5 * (types[cell_of[w]] + 1)))
+        told.append(score)
+    return told
+
+
+def test_language_model_scores_are_the_brute_force_ones_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH_CHARS", 3000)
+    rows = corpus(90)[0] + [e for e in EDGE if e[0] != 7]
+    docs = frame(spark, rows)
+    model, again = lm_score.train(docs, "doc_id"), lm_score.train(docs.repartition(9))
+    assert (model.weights == again.weights).all() and model.weights.any()
+    got = lm_score.score(docs).collect()
+    keyed = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 2)) for r in got)
+    want = sorted((str(i), len((t or "").split()) + 1, round(s, 2)) for (i, t), s in zip(rows, brute_score(rows, model), strict=True))
+    assert [k[:2] for k in keyed] == [w[:2] for w in want]
+    assert [k[2] for k in keyed] == pytest.approx([w[2] for w in want], abs=0.05)
+
+
+def test_language_model_learns_from_steps(spark):
+    texts = [prose(i, 50) for i in range(200)]
+    t = lm_score.tokens(texts)
+    zero, n_words = lm_score.Gradient(np.zeros((lm_score._TABLE, lm_score.CLASSES), dtype=np.float32)), len(t.kind) - 200
+    zero.add(t)
+    weights = lm_score.first_step(zero.sums, zero.seen)
+    p = lm_score._probabilities(weights, t.member_rows)
     assert p.sum(axis=1) == pytest.approx(1, abs=1e-4)
-    before = p[range(len(tokens.kind)), tokens.kind].mean()
-    for _ in range(20):
-        t.learn(tokens.features, tokens.kind)
-    assert lm_score._probabilities(t.weights, tokens.features)[range(len(tokens.kind)), tokens.kind].mean() > before
+    flat = -(len(t.kind) + n_words) * math.log10(lm_score.CLASSES)
+    first = lm_score.predictions(weights, t).sum()
+    g = lm_score.Gradient(weights)
+    g.add(t)
+    assert g.seen[0] == len(t.kind) and abs(int(g.sums[0].sum())) <= len(t.kind) * lm_score.CLASSES
+    share = np.full((lm_score._TABLE, lm_score.CLASSES), 1 / lm_score.CLASSES)
+    later = lm_score.predictions(lm_score.later_step(weights, g.sums, g.seen, share), t).sum()
+    assert flat < first < later
 
 
 def test_language_model_without_training_rows(spark):
