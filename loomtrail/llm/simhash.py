@@ -8,8 +8,8 @@ the radius; the distance is verified all the same).
 The shuffle key of a variant is its leading bits. All variants of a fingerprint that share a key are
 sent as one row, the fingerprint itself, and are spelled out in the task that receives the key; so a
 fingerprint costs 1 + p + p(p-1)/2 rows for p leading bits instead of 2,081. p follows the count of
-fingerprints and keeps the number of variants per key level. Keys with many fingerprints are dealt
-again by further bits.
+fingerprints and keeps the number of variants per key level. Keys with very many variants are dealt
+again by further bits, as often as it takes.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .tokens import pieces, split_words, xxh64
 BITS = 64
 #: Variants that a task spells out at once (8 bytes each).
 CHUNK = 8_000_000
-#: Variants aimed at for each key, fingerprints of a key above which it is dealt again, further bits.
-PER_KEY, HOT_ROWS, HOT_BITS = 1_000_000, 8_000, 8
+#: Variants aimed at for each key, times as many above which it is dealt again, further bits, bits dealt at most.
+PER_KEY, HOT, HOT_BITS, MOST_BITS = 1_000_000, 8, 8, 56
 
 
 def simhash(texts: list[str | None], shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -99,33 +99,31 @@ def link(prints: DataFrame, radius: int = 4) -> DataFrame:
     if radius != 2 * most:
         raise ValueError("radius must be even: both sides emit variants within half of it")
     n = max(1, prints.count())
-    p = min(24, max(6, math.ceil(math.log2(n * len(flips(BITS, most)) / PER_KEY + 1))))
+    variants = n * len(flips(BITS, most))
+    p = min(24, max(6, math.ceil(math.log2(variants / PER_KEY + 1))))
     masks = flips(p, most)
     rows = prints.select(
         "fp",
         F.explode(F.array([F.struct(_signed(m << (BITS - p)).alias("mask"), F.lit(m.bit_count()).alias("used")) for m in masks])).alias("flip"),
-    ).select("fp", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("flip.mask")), BITS - p).alias("key"), F.lit(p).alias("bits"), "flip.used")
-    # at most n * len(masks) / limit keys are hot, and never more than 1,000
-    limit = max(HOT_ROWS, n * len(masks) // 1000)
-    hot = [r["key"] for r in rows.groupBy("key").count().where(F.col("count") > limit).select("key").collect()]
-    if hot:
-        q = p + HOT_BITS
-        further = {k: F.array([_signed(m << (BITS - q)) for m in flips(HOT_BITS, most - k)]) for k in range(most + 1)}
-        options = further[0]
-        for k in range(1, most + 1):
-            options = F.when(F.col("used") == k, further[k]).otherwise(options)
-        # what the leading bits are in the variant: the key's p bits, then those of the fingerprint with flips
-        longer = (
-            rows.where(F.col("key").isin(hot))
-            .select("fp", "key", "used", F.explode(options).alias("mask"))
-            .select(
-                "fp",
-                F.shiftleft("key", HOT_BITS).bitwiseOR(F.shiftrightunsigned(F.shiftleft(F.col("fp").bitwiseXOR(F.col("mask")), p), BITS - HOT_BITS)).alias("key"),
-                F.lit(q).alias("bits"),
-                (F.col("used") + F.bit_count("mask")).alias("used"),
-            )
-        )
-        rows = rows.where(~F.col("key").isin(hot)).unionByName(longer)
+    ).select("fp", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("flip.mask")), BITS - p).alias("key"), "flip.used")
+    dealt, bits = [], p
+    while bits + HOT_BITS <= MOST_BITS:
+        # every variant has one key, so that at most 2 ** p / HOT keys are hot: that bounds what is broadcast (16 MB)
+        limit = HOT * max(PER_KEY, variants >> p)
+        spelled = F.element_at(F.array([F.lit(len(flips(BITS - bits, most - k))) for k in range(most + 1)]), F.col("used") + 1)
+        hot = cut(rows.groupBy("key").agg(F.sum(spelled).alias("variants")).where(F.col("variants") > limit).select("key"))
+        if hot.isEmpty():
+            break
+        dealt.append(rows.join(F.broadcast(hot), "key", "left_anti").withColumn("bits", F.lit(bits)))
+        further = F.array([F.array([_signed(m << (BITS - bits - HOT_BITS)) for m in flips(HOT_BITS, most - k)]) for k in range(most + 1)])
+        # what the leading bits are in the variant: those of the key, then those of the fingerprint with flips
+        again = rows.join(F.broadcast(hot), "key", "left_semi").select("fp", "key", "used", F.explode(F.element_at(further, F.col("used") + 1)).alias("mask"))
+        low = F.shiftrightunsigned(F.shiftleft(F.col("fp").bitwiseXOR(F.col("mask")), bits), BITS - HOT_BITS)
+        rows = again.select("fp", F.shiftleft("key", HOT_BITS).bitwiseOR(low).alias("key"), (F.col("used") + F.bit_count("mask")).alias("used"))
+        bits += HOT_BITS
+    rows = rows.withColumn("bits", F.lit(bits))
+    for part in dealt:
+        rows = rows.unionByName(part)
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         prints, roots = meetings(group["fp"].to_numpy().view(np.uint64), group["used"].to_numpy(), int(key[1]), most)
@@ -190,14 +188,17 @@ def components(prints: DataFrame, radius: int = 4) -> DataFrame:
     linked = link(nodes.select("fp"), radius)
     members = linked.unionByName(linked.select(F.col("root").alias("fp"), "root").distinct())
     named = nodes.join(members, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    # cut, so that the join has an exchange of its own, which may be split at the root of a large component
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component")))
     return named.join(least, "root").select("fp", "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
-    Empty tables give no rows; other columns of ``docs`` are not read.
+    Null and wordless texts have the fingerprint 0 and are linked like any other; a null id has a row and names no
+    component. Repeated rows come back as often as they are there. Empty tables give no rows; other columns of ``docs``
+    are not read.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
     return prints.join(components(prints, radius), "fp").select(
