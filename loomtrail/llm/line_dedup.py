@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,20 +20,25 @@ def _lines(text: Column) -> Column:
     return F.filter(numbered, lambda x: x["line"] != "")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _windows(lines: Column) -> Column:
     """Every window: its number, the positions of its lines, two 64-bit hashes of them."""
 
-    def window(k: Column) -> Column:
-        part = F.slice(lines, k, WINDOW)
-        text = F.array_join(F.transform(part, lambda x: x["line"]), "\n")
+    def window(lines: Column, k: Column) -> Column:
+        part = [F.get(lines, k + n - 1) for n in range(WINDOW)]
+        text = F.concat_ws("\n", *[x["line"] for x in part])
         return F.struct(
             k.alias("k"),
-            F.transform(part, lambda x: x["at"]).alias("lines"),
+            F.array(*[x["at"] for x in part]).alias("lines"),
             F.xxhash64(text).alias("h1"),
             F.xxhash64(F.lit("second"), text).alias("h2"),
         )
 
-    return F.when(F.size(lines) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(lines) - WINDOW + 1), window)).otherwise(F.array())
+    return F.when(F.size(lines) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(lines) - WINDOW + 1), lambda k: window(lines, k))).otherwise(F.array())
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,9 +50,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the document.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), content_tag(F.col(text_col)).alias("tag"), _lines(text_of(F.col(text_col))).alias("all"))
-    windows = cut(rows.select("id", "tag", F.inline(_windows(F.col("all")))))
+    windows = cut(rows.select("id", "tag", F.inline(_bound(F.col("all"), _windows))))
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tag", "k")
-    repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # cut, so that the join has an exchange of its own, which may be split at a window that very many documents have
+    repeated = cut(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     later = windows.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
     return later.groupBy("id", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("covered"))
 
@@ -65,7 +73,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = tagged[id_col].eqNullSafe(marks[id_name]) & (tagged[tag] == marks[tag])
     joined = tagged.join(marks, same, "left").drop(marks[tag]).drop(tag, id_name)
     lines = F.split(text_of(F.col(text_col)), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(covered), i))
+    positions = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
+    kept = _bound(lines, lambda x: F.transform(positions, lambda i: F.get(x, i)))
     return (
         joined.withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size(covered), F.lit(0)).cast("long"))
