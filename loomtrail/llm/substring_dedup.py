@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_tag, cut, fresh, text_of
+from .common import content_tag, cut, fresh, text_of, within_bytes
 from .tokens import pieces, split_words, xxh64
 
 #: Bytes that the gear hash looks back, hash bits that must be zero at a cut, words of a chunk at most.
@@ -20,8 +20,8 @@ LOOK_BACK, CUT_BITS, MOST = 16, 2, 64
 LEAST_WORDS, EXACT_WORDS = 30, 51
 #: Words before the first common cut of a passage: those that fill LOOK_BACK bytes, and the one after them.
 UNSETTLED = LOOK_BACK // 2 + 2
-#: Documents up to which the places to look at in them are broadcast, so that texts aren't shuffled.
-BROADCAST_DOCS = 200_000
+#: Bytes up to which the places to look at in documents are broadcast, so that texts aren't shuffled.
+BROADCAST_BYTES = 64_000_000
 _GEAR = np.random.default_rng(42).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -131,7 +131,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     places = F.when(F.size("words") > 0, F.array_except(F.sequence(F.lit(0), F.size("words") - 1), F.col("again")))
     rows = docs_chunks.select("id", "tag", F.inline(F.arrays_zip(places.alias("k"), F.col("digests").alias("digest"))).alias("k", "digest"))
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "tag", "k")
-    repeated = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # cut, so that the join has an exchange of its own, which may be split at a chunk that very many documents have
+    repeated = cut(rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = rows.join(repeated, "digest").where(place != F.col("first"))
     marks = later.groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("k", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag"), F.col("first.k").alias("first_k")))).alias("marks"))
     once = docs_chunks.select("id", "tag", "words", "again", "of").dropDuplicates(["id", "tag"])
@@ -179,7 +180,7 @@ def _extended(docs: DataFrame, seeds: DataFrame, id_col: str, text_col: str) ->
     own = seeds.select("id", "tag", "k")
     asked = own.unionByName(seeds.select(F.col("first_id").alias("id"), F.col("first_tag").alias("tag"), F.col("first_k").alias("k")))
     asked = cut(asked.groupBy("id", "tag").agg(F.sort_array(F.collect_set("k")).alias("ks")).withColumnsRenamed({"id": "asked_id", "tag": "asked_tag"}))
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_DOCS else asked
+    asked = F.broadcast(asked) if within_bytes(asked, BROADCAST_BYTES) else asked
     texts = docs.select(F.col(id_col).cast("long").alias("id"), content_tag(F.col(text_col)).alias("tag"), text_of(F.col(text_col)).alias("text"))
     texts = texts.join(asked, F.expr("id <=> asked_id AND tag = asked_tag")).select("id", "tag", "text", "ks")
 
@@ -225,7 +226,8 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with all columns, and in the text only the first occurrence of each repeated passage.
 
-    What is left of a text that had passages is joined by single spaces where one was taken out.
+    What is left of a text that had passages is joined by single spaces where one was taken out. Null and empty texts
+    stay as they are; rows that repeat an id and a text are treated alike; an empty table gives no rows.
     """
     id_name, tag, spans = (fresh(docs, n) for n in ("__id", "__tag", "__spans"))
     found = repeated_passages(docs, id_col, text_col, least_words)
