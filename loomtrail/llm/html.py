@@ -7,7 +7,9 @@ digits) in Spark, and every page is extracted again with the path that won on it
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 from typing import NamedTuple
 
@@ -15,59 +17,72 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, within_bytes
 from .urls import host_of
 
-#: Hosts up to which their winning paths are broadcast, so that pages aren't shuffled (about 20 MB).
-BROADCAST_HOSTS = 200_000
+#: Bytes up to which the winning paths of hosts are broadcast, so that pages aren't shuffled.
+BROADCAST_BYTES = 64_000_000
 
 # fixed values: elements by what they are
-_RAW = "script|style|textarea|title"
-_SKIPPED = "noscript|template|iframe|object|svg|math"
+_RAW = frozenset("script style textarea title".split())
+_SKIPPED = frozenset("noscript template iframe object svg".split())
 _IN_HEAD = frozenset("title meta link base style script noscript template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("nav header footer aside form button select option dialog menu fieldset label canvas audio video".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_DROPPED = frozenset("nav header footer aside form button select option dialog menu fieldset canvas audio video".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr "
+    "math mrow mi mo mn ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mfenced semantics".split()
+)
 _CONTAINERS = frozenset("body article main section div td center".split())
+_LISTS = frozenset("ul ol table dl".split())
+_ITEMS = frozenset("li dt dd tr td th".split())
 _ENDS_PARAGRAPH = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+# fixed values: names of what is never main text, what may follow such a name without changing it, what negates it
 _UNWANTED = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside banner cookie cookies consent gdpr notice alert ad ads adsense advert advertisement advertising "
     "sponsor sponsored promo promotion popup modal overlay comment comments disqus respond reply replies social share sharing related breadcrumb breadcrumbs "
     "newsletter subscribe signup login search widget pagination pager toolbar skip".split()
 )
+_FORM_WORDS = frozenset(
+    "area bar block body box button buttons card col column container content form group holder icon icons inner inline item items label left link links list main "
+    "menu outer panel post posts right row section slot thread top bottom unit wrap wrapper".split()
+)
+_NEGATIONS = frozenset("no not non without with has hide show".split())
 _UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _WANTED = frozenset("article content post entry story main body text".split())
 _NEVER_DROPPED = frozenset("html body main".split())
 
 #: Share of the plain text of a page's own best path from which on the host's path is taken.
 FAIR_SHARE = 0.25
+#: Characters of a path and of a part of it, beyond which what is before stands as a digest.
+PATH_CHARS, PART_CHARS = 400, 100
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?/>|<({_RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<({_SKIPPED})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\2\s*>)?|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+# a tag ends at the first > outside a quoted value, or with the page; there is one way only to read each quote
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*+(?>\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'=<>`]++)))?")
 _DIGITS = re.compile(r"\d+")
 
 
 class Block(NamedTuple):
-    """A run of text in one block: what it says, letters of it in links, the containers around it."""
+    """A run of text in one block: what it says, letters of it in links, the innermost container and region in doubt."""
 
     text: str
     linked: int
-    containers: tuple[int, ...]
+    container: int
+    region: int
 
 
 class Page(NamedTuple):
-    """Generalised paths of the containers of a page by number, the blocks that may be main text, and the containers
-    that are named like something else."""
+    """The containers of a page by number, with the one around each (-1: none) and their generalised paths; the blocks that may
+    be main text; the containers in one that is named like something else."""
 
+    around: list[int]
     paths: list[str]
     blocks: list[Block]
     doubted: frozenset[int] = frozenset()
 
 
-def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
+def _gone(tag: str, attributes: dict[str, str]) -> bool:
     if tag in _NEVER_DROPPED:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", "")):
@@ -75,125 +90,205 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
     return tag != "article" and (tag in _DROPPED or attributes.get("role", "").lower() in _UNWANTED_ROLES)
 
 
-def _doubtful(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether a part of its class or id names something that is never main text."""
-    names = set(re.split(r"[\s_-]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    if tag == "article":
-        return bool(names & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
-    return tag not in _NEVER_DROPPED and bool(names & _UNWANTED)
-
+def _named(attributes: dict[str, str]) -> tuple[bool, bool]:
+    """Whether a class or the id names something that is never main text, and whether a part of one does.
 
-def _without_regions(blocks: list[Block], regions: list[tuple[int, ...]], around: list[tuple[int, ...]], articles: list[tuple[int, ...]]) -> list[Block]:
-    """The blocks that are in no element that its name alone rules out.
-
-    Each block and article has the numbers of such elements around it, and each such element those around it. One
-    stays if it holds an article or main or most of the page's plain text, and none stands beside it.
+    A name of several parts is what its last part says ("cookie-notice", but not "notice-period"), or its first
+    where the others only say what form that has ("comment-list").
     """
-    sizes = [0] * len(around)
-    for block, inside in zip(blocks, regions, strict=True):
-        for r in inside:
-            sizes[r] += _plain(block)
-    total = sum(map(_plain, blocks))
-    gone = set()
-    for r, outer in enumerate(around):
-        beside = any(r not in a and set(a) <= set(outer) for a in articles)
-        if beside or not (any(r in a for a in articles) or 2 * sizes[r] > total):
-            gone.add(r)
-    return [b for b, inside in zip(blocks, regions, strict=True) if gone.isdisjoint(inside)]
-
-
-def parse(html: str) -> Page:
-    """Containers and blocks of a page, without what is never main text. Unclosed and crossed tags are as usual on the
-    web: a block start ends an open paragraph, an end tag closes all that is open within its element."""
-    paths: list[str] = []
-    blocks: list[Block] = []
-    # elements in doubt by their name: those around each one, around each block and around each article
-    around: list[tuple[int, ...]] = []
-    regions: list[tuple[int, ...]] = []
-    articles: list[tuple[int, ...]] = []
-    doubted: set[int] = set()
-    # of each open element: tag, path, whether it is left out, containers, whether it is a link, elements in doubt
-    stack: list[tuple[str, str, bool, tuple[int, ...], bool, tuple[int, ...]]] = [("", "", False, (), False, ())]
-    text: list[str] = []
-    linked, at = 0, 0
-
-    def close_block() -> None:
-        nonlocal linked
-        if text:
-            said = " ".join("".join(text).split())
+    named, in_part = False, False
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = [p for p in re.split(r"[_\-\d]+", name) if p]
+        in_part = in_part or not _UNWANTED.isdisjoint(parts)
+        if parts and _NEGATIONS.isdisjoint(parts[:-1]):
+            named = named or parts[-1] in _UNWANTED or (parts[0] in _UNWANTED and _FORM_WORDS.issuperset(parts[1:]))
+    return named, in_part
+
+
+class _Regions:
+    """Elements that their name may rule out, the one around each (-1: none), whether the whole name does, and where
+    articles stand among them."""
+
+    def __init__(self) -> None:
+        self.around: list[int] = []
+        self.named: list[bool] = []
+        self.articles: set[int] = set()
+
+    def without(self, blocks: list[Block]) -> list[Block]:
+        """The blocks that are in no element that goes. One that is named so goes, unless it holds an article or main or most of the
+        page's plain text and none stands outside. One that is named so in part goes if it holds an article and one stands outside."""
+        n = len(self.around)
+        sizes, holds = [0] * n, [r in self.articles for r in range(n)]
+        for block in blocks:
+            if block.region >= 0:
+                sizes[block.region] += _plain(block)
+        for r in range(n - 1, -1, -1):
+            if (outer := self.around[r]) >= 0:
+                sizes[outer] += sizes[r]
+                holds[outer] = holds[outer] or holds[r]
+        total = sum(map(_plain, blocks))
+        beside, gone = [False] * n, [False] * n
+        for r, outer in enumerate(self.around):
+            beside[r] = outer in self.articles or (outer >= 0 and beside[outer])
+            goes = beside[r] or not (holds[r] or 2 * sizes[r] > total) if self.named[r] else beside[r] and holds[r]
+            gone[r] = goes or (outer >= 0 and gone[outer])
+        return [b for b in blocks if b.region < 0 or not gone[b.region]]
+
+
+def _longer(path: str, tag: str, classes: list[str]) -> str:
+    """The path of a container, of bounded length."""
+    part = tag + "".join(f".{c}" for c in classes)
+    short = lambda text: blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    part = part if len(part) <= PART_CHARS else f"{tag}.{short(part)}"
+    return f"{path if len(path) <= PATH_CHARS else short(path)}/{part}"
+
+
+class _Element(NamedTuple):
+    """An open element: its tag, path, whether it is left out, innermost container, whether in a link, region in doubt."""
+
+    tag: str
+    path: str
+    dropped: bool
+    container: int
+    in_link: bool
+    region: int
+
+
+class _Parser:
+    """Takes a page apart in one pass. Unclosed and crossed tags are as usual on the web: a block start ends an open
+    paragraph, an end tag closes all that is open within its element. What is kept for an open element is of
+    bounded size, however deep it is."""
+
+    def __init__(self) -> None:
+        self.around: list[int] = []
+        self.paths: list[str] = []
+        self.doubted: set[int] = set()
+        self.blocks: list[Block] = []
+        self.regions = _Regions()
+        self.stack = [_Element("", "", False, -1, False, -1)]
+        self.open: Counter[str] = Counter()
+        self.text: list[str] = []
+        self.linked = 0
+
+    def pop_to(self, depth: int) -> None:
+        for element in self.stack[depth:]:
+            self.open[element.tag] -= 1
+        del self.stack[depth:]
+
+    def close_block(self) -> None:
+        if self.text:
+            said = " ".join("".join(self.text).split())
             if said:
-                blocks.append(Block(said, linked, stack[-1][3]))
-                regions.append(stack[-1][5])
-            text.clear()
-        linked = 0
+                self.blocks.append(Block(said, self.linked, self.stack[-1].container, self.stack[-1].region))
+            self.text.clear()
+        self.linked = 0
 
-    def leave_head() -> None:
+    def leave_head(self) -> None:
         """A head without an end tag ends at the first thing that can't stand in it."""
-        if stack[-1][0] == "head":
-            stack.pop()
-
-    def say(piece: str) -> None:
-        nonlocal linked
-        if stack[-1][0] == "head" and piece.strip():
-            leave_head()
-        if piece and not stack[-1][2]:
+        if self.stack[-1].tag == "head":
+            self.pop_to(len(self.stack) - 1)
+
+    def say(self, piece: str) -> None:
+        if self.stack[-1].tag == "head" and piece.strip():
+            self.leave_head()
+        if piece and not self.stack[-1].dropped:
             piece = unescape(piece)
-            text.append(piece)
-            linked += len(piece) if stack[-1][4] else 0
+            self.text.append(piece)
+            self.linked += len(piece) if self.stack[-1].in_link else 0
+
+    def end(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
+        depth = len(self.stack) - 1
+        if tag in _INLINE:
+            # an inline end tag doesn't reach out of its block
+            while self.stack[depth].tag != tag and self.stack[depth].tag in _INLINE:
+                depth -= 1
+            if self.stack[depth].tag != tag:
+                return
+            if self.stack[-1].region != self.stack[depth - 1].region:
+                self.close_block()
+        else:
+            while self.stack[depth].tag != tag:
+                depth -= 1
+            self.close_block()
+        self.pop_to(depth)
+
+    def _end_open(self, closes: str) -> None:
+        """Ends an open paragraph or item, if it is in the same container and list."""
+        depth = len(self.stack) - 1
+        while depth and self.stack[depth].tag != closes and self.stack[depth].tag not in _CONTAINERS and self.stack[depth].tag not in _LISTS:
+            depth -= 1
+        if depth and self.stack[depth].tag == closes:
+            self.pop_to(depth)
+
+    def start(self, tag: str, rest: str) -> None:
+        if tag in _ENDS_PARAGRAPH or tag in _ITEMS:
+            self.close_block()
+            closes = "p" if tag in _ENDS_PARAGRAPH else tag
+            if self.open[closes]:
+                self._end_open(closes)
+        elif tag not in _INLINE:
+            self.close_block()
+        if tag in _VOID or (rest.endswith("/") and tag in _INLINE):
+            return
+        outer = self.stack[-1]
+        attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest else {}
+        dropped = outer.dropped or tag == "head" or _gone(tag, attributes)
+        path, container, region = outer.path, outer.container, outer.region
+        named, in_part = (False, False) if dropped or tag in _NEVER_DROPPED else _named(attributes)
+        if named or in_part:
+            if tag in _INLINE:
+                self.close_block()
+            self.regions.around.append(region)
+            self.regions.named.append(named)
+            region = len(self.regions.around) - 1
+        elif tag in ("article", "main") and not dropped:
+            self.regions.articles.add(region)
+        if tag in _CONTAINERS and not dropped:
+            path = _longer(path, tag, sorted({_DIGITS.sub("", c) for c in attributes.get("class", "").lower().split()} - {""}))
+            self.around.append(container)
+            self.paths.append(path)
+            if named or in_part or container in self.doubted:
+                self.doubted.add(len(self.paths) - 1)
+            container = len(self.paths) - 1
+        self.stack.append(_Element(tag, path, dropped, container, outer.in_link or tag == "a", region))
+        self.open[tag] += 1
 
-    for token in _TOKEN.finditer(html):
-        say(html[at : token.start()])
+
+def parse(html: str) -> Page:
+    """Containers and blocks of a page, without what is never main text, in time and memory in proportion to its length."""
+    p, at, endless = _Parser(), 0, set()
+    while token := _TOKEN.search(html, at):
+        p.say(html[at : token.start()])
         at = token.end()
-        tag = (token[4] or "").lower()
-        if (tag or token[2]) and not token[3] and (tag or token[2].lower()) not in _IN_HEAD:
-            leave_head()
-        if token[1] or token[2]:
-            if (token[1] or token[2]).lower() != "title":
-                continue
-            close_block()
+        tag = (token[2] or "").lower()
+        if not tag:
+            continue
+        if token[1]:
+            p.end(tag)
+            continue
+        if tag not in _IN_HEAD:
+            p.leave_head()
+        if tag in _RAW or (tag in _SKIPPED and not token[3].endswith("/")):
+            # where one has no end tag, no later one of its name has
+            end = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(html, at)
+            if end:
+                at = end.end()
+            elif tag in _RAW:
+                at = len(html)
+            else:
+                endless.add(tag)
+            if tag == "title":
+                p.close_block()
         elif tag == "br":
-            if not stack[-1][2]:
-                text.append(" ")
-        elif tag and token[3]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
-            # an inline end tag doesn't reach out of its block
-            if depth and (tag not in _INLINE or all(s[0] in _INLINE for s in stack[depth:])):
-                if tag not in _INLINE or stack[-1][5] != stack[depth - 1][5]:
-                    close_block()
-                del stack[depth:]
-        elif tag:
-            if tag in _ENDS_PARAGRAPH or tag in ("li", "dt", "dd", "tr", "td", "th"):
-                close_block()
-                closes = "p" if tag in _ENDS_PARAGRAPH else tag
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == closes or stack[d][0] in _CONTAINERS or stack[d][0] in ("ul", "ol", "table", "dl")), 0)
-                if depth and stack[depth][0] == closes:
-                    del stack[depth:]
-            elif tag not in _INLINE:
-                close_block()
-            if tag in _VOID or token[5].endswith("/") and tag in _INLINE:
-                continue
-            _, path, dropped, containers, in_link, doubts = stack[-1]
-            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(token[5])} if token[5] else {}
-            dropped = dropped or tag == "head" or _unwanted(tag, attributes)
-            in_doubt = not dropped and _doubtful(tag, attributes)
-            if in_doubt:
-                if tag in _INLINE:
-                    close_block()
-                around.append(doubts)
-                doubts = (*doubts, len(around) - 1)
-            elif tag in ("article", "main") and not dropped:
-                articles.append(doubts)
-            if tag in _CONTAINERS and not dropped:
-                classes = ".".join(sorted({_DIGITS.sub("", c) for c in attributes.get("class", "").lower().split()} - {""}))
-                path = f"{path}/{tag}" + f".{classes}" * bool(classes)
-                containers = (*containers, len(paths))
-                if in_doubt:
-                    doubted.add(len(paths))
-                paths.append(path)
-            stack.append((tag, path, dropped, containers, in_link or tag == "a", doubts))
-    say(html[at:])
-    close_block()
-    return Page(paths, _without_regions(blocks, regions, around, articles), frozenset(doubted))
+            if not p.stack[-1].dropped:
+                p.text.append(" ")
+        elif tag not in _SKIPPED:
+            p.start(tag, token[3])
+    p.say(html[at:])
+    p.close_block()
+    return Page(p.around, p.paths, p.regions.without(p.blocks), frozenset(p.doubted))
 
 
 def _plain(block: Block) -> int:
@@ -203,16 +298,19 @@ def _plain(block: Block) -> int:
 def scores(page: Page) -> dict[str, float]:
     """For each path the share of the page's text in it that isn't link text, weighed by what it is called.
 
-    A container that is named like something else has half its score. One that has all the text is as good as one within it that has all of it too; the inner wins.
+    A container that is named like something else, in whole or in part, has half its score. One that has all the text
+    is as good as one within it that has all of it too; the inner wins.
     """
-    plain = [_plain(b) for b in page.blocks]
-    total = sum(plain)
+    total = sum(map(_plain, page.blocks))
     if not total:
         return {}
     held = [0] * len(page.paths)
-    for block, n in zip(page.blocks, plain, strict=True):
-        for c in block.containers:
-            held[c] += n
+    for block in page.blocks:
+        if block.container >= 0:
+            held[block.container] += _plain(block)
+    for c in range(len(held) - 1, -1, -1):
+        if page.around[c] >= 0:
+            held[page.around[c]] += held[c]
     out: dict[str, float] = {}
     for c, (path, n) in enumerate(zip(page.paths, held, strict=True)):
         tag, _, classes = path.rpartition("/")[2].partition(".")
@@ -226,8 +324,10 @@ def extract(page: Page, path: str | None) -> str:
     that the page's own best path has, that one is taken, and if it has none all blocks are."""
 
     def within(choice: str | None) -> list[Block]:
-        numbers = {n for n, p in enumerate(page.paths) if p == choice}
-        return [b for b in page.blocks if not numbers.isdisjoint(b.containers)]
+        inside: list[bool] = []
+        for outer, p in zip(page.around, page.paths, strict=True):
+            inside.append(p == choice or (outer >= 0 and inside[outer]))
+        return [b for b in page.blocks if b.container >= 0 and inside[b.container]]
 
     own = within(max(sorted(s), key=s.get) if (s := scores(page)) else None)
     said = within(path)
@@ -261,7 +361,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn(page_host, host_of(F.col("url")))
     winners = cut(host_paths(pages, url_col, html_col).withColumnRenamed("host", host))
     # beyond the bound both sides are shuffled, and adaptive execution may split a host with very many pages
-    winners = F.broadcast(winners) if winners.count() <= BROADCAST_HOSTS else winners
+    winners = F.broadcast(winners) if within_bytes(winners, BROADCAST_BYTES) else winners
     joined = rows.join(winners, rows[page_host] == winners[host], "left").drop(page_host, host)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
