@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -17,10 +18,15 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Length of a q-gram, edits allowed for each character of a passage.
-Q, EDIT_RATE = 8, 0.1
+#: Edits allowed for each letter of a passage, letters of the shortest passage that is searched.
+EDIT_RATE, SHORTEST = 0.1, 8
+#: Length of a q-gram for passages from so many letters on: the longest power of two with which the lemma asks for one
+#: shared q-gram at least, whatever the length.
+Q_FROM = {SHORTEST: 4, 32: 8}
 #: Characters that are searched at once in a task; characters of the benchmark in one broadcast block.
 PIECE, BLOCK = 1_000_000, 4_000_000
+#: Pairs of a q-gram of the text and one of a passage that are spelled out at once, cells of an alignment row.
+PAIRS, CELLS = 2_000_000, 2_000_000
 _FILTER_BITS = 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,7 +54,7 @@ def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(folded[at], 1), at
 
 
-def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+def grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit code of every q-gram; q is a power of two."""
     out, factor, have = codes.astype(np.uint64), _MULTIPLIER, 1
     with np.errstate(over="ignore"):
@@ -60,8 +66,9 @@ def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The passages of one block: their letters, edit budgets, bands, thresholds and sorted q-grams."""
+    """Some passages of one q: their letters, edit budgets, bands, thresholds and sorted q-grams."""
 
+    q: int
     ids: list[int]
     codes: list[np.ndarray]
     length: np.ndarray
@@ -74,25 +81,31 @@ class Index:
     offset: np.ndarray
     filter: np.ndarray
 
+    @property
+    def wide(self) -> np.ndarray:
+        """Diagonals that are aligned: two bands, and the budget on both sides."""
+        return 2 * (self.width + self.budget)
 
-def build_index(items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE) -> Index | None:
-    """Index of passages (id, text). A passage of m letters gets the budget k of rate * m edits, or fewer if
-    the lemma's bound m + 1 - q * (k + 1) would fall below 1. Passages of under q letters have no q-gram
-    and are not searched. None if no passage is left."""
-    ids, codes, budget = [], [], []
+
+def build_indexes(items: list[tuple[int, str]], rate: float = EDIT_RATE) -> list[Index]:
+    """Indexes of passages (id, text), one for each q. A passage of m letters has the budget k of rate * m edits; q is
+    such that the lemma's bound m + 1 - q * (k + 1) is 1 at least. Passages of under SHORTEST letters are not searched:
+    nearly every text has them by chance."""
+    by_q: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, text in items:
         if i is None or text is None:
             continue
         c, _ = letters(text)
         c = c[1:] if len(c) and c[0] == 1 else c
         c = c[:-1] if len(c) and c[-1] == 1 else c
-        if len(c) >= q:
-            ids.append(int(i))
-            codes.append(c)
-            budget.append(min(int(rate * len(c)), len(c) // q - 1))
-    if not ids:
-        return None
-    k, m = np.array(budget), np.array([len(c) for c in codes])
+        if len(c) >= SHORTEST:
+            by_q.setdefault(Q_FROM[max(m for m in Q_FROM if m <= len(c))], []).append((int(i), c))
+    return [_index(q, *map(list, zip(*found, strict=True)), rate) for q, found in sorted(by_q.items())]
+
+
+def _index(q: int, ids: list[int], codes: list[np.ndarray], rate: float) -> Index:
+    m = np.array([len(c) for c in codes])
+    k = np.minimum((rate * m + 1e-9).astype(np.int64), m // q - 1)
     all_grams = [grams(c, q) for c in codes]
     flat, item = np.concatenate(all_grams), np.repeat(np.arange(len(ids)), [len(g) for g in all_grams])
     offset = np.concatenate([np.arange(len(g)) for g in all_grams])
@@ -100,7 +113,7 @@ def build_index(items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RAT
     distinct, start = np.unique(flat[order], return_index=True)
     bloom = np.zeros(1 << _FILTER_BITS, dtype=bool)
     bloom[_slot(distinct)] = True
-    return Index(ids, codes, m, k, m + 1 - q * (k + 1), np.maximum(k + 1, q), distinct, np.append(start, len(flat)), item[order], offset[order], bloom)
+    return Index(q, ids, codes, m, k, m + 1 - q * (k + 1), np.maximum(k + 1, q), distinct, np.append(start, len(flat)), item[order], offset[order], bloom)
 
 
 def _slot(codes: np.ndarray) -> np.ndarray:
@@ -108,7 +121,7 @@ def _slot(codes: np.ndarray) -> np.ndarray:
         return (codes * _MULTIPLIER) >> np.uint64(64 - _FILTER_BITS)
 
 
-def search(texts: list[str | None], index: Index, q: int = Q) -> list[tuple[int, int, int, int, int]]:
+def search(texts: list[str | None], index: Index) -> list[tuple[int, int, int, int, int]]:
     """All (text number, passage id, first position, end position, edits) with edits within the budget.
 
     A passage that a text holds several times is found in each band of diagonals; of overlapping finds
@@ -121,7 +134,7 @@ def search(texts: list[str | None], index: Index, q: int = Q) -> list[tuple[int,
             group.append(n)
             size += len(text)
         if group and (size >= PIECE or n == len(texts) - 1):
-            regions += _dense_regions([texts[g] for g in group], group, index, q)
+            regions += _dense_regions([texts[g] for g in group], group, index)
             group, size = [], 0
     best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for n, edits, start, end in _verify(regions, index):
@@ -131,8 +144,10 @@ def search(texts: list[str | None], index: Index, q: int = Q) -> list[tuple[int,
     for (text, item), spans in best.items():
         taken: list[tuple[int, int]] = []
         for edits, start, end in sorted(spans):
-            if all(end <= s or start >= e for s, e in taken):
-                taken.append((start, end))
+            # those taken don't overlap, so that only the neighbours can be in the way
+            n = bisect_right(taken, (start, end))
+            if (n == 0 or taken[n - 1][1] <= start) and (n == len(taken) or end <= taken[n][0]):
+                insort(taken, (start, end))
                 found.append((text, index.ids[item], start, end, edits))
     return found
 
@@ -148,39 +163,35 @@ class _Region(NamedTuple):
     low: int
 
 
-def _dense_regions(texts: list[str], numbers: list[int], index: Index, q: int) -> list[_Region]:
+def _dense_regions(texts: list[str], numbers: list[int], index: Index) -> list[_Region]:
     """The regions that share as many q-grams with a passage, in a band, as the lemma asks for."""
     parts = [letters(t) for t in texts]
     codes = np.concatenate([c for c, _ in parts])
     ends = np.cumsum([len(c) for c, _ in parts])
     begins = ends - [len(c) for c, _ in parts]
-    all_grams = grams(codes, q)
+    all_grams = grams(codes, index.q)
     maybe = np.flatnonzero(index.filter[_slot(all_grams)])
     where = np.minimum(np.searchsorted(index.grams, all_grams[maybe]), len(index.grams) - 1)
     true = index.grams[where] == all_grams[maybe]
     at, where = maybe[true], where[true]
     doc = np.searchsorted(ends, at, side="right")
-    inside = at + q <= ends[doc]
+    inside = at + index.q <= ends[doc]
     at, where, doc = at[inside], where[inside], doc[inside]
-    many = index.start[where + 1] - index.start[where]
-    place = np.repeat(index.start[where] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    item, doc = index.item[place], np.repeat(doc, many)
     # texts lie so far apart that no band of diagonals touches two of them
-    gap = 2 * int(index.width.max()) + max(map(len, index.codes)) + 1
-    diagonal = np.repeat(at, many) - index.offset[place] + (doc + 1) * gap
-    # so all q-grams of a band are of one text, which its first one names
-    keys, first, counts = np.unique((item.astype(np.int64) << 40) | (diagonal // index.width[item]), return_index=True, return_counts=True)
+    gap = int(index.wide.max()) + int(index.length.max()) + 1
+    keys, counts, doc = _bands(at, where, doc, gap, index)
     # overlapping bands, two widths wide: what a band and the next one have together
     both = counts.copy()
     follows = np.flatnonzero(keys[1:] == keys[:-1] + 1)
     both[follows] += counts[follows + 1]
     item = keys >> 40
     dense = both >= index.need[item]
-    doc = doc[first[dense]]
+    doc = doc[dense]
     item, low = item[dense].astype(np.int64), ((keys[dense] & ((1 << 40) - 1)) * index.width[item[dense]])
-    low -= (doc + 1) * gap
+    # edits before the first shared q-gram may begin that many diagonals below the band, those after the last end above
+    low -= (doc + 1) * gap + index.budget[item]
     left = np.maximum(low, begins[doc])
-    right = np.minimum(low + 2 * index.width[item] + index.budget[item] + index.length[item], ends[doc])
+    right = np.minimum(low + index.wide[item] + index.length[item], ends[doc])
     return [
         _Region(numbers[d], i, codes[x:y], parts[d][1][x - begins[d] : y - begins[d]], at - x)
         for d, i, x, y, at in zip(doc.tolist(), item.tolist(), left.tolist(), right.tolist(), low.tolist(), strict=True)
@@ -188,6 +199,29 @@ def _dense_regions(texts: list[str], numbers: list[int], index: Index, q: int) -
     ]
 
 
+def _bands(at: np.ndarray, where: np.ndarray, doc: np.ndarray, gap: int, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage and band, q-grams shared in it, text) of the q-grams ``where`` found at ``at``. Pairs are spelled out by
+    PAIRS, so that repeated q-grams in a text and a passage cost time but no memory."""
+    many = index.start[where + 1] - index.start[where]
+    upto = np.cumsum(many)
+    keys, counts, docs = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    begin = 0
+    while begin < len(at):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, side="right")))
+        s = slice(begin, end)
+        n = many[s]
+        place = np.repeat(index.start[where[s]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, of = index.item[place], np.repeat(doc[s], n)
+        diagonal = np.repeat(at[s], n) - index.offset[place] + (of + 1) * gap
+        # all q-grams of a band are of one text, which its first one names
+        new, first, count = np.unique((item.astype(np.int64) << 40) | (diagonal // index.width[item]), return_index=True, return_counts=True)
+        keys, where_first, inverse = np.unique(np.concatenate([keys, new]), return_index=True, return_inverse=True)
+        counts = np.bincount(inverse, weights=np.concatenate([counts, count]), minlength=len(keys)).astype(np.int64)
+        docs = np.concatenate([docs, of[first]])[where_first]
+        begin = end
+    return keys, counts, docs
+
+
 def _verify(regions: list[_Region], index: Index) -> list[tuple[int, int, int, int]]:
     """(region, edits, first, end) of those that hold their passage within its budget; verbatim ones at once."""
     found, rest = [], []
@@ -198,6 +232,32 @@ def _verify(regions: list[_Region], index: Index) -> list[tuple[int, int, int, i
             found.append((n, 0, where, where + len(passage)))
         else:
             rest.append(n)
+    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for n, _, start, end in found:
+        taken.setdefault((regions[n].text, regions[n].item), []).append((int(regions[n].position[start]), int(regions[n].position[end - 1]) + 1))
+    rest = [n for n in rest if _has_room(regions[n], taken.get((regions[n].text, regions[n].item), []), index)]
+    wide = index.wide
+    # of like width together, so that narrow ones aren't padded to a wide one, and CELLS of them at once
+    rest.sort(key=lambda n: wide[regions[n].item])
+    while rest:
+        n_now = max(1, int(np.searchsorted(np.arange(1, len(rest) + 1) * wide[[regions[n].item for n in rest]], CELLS, side="right")))
+        rest, now = rest[n_now:], rest[:n_now]
+        found += _aligned(regions, now, index)
+    return found
+
+
+def _has_room(region: _Region, taken: list[tuple[int, int]], index: Index) -> bool:
+    """Whether the passage may stand in the region beside the places where it stands letter by letter: what overlaps
+    such a place has more edits than it and would go."""
+    free, longest = 0, 0
+    for start, end in [*sorted(taken), (1 << 62, 1 << 62)]:
+        longest = max(longest, int(np.searchsorted(region.position, start)) - free)
+        free = max(free, int(np.searchsorted(region.position, end)))
+    return longest >= index.length[region.item] - index.budget[region.item]
+
+
+def _aligned(regions: list[_Region], rest: list[int], index: Index) -> list[tuple[int, int, int, int]]:
+    found = []
     if rest:
         ends = np.cumsum([len(regions[n].codes) for n in rest])
         begins = ends - [len(regions[n].codes) for n in rest]
@@ -222,21 +282,21 @@ _FAR = 1 << 20
 def align(index: Index, item: np.ndarray, text: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Banded alignment of whole passages, row by row for all candidates at once.
 
-    Candidate n aligns passage item[n] with text[begin[n]:end[n]] along the diagonals from low[n] on, two
-    band widths and the budget of them; ends are free. Returns (n, edits, first, end) for those within
+    Candidate n aligns passage item[n] with text[begin[n]:end[n]] along the ``wide`` diagonals from low[n] on; ends are free. Returns (n, edits, first, end) for those within
     budget; a candidate over budget in every cell is left out of further rows.
     """
     if not len(item):
         return []
     live, found = np.arange(len(item)), []
-    band = int((2 * index.width[item] + index.budget[item]).max())
+    band = int(index.wide[item].max())
     steps = np.arange(band)
     lengths = index.length
-    passages = np.zeros((len(lengths), lengths.max()), dtype=text.dtype)
-    for n, c in enumerate(index.codes):
-        passages[n, : len(c)] = c
+    used = np.unique(item)
+    passages = np.concatenate([index.codes[n] for n in used])
+    starts = np.zeros(len(lengths), dtype=np.int64)
+    starts[used] = np.cumsum(lengths[used]) - lengths[used]
     where = low[:, None] + steps
-    outside = steps >= (2 * index.width[item] + index.budget[item])[:, None]
+    outside = steps >= index.wide[item][:, None]
     cost = np.where((where >= begin[:, None]) & (where <= end[:, None]) & ~outside, 0, _FAR)
     begun = where.copy()
     for i in range(int(lengths[item].max())):
@@ -249,7 +309,7 @@ def align(index: Index, item: np.ndarray, text: np.ndarray, low: np.ndarray, beg
             live, cost, begun = live[~done], cost[~done], begun[~done]
         at = low[live, None] + steps + i  # the letter of the text that meets letter i of the passage
         fits = (at >= begin[live, None]) & (at < end[live, None])
-        other = text[np.clip(at, 0, len(text) - 1)] != passages[item[live], i][:, None]
+        other = text[np.clip(at, 0, len(text) - 1)] != passages[starts[item[live]] + i][:, None]
         straight = np.where(fits, cost + other, _FAR)
         skipped = np.full_like(cost, _FAR)  # the passage has a letter more
         skipped[:, :-1] = cost[:, 1:] + 1
@@ -275,15 +335,13 @@ def align(index: Index, item: np.ndarray, text: np.ndarray, low: np.ndarray, beg
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
-    """Indexes of the benchmark, each of about BLOCK characters: that bounds what is broadcast at once."""
+    """Indexes of the benchmark, by blocks of about BLOCK characters: that bounds what is broadcast at once."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK))
     for b in range(n):
         items = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b).orderBy("id", "text").collect()
-        index = build_index([(r["id"], r["text"]) for r in items])
-        if index is not None:
-            yield index
+        yield from build_indexes([(r["id"], r["text"]) for r in items])
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -293,8 +351,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     passage of m letters is found wherever a region of the text is within m / 10 edits of all of it: such
     a region shares m + 1 - q * (k + 1) q-grams in a band of diagonals, and those that do are aligned. Whole
     texts of every row are searched, in pieces of bounded memory; nothing is shuffled. The benchmark is a
-    stated query set: it is broadcast in blocks of about 4 million characters, one scan for each. Null or
-    empty texts hold nothing; null ids of documents are returned as null; repeated rows are found each.
+    stated query set: it is broadcast in blocks of about 4 million characters, one scan for each. Passages of
+    under SHORTEST letters and null ones are not searched. Null or empty texts hold nothing; null ids of documents
+    are returned as null; repeated rows are found each, as are passages that repeat. Empty tables give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"))
@@ -315,7 +374,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no passage of ``benchmark`` is found."""
+    """The rows of ``docs``, with all their columns, in which no passage of ``benchmark`` is found.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; an empty benchmark drops nothing.
+    """
     position = docs.columns.index(text_col)
     for index in _blocks(benchmark, item_col, item_text_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
