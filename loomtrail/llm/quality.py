@@ -12,16 +12,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, text_of
+from .common import cut, held_out, text_of
 from .tokens import _IS_SPACE, pieces
 
 #: Words of a passage, hashed byte pairs, size of the encoding and of the attention network.
 PASSAGE, PAIRS, ENCODED, ATTENTION = 50, 64, 24, 12
-#: Labelled documents that the classifier is fitted on at most, and passes over them.
-SAMPLE, EPOCHS = 4_000, 40
+#: Labelled documents that the classifier is fitted on at most, their passages at most (130 MB), passes over them.
+SAMPLE, SAMPLE_PASSAGES, EPOCHS = 4_000, 400_000, 40
 
 _KINDS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \n", b".", b",;:", b"!?", b"#$%&*@^~", b"|<>{}[]\\/_=+", b"'\"()-`")
 _KIND = np.full(256, len(_KINDS) + 1, dtype=np.int64)
@@ -164,9 +164,11 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = EPOCHS,
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled documents that are not held out, first in the order of a hash.
 
-    Rows of ``labels`` that share an id count by their mean; null ids and labels are left out. The features
-    of the sample's passages are made on the executors; only those, bounded by the sample, reach the driver. Where
-    several rows share a chosen id, the text with the smallest content tag stands for it.
+    Of those, documents with over a hundredth of SAMPLE_PASSAGES (200,000 words) are passed over, and the others are
+    taken until their passages are SAMPLE_PASSAGES. Rows of ``labels`` that share an id count by their mean; null
+    ids and labels are left out. The features of the sample's passages are made on the executors and bounded there; only
+    then they reach the driver. Where several rows share a chosen id, the text with the smallest content tag stands
+    for it.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     known = known.where(~held_out(F.col("id"), 3)).groupBy("id").agg(F.avg("y").alias("y"))
@@ -177,12 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             x, counts = passages(batch["text"].tolist())
             parts = np.split(x, np.cumsum(counts)[:-1]) if len(counts) else []
-            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "x": [p.tobytes() for p in parts]})
+            yield pd.DataFrame({"id": batch["id"], "y": batch["y"], "n": counts, "x": [p.tobytes() for p in parts]})
 
     labelled = texts.join(F.broadcast(chosen), "id")
     # reduced in each task before the shuffle, so that an id with very many rows is no hot group
     one = labelled.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("tag"), "text", "y")).alias("first"))
-    bags = one.select("id", "first.y", "first.text").mapInPandas(encode, "id long, y double, x binary").toPandas()
+    encoded = cut(one.select("id", "first.y", "first.text").mapInPandas(encode, "id long, y double, n long, x binary"))
+    # one row for each document of the sample
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id"))
+    taken = encoded.where(F.col("n") <= SAMPLE_PASSAGES // 100).select("id", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_PASSAGES)
+    bags = encoded.join(F.broadcast(taken.select("id")), "id", "left_semi").toPandas()
     bags = bags.sort_values("id", kind="stable")
     x = [np.frombuffer(b, dtype=np.float32).reshape(-1, WIDTH) for b in bags["x"]]
     return fit(np.concatenate(x) if x else np.zeros((0, WIDTH), np.float32), np.array([len(b) for b in x], dtype=int), (bags["y"].to_numpy() >= 0.5).astype(float))
@@ -205,7 +211,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns.
+
+    Null and empty texts are scored as one empty passage; rows that repeat a text stay or go together.
+    """
     position = docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
