@@ -7,9 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Labelled URLs that the classifier is fitted on at most, its trees and their depth.
 SAMPLE, TREES, DEPTH = 10_000, 12, 4
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "suffix_length", "suffix_share", "suffix_blocked")
@@ -81,20 +84,18 @@ class UrlFilter:
 
     def fit(self, labelled: DataFrame) -> UrlFilter:
         """``labelled``: (url, label), label 1 to block and 0 to allow; rows without either are left out."""
-        spark = labelled.sparkSession
         rows = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("double").alias("label")).where("url IS NOT NULL AND label IS NOT NULL")
         rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(self.sample)
         rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-        told = _lexical(rows).select("suffix", "label", *FEATURES[:-2]).toPandas()
-        self.constant = float(told["label"].mean()) if len(told) else 0.0
-        stats = told.groupby("suffix")["label"].agg(["size", "sum"]).reset_index()
-        stats["suffix_share"] = stats["size"] / max(1, len(told))
-        stats["suffix_blocked"] = (stats["sum"] + 10 * self.constant) / (stats["size"] + 10)
-        self.suffixes = spark.createDataFrame(list(stats[["suffix", "suffix_share", "suffix_blocked"]].itertuples(index=False, name=None)), "suffix string, suffix_share double, suffix_blocked double")
+        # the sample is all that the rest reads
+        told = cut(_lexical(rows).select("suffix", "label", *FEATURES[:-2]))
+        n, blocked = told.agg(F.count("*"), F.sum("label")).first()
+        self.constant = blocked / n if n else 0.0
+        of_suffix = told.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+        share, smoothed = F.col("n") / max(1, n), (F.col("blocked") + 10 * self.constant) / (F.col("n") + 10)
+        self.suffixes = cut(of_suffix.select("suffix", share.alias("suffix_share"), smoothed.alias("suffix_blocked")))
         if 0 < self.constant < 1:
-            told = told.merge(stats[["suffix", "suffix_share", "suffix_blocked"]], on="suffix")
-            sample = spark.createDataFrame(told[["label", *FEATURES]]).coalesce(1)
-            self.model = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, seed=self.seed).fit(self._assembled(sample))
+            self.model = GBTClassifier(maxIter=self.trees, maxDepth=self.depth, seed=self.seed).fit(self._assembled(told.join(F.broadcast(self.suffixes), "suffix")))
         return self
 
     @staticmethod
@@ -102,13 +103,13 @@ class UrlFilter:
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
     def block(self, urls: DataFrame) -> DataFrame:
-        """Adds ``blocked`` (1.0 or 0.0) to (url, host, path, ...). A sample of one label decides for all."""
+        """Adds ``blocked`` (1.0 or 0.0) and ``p_block`` to (url, host, path, ...). A sample of one label decides for all."""
         if self.model is None:
-            return urls.withColumn("blocked", F.lit(float(self.constant >= 0.5)))
+            return urls.withColumns({"blocked": F.lit(float(self.constant >= 0.5)), "p_block": F.lit(float(self.constant))})
         joined = _lexical(urls).join(F.broadcast(self.suffixes), "suffix", "left")
         joined = joined.fillna({"suffix_share": 0.0, "suffix_blocked": self.constant})
         scored = self.model.transform(self._assembled(joined))
-        return scored.select(*urls.columns, F.col("prediction").alias("blocked"))
+        return scored.select(*urls.columns, F.col("prediction").alias("blocked"), vector_to_array("probability")[1].alias("p_block"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
