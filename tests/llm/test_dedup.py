@@ -47,9 +47,9 @@ def test_simhash_is_the_brute_force_one():
     assert simhash.simhash(texts).tolist() == [brute_simhash(t) for t in texts]
 
 
-@pytest.mark.parametrize("limit", [8000, 30])
-def test_near_duplicates_are_all_links_within_four_bits(spark, monkeypatch, limit):
-    monkeypatch.setattr(simhash, "HOT_ROWS", limit)
+@pytest.mark.parametrize("hot", [8, 0.005])
+def test_near_duplicates_are_all_links_within_four_bits(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     monkeypatch.setattr(simhash, "CHUNK", 50_000)
     rows = [(i, prose(i, 400)) for i in range(60)]
     for i in range(60, 160):
@@ -134,6 +134,13 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_one_document_of_very_many_lines(spark):
+    rows = [(1, "\n".join(f"line {i}" for i in range(200_000))), (2, "\n".join(f"line {i}" for i in range(100_000, 300_000)))]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert (got[1]["n_removed"], got[2]["n_removed"], got[2]["n_lines"]) == (0, 100_000, 200_000)
+    assert got[2]["text"].split("\n") == [f"line {i}" for i in range(200_000, 300_000)]
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     text = prose(3, 2000)
     c = substring_dedup.chunks([text, None, "", "tiny", "orre " * 1000])

@@ -2,6 +2,8 @@
 
 import math
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -44,6 +46,18 @@ def test_quality_learns_and_scores_everything(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in got)
 
 
+def test_the_sample_of_passages_is_bounded_before_it_is_collected(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_PASSAGES", 400)
+    rows, labels = corpus(240)
+    long = next(i for i, _ in rows if not fold(i, 3))
+    rows = [(i, t + " word" * 400 if i == long else t) for i, t in rows]
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, counts, y: seen.append(counts) or fit(x, counts, y))
+    model = quality.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert 100 < seen[0].sum() <= 400 and seen[0].max() <= 4 and model.weights
+
+
 def test_quality_of_empty_tables_and_one_label(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = frame(spark, [(1, "a b")])
@@ -184,7 +198,7 @@ def edits(a, b):
 
 def test_edits_are_those_of_the_full_table():
     r = random.Random(9)
-    index = decontaminate.build_index([(1, prose(4000, 14))])
+    index = decontaminate.build_indexes([(1, prose(4000, 14))])[0]
     passage = "".join(map(chr, index.codes[0]))
     for n in range(20):
         text = f"{prose(n, 30)} {edited(prose(4000, 14), 0.02 * (n % 7), r)} {prose(n + 50, 30)}"
@@ -193,6 +207,32 @@ def test_edits_are_those_of_the_full_table():
         assert [x[4] for x in found] == ([best] if best <= index.budget[0] else [])
 
 
+@pytest.mark.parametrize("m", range(8, 41))
+def test_passages_of_every_length_are_found_within_a_tenth_of_edits(m):
+    r = random.Random(m)
+    for n in range(12):
+        passage = "".join(r.choice("abcdefghijklm") for _ in range(m))
+        (index,) = decontaminate.build_indexes([(1, passage)])
+        assert index.budget[0] == m // 10 and index.need[0] >= 1
+        text = " ".join(["".join(r.choice("nopqrstuvwxyz") for _ in range(r.randrange(50))), edited(passage, 0.04 * (n % 5), r), "nopqrst" * r.randrange(3)])
+        best = edits("".join(map(chr, index.codes[0])), "".join(map(chr, decontaminate.letters(text)[0])))
+        assert [x[4] for x in decontaminate.search([text], index)] == ([best] if best <= m // 10 else [])
+
+
+def test_repeated_letters_and_one_long_passage_take_bounded_memory():
+    r = random.Random(3)
+    long = " ".join(prose(i, 1000) for i in range(5))
+    items = [(1, "a" * 600), (2, long)] + [(10 + i, prose(5000 + i, 14)) for i in range(300)]
+    indexes = decontaminate.build_indexes(items)
+    texts = ["a" * 20_000, f"{prose(1, 50)} {edited(prose(5003, 14), 0.05, r)} {prose(2, 50)}", long]
+    tracemalloc.start()
+    found = [x for index in indexes for x in decontaminate.search(texts, index)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(t, i) for t, i, *_ in found} == {(0, 1), (1, 13), (2, 2)} and len(found) > 30
+    assert most < 600_000_000
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(3000 + i, 15)) for i in range(12)], "item_id long, text string")
     docs = frame(spark, [(i, f"{prose(i, 30)} {prose(3000 + i, 15)} {prose(i, 9)}") for i in range(12)])
@@ -289,6 +329,21 @@ def test_urls_learn_from_labels(spark):
     assert sum((got[i] == "block") == (i >= 50) for i in range(100)) >= 98
 
 
+def test_urls_that_rules_decide_are_told_apart_when_held_out(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(F.col("url").cast("string").alias("url"))
+    urls_ = pages.withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))})
+    told = urls_.withColumn("told", urls.rule_of(F.col("host"), F.col("path"), RULES)[1]).where("told IS NOT NULL").withColumn("label", (F.col("told") == "block").cast("double"))
+    out = F.crc32("url") % 3 == 1
+    model = urls.UrlFilter().fit(told.where(~out).select("url", "label"))
+    got = model.block(told.where(out)).toPandas()
+    assert len(got) > 30 and got["label"].nunique() == 2
+    rank = got["p_block"].rank()
+    ones, zeros = (got["label"] == 1).sum(), (got["label"] == 0).sum()
+    auc = (rank[got["label"] == 1].sum() - ones * (ones + 1) / 2) / (ones * zeros)
+    print(f"held-out AUC {auc:.3f}, accuracy {(got['blocked'] == got['label']).mean():.3f} of {len(got)}")
+    assert auc > 0.7
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="cookie-notice">We use cookies</div><div class="ad">Buy</div>
 <{0}><h2>Head&amp;line</h2><p>First  para <b>bold</b>text&nbsp;here<br>next<p>Second &lt;b&gt; 5 < 6 <a href="#">link</a><!-- hidden --><form><input>search</form>
@@ -296,9 +351,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 WANT = "Head&line First para boldtext here next Second <b> 5 < 6 link one two"
 
 
-@pytest.mark.parametrize("bound", [0, 200_000])
+@pytest.mark.parametrize("bound", [0, 1_000_000])
 def test_html(spark, monkeypatch, bound):
-    monkeypatch.setattr(html, "BROADCAST_HOSTS", bound)
+    monkeypatch.setattr(html, "BROADCAST_BYTES", bound)
     pages = [(i, f"http://h.example/{i}", PAGE.format("article", "article")) for i in range(5)]
     pages += [(9, "http://g.example/1", PAGE.format('div class="post-12"', "div")), (10, None, None), (11, "http://h.example/x", ""), (12, "odd", "plain text"), (13, "http://h.example/y", "<p>no article"), (14, "http://h.example/z", PAGE.format("article", "article").split("</article>")[0]), (14, "u", "<script>x")]
     got = html.main_text(frame(spark, pages, "page_id long, url string, html string, text string, host string, path string")).collect()
@@ -337,7 +392,7 @@ def test_a_labelled_id_with_very_many_rows_hides_no_other_label(spark):
 @pytest.mark.parametrize("n", range(8, 17))
 def test_short_passages_at_the_end_of_any_text(n):
     passage = "qzxjvkwybdfghmpt"[:n]
-    index = decontaminate.build_index([(1, passage)])
+    (index,) = decontaminate.build_indexes([(1, passage)])
     for pad in range(1, 40):
         texts = [f"{'o' * pad} {passage}", "a text that follows in the same piece and has none of it"]
         assert {(t, i) for t, i, *_ in decontaminate.search(texts, index)} == {(0, 1)}, pad
@@ -350,7 +405,7 @@ def test_short_passages_at_the_end_of_any_text(n):
         ("<html><head><title>x</title><p>All of it", "All of it"),
         ("<head><title>x</title></head><p>All of it", "All of it"),
         ("<p>Before.</p><svg width='1' viewBox=\"0 > 1\"/><p>After", "Before. After"),
-        ("<p>Before.</p><math/><p>Between</p><math><mi>x</mi></math><p>After", "Before. Between After"),
+        ("<p>Before.</p><math/><p>Between</p><math><mi>x</mi></math><p>After", "Before. Between x After"),
         ("<p>Before.</p><svg><text>no</text></svg><p>After", "Before. After"),
         ("<p>Before.</p><iframe src=x><p>After", "Before. After"),
         ("<p>Before.</p><script>no<p>no", "Before."),
@@ -379,3 +434,34 @@ def test_a_wrapper_is_not_dropped_by_a_part_of_its_name(wrapper, tag):
     assert html.extract(html.parse(page), None) == text
     beside = f"<body><article>{text}</article><div {wrapper}><article>{prose(3, 90)}</article></div>"
     assert html.extract(html.parse(beside), None) == text
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a " + '"' * 200, "<a " * 100_000, "<p>x" + "<div>" * 100_000, "<svg>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, '<a href="' * 50_000, "<!--" * 50_000, "<p>" + "y " * 10_000_000],
+)
+def test_odd_and_long_pages_take_time_and_memory_in_proportion(source):
+    begun = time.monotonic()
+    tracemalloc.start()
+    said = html.extract(html.parse(source), None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.monotonic() - begun < 30 and most < 300_000_000
+    assert said == ("x" if "x" in source else ("y " * 10_000_000).strip() if "y" in source else "")
+
+
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ("<p>a</p><div class='share-price'>b</div><p class='notice-period'>c</p>", "a b c"),
+        ("<p>a <math><mi>x</mi><mo>+</mo></math> <label>b</label></p>", "a x+ b"),
+        ("<p>a</p><div class='ad'>b</div><div class='comment-list'>c</div><div class='cookie-notice'>d</div><ul class='share-buttons'><li>e</ul>", "a"),
+        ("<p>a</p><div class='ad-slot-12'>b</div><section id='comments'>c</section><p class='no-comments'>d</p>", "a d"),
+        ("<p>a <span class='reply'>b</span> c</p>", "a c"),
+    ],
+)
+@pytest.mark.parametrize("wrapper", ["article", "div id='search-algorithms' class='content'"])
+def test_names_rule_out_what_they_name_only(inside, want, wrapper):
+    text = prose(1, 60)
+    page = f"<body><nav>menu</nav><{wrapper}><p>{text}</p>{inside}</{wrapper.split()[0]}><div class='sidebar'>side</div>"
+    assert html.extract(html.parse(page), None) == f"{text} {want}"
