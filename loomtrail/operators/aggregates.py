@@ -119,9 +119,17 @@ def floor_quantiles(rows: DataFrame, group: Sequence[str], value: str, quantiles
 
 
 def reward_stats(rewards: DataFrame, group: Sequence[str], r: str = "r", tier: str = "tier") -> DataFrame:
-    """Rewards of each group: scored and masked (null, never 0), mean and exact median of those scored, by tier."""
+    """Rewards of each group: scored and masked (null, never 0), mean and exact median of those scored, by tier.
+
+    The median is that of ranks over counted values, so that no group's values are gathered in one row."""
+    counted = rewards.where(F.col(r).isNotNull()).groupBy(*group, r).agg(F.count("*").alias("_n"))
+    ranked = counted.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*group).orderBy(r))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
+    middle = [F.min(F.when(F.col("_upto") > F.floor((F.col("_all") + more) / 2), F.col(r))) for more in (-1, 0)]
+    medians = ranked.groupBy(*group).agg(F.round((middle[0] + middle[1]) / 2, 4).alias("r_median"))
     tiers = [F.count_if((F.col(tier) == t) & F.col(r).isNotNull()).alias(f"tier{t}") for t in range(5)]
-    return rewards.groupBy(*group).agg(F.count(r).alias("scored"), F.count_if(F.col(r).isNull()).alias("masked"), F.round(F.avg(r), 4).alias("r_mean"), F.round(F.median(r), 4).alias("r_median"), *tiers)
+    stats = rewards.groupBy(*group).agg(F.count(r).alias("scored"), F.count_if(F.col(r).isNull()).alias("masked"), F.round(F.avg(r), 4).alias("r_mean"), *tiers)
+    same = [stats[g].eqNullSafe(medians[g]) for g in group]
+    return stats.join(medians, same, "left").select(*[stats[c] for c in stats.columns], "r_median")
 
 
 def reward_histogram(rewards: DataFrame, r: str = "r", bins: int = 10) -> DataFrame:

@@ -7,18 +7,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
-def episode_roots(runs: DataFrame, max_depth: int = 1 << 16, store=None) -> DataFrame:
+
+def episode_roots(runs: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
     """Adds episode_key: the root reached by parent_key → self_key.
 
     A parent that wasn't imported keeps its key; a run without one has its group, self key, or ``row:`` id. Of runs
     that share a self key the one with the largest id counts. Links are halved in each round (pointer
-    jumping), so depth d takes log2(d) joins; runs on a cycle keep their parent key. ``store`` may cut the lineage
-    of a round (a checkpoint).
+    jumping), so depth d takes log2(d) joins; runs on a cycle keep their parent key. The lineage is cut in every round,
+    since each reads the links of the one before twice.
     """
     own = F.coalesce("group_key", "self_key", F.concat(F.lit("row:"), F.col("run_id").cast("string")))
     named = runs.where(F.col("self_key").isNotNull()).groupBy("self_key").agg(F.max_by(F.struct(F.col("parent_key").alias("parent"), own.alias("own")), "run_id").alias("n")).select("self_key", "n.*")
-    links = named.select(F.col("self_key").alias("key"), F.col("parent").alias("next"), "own")
+    links = cut(named.select(F.col("self_key").alias("key"), F.col("parent").alias("next"), "own"))
     for _ in range(max(1, math.ceil(math.log2(max_depth)))):
         moving = links.where(F.col("next").isNotNull())
         if moving.isEmpty():
@@ -28,12 +30,12 @@ def episode_roots(runs: DataFrame, max_depth: int = 1 << 16, store=None) -> Data
         # an unknown parent ends the chain with its key; a parent without a parent gives its own
         ended = F.col("next").isNotNull() & F.col("_known").isNull()
         arrived = F.col("_known") & F.col("_next2").isNull()
-        links = jumped.select(
+        jumped = jumped.select(
             "key",
             F.when(ended | arrived, F.lit(None)).otherwise(F.coalesce("_next2", "next")).alias("next"),
             F.when(ended, F.col("next")).when(arrived, F.col("_own2")).otherwise(F.col("own")).alias("own"),
         )
-        links = store(links) if store else links
+        links = cut(jumped)
     roots = links.select(F.col("key").alias("parent_key"), F.when(F.col("next").isNull(), F.col("own")).alias("_root"))
     joined = runs.join(roots, "parent_key", "left")
     return joined.withColumn("episode_key", F.when(F.col("parent_key").isNull(), own).otherwise(F.coalesce("_root", "parent_key"))).drop("_root").select(*runs.columns, "episode_key")

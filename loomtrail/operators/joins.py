@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .sequences import backwards
+
 
 def side_by_side(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Two summaries side by side, 0 where one lacks a key."""
@@ -23,10 +26,12 @@ def with_reviews(runs: DataFrame, reviews: DataFrame, reviewer: str | None = Non
 
 
 def latest_review(runs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """For each episode (collection, episode_key) the latest review of any member, and all labels given."""
+    """For each episode (collection, episode_key) the latest review of any member, and all labels given (in order, once
+    each) if reviews have ``labels``."""
     joined = reviews.join(runs.select("run_id", "collection", "episode_key"), "run_id")
+    labels = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels")] if "labels" in reviews.columns else []
     return joined.groupBy("collection", "episode_key").agg(
-        F.max("updated_at").alias("updated_at"), F.max_by("human_status", F.struct("updated_at", "run_id")).alias("human_status"), F.count("*").alias("reviews")
+        F.max("updated_at").alias("updated_at"), F.max_by("human_status", F.struct("updated_at", "run_id")).alias("human_status"), F.count("*").alias("reviews"), *labels
     )
 
 
@@ -44,13 +49,20 @@ def suffixes(name: Column, separator: str = "/") -> Column:
 
 
 def latest_by_prefix(runs: DataFrame, rewards: DataFrame, id_col: str = "run_id", path_col: str = "path", root_col: str = "root", stamp: str = "imported_at", tie: Sequence[str] = ("label",)) -> DataFrame:
-    """Each run with the latest reward whose root is its path or an ancestor of it.
+    """Each run with the latest reward whose root is its path or an ancestor of it, and, if both have ``task_id``, whose
+    task is its own or what is left of that after a namespace.
 
-    The prefix condition is an equality with one of the path's ancestors, so that Spark hashes both sides
-    instead of comparing every pair. Latest wins, then the smallest of ``tie`` and the root.
+    Both conditions are equalities with one of the path's ancestors and one of the task's suffixes, so that Spark hashes
+    both sides instead of comparing every pair. Latest wins, then the smallest of ``tie`` and the root.
     """
-    candidates = runs.select(id_col, F.explode(F.array_distinct(prefixes(F.col(path_col)))).alias(root_col))
-    matched = candidates.join(rewards, root_col)
+    candidates = runs.withColumn("_root", F.explode(F.array_distinct(prefixes(F.col(path_col)))))
+    keys = [root_col]
+    if "task_id" in runs.columns and "task_id" in rewards.columns:
+        keys.append("task_id")
+        candidates = candidates.select(id_col, F.col("_root").alias(root_col), F.explode(F.array_distinct(suffixes(F.col("task_id")))).alias("task_id"))
+    else:
+        candidates = candidates.select(id_col, F.col("_root").alias(root_col))
+    matched = candidates.join(rewards, keys)
     best = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(stamp), *tie, root_col))
     return matched.withColumn("_nth", best).where("_nth = 1").drop("_nth")
 
@@ -60,8 +72,7 @@ def spans_of(files: DataFrame, order: Sequence[str], records: str = "records") -
     records: sums within range partitions, then offsets from the one sum of each partition joined back. The
     partitions are cut once, since they could be dealt otherwise when they are computed again."""
     by_order = [F.col(c) for c in order]
-    dealt = files.repartitionByRange(*by_order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else dealt.localCheckpoint()
+    dealt = cut(files.repartitionByRange(*by_order).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy("_part").orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
     sums = dealt.groupBy("_part").agg(F.sum(records).alias("_sum"))
     # one row for each partition
@@ -80,8 +91,8 @@ def span_join(rows: DataFrame, spans: DataFrame, at: str = "row", bucket: int =
 
 def first_after(events: DataFrame, opens: Column, closes: Column, order: Sequence[str] = ("ts", "call_id"), partition: Sequence[str] = ("run_id",)) -> DataFrame:
     """For each opening event the first closing one after it in its partition (null: none)."""
-    later = Window.partitionBy(*partition).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    matched = F.first(F.when(closes, F.col(order[-1])), ignorenulls=True).over(later)
+    later = backwards(partition[0], order, *partition[1:])
+    matched = F.last(F.when(closes, F.col(order[-1])), ignorenulls=True).over(later)
     return events.withColumn("matched", matched).where(opens).select(*partition, order[-1], "matched")
 
 

@@ -18,6 +18,12 @@ def in_order(run: str = "run_id", order: Sequence[str] = ORDER, *more: str) -> W
     return Window.partitionBy(run, *more).orderBy(*order)
 
 
+def backwards(run: str = "run_id", order: Sequence[str] = ORDER, *more: str) -> WindowSpec:
+    """What comes later, read from the end: frames that end before the current row are extended row by row, while those
+    that begin after it would be summed up anew for every row."""
+    return Window.partitionBy(run, *more).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _micros(stamp: Column) -> Column:
     return F.unix_micros(stamp.cast("timestamp"))
 
@@ -46,9 +52,9 @@ def blind_retries(calls: DataFrame) -> DataFrame:
 
 def error_recovery(calls: DataFrame) -> DataFrame:
     """For each failed call the first later success of its tool, and how many later calls of the tool there are."""
-    later = in_order("run_id", ORDER, "tool").rowsBetween(1, Window.unboundedFollowing)
+    later = backwards("run_id", ORDER, "tool")
     succeeded = F.when(~F.col("is_error"), F.col("call_id"))
-    found = calls.withColumn("recovered_by", F.first(succeeded, ignorenulls=True).over(later)).withColumn("attempts_later", F.count("*").over(later))
+    found = calls.withColumn("recovered_by", F.last(succeeded, ignorenulls=True).over(later)).withColumn("attempts_later", F.count("*").over(later))
     return found.where("is_error").select("run_id", "call_id", "tool", "recovered_by", "attempts_later")
 
 
@@ -80,8 +86,7 @@ def context_track(steps: DataFrame, tokens: Column, reset: Column, measured: Col
 
 def time_to_next(steps: DataFrame, stamp: str = "ts", order: Sequence[str] = ORDER) -> DataFrame:
     """Adds seconds to the next stamped step, and a heat bucket: under 10 s, 1 min, 5 min, over."""
-    later = Window.partitionBy("run_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    seconds = _micros(F.first(stamp, ignorenulls=True).over(later)) / 1e6 - _micros(F.col(stamp)) / 1e6
+    seconds = _micros(F.last(stamp, ignorenulls=True).over(backwards("run_id", order))) / 1e6 - _micros(F.col(stamp)) / 1e6
     timed = steps.withColumn("seconds", seconds)
     return timed.withColumn("heat", F.when(F.col("seconds") < 10, 0).when(F.col("seconds") < 60, 1).when(F.col("seconds") < 300, 2).when(F.col("seconds").isNotNull(), 3))
 
@@ -148,8 +153,13 @@ def previous_tool_step(steps: DataFrame, has_tools: Column, order: Sequence[str]
 
 def next_steps(steps: DataFrame, after: Column, n: int = 2, order: Sequence[str] = ("step",)) -> DataFrame:
     """The next ``n`` steps of kind ``after`` for every step, as an array."""
-    later = Window.partitionBy("run_id").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return steps.withColumn("next_steps", F.slice(F.collect_list(F.when(after, F.col("step"))).over(later), 1, n))
+    none = F.array().cast(f"array<{steps.schema['step'].dataType.simpleString()}>")
+    found = steps.withColumn("next_steps", none)
+    for _ in range(n):
+        # the next step of the kind, and then those that were next for it
+        onward = F.when(after, F.concat(F.array("step"), "next_steps"))
+        found = found.withColumn("next_steps", F.coalesce(F.last(onward, ignorenulls=True).over(backwards("run_id", order)), none))
+    return found
 
 
 def status_changes(items: DataFrame, item: str = "item", status: str = "status", order: Sequence[str] = ("step",)) -> DataFrame:
