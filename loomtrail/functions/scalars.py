@@ -17,8 +17,10 @@ MASKS = (
     (r"\d+(?:\.\d+)?", "<n>"),
     (r"\s+", " "),
 )
-# fixed values: words that name an error; exception names that mean the infrastructure
+# fixed values: words that name an error; lines about a command as such; exception names that mean the infrastructure
 ERROR_WORDS = r"(?iu)error|exception|fail|not found|no such|denied|cannot|can't|invalid|refused|timed? ?out|unknown|missing|not allowed|blocked|requires approval|does not exist|undefined"
+COMMAND_LINES = r"(?i)^(?:Exit code:?\s*-?\d+|Process exited with code -?\d+|Script (?:failed|error|completed).*|Script running with cell ID.*|Wall time.*|Output:|Chunk ID.*)$"
+_LINE_END = r"\r\n|\n|\r"
 INFRA_EXCEPTION = r"(?iu)environment|docker|sandbox|container|connection|network|gateway|provision|ratelimit|rate_limit|overloaded|apierror|api_error|stream"
 
 
@@ -55,8 +57,8 @@ def score_status(score: Column) -> Column:
 
 
 def reward_status(masked: Column, tier: Column, r: Column) -> Column:
-    """A masked reward is unknown, never 0; tier 4 and above passes."""
-    return F.when(masked | r.isNull(), "unknown").when(tier >= 4, "pass").when(tier <= 0, "fail").otherwise("partial")
+    """A masked reward is unknown, never 0; only tier 4 and above passes."""
+    return F.when(masked | r.isNull(), "unknown").when(tier >= 4, "pass").otherwise("fail")
 
 
 def consistency(claims_done: Column, outcome: Column) -> Column:
@@ -75,8 +77,13 @@ def tool_error(text: Column) -> Column:
 
 
 def error_template(text: Column) -> Column:
-    """The line of an error output that tells most, with what varies masked."""
-    lines = F.filter(F.transform(F.slice(F.split(text, r"\r\n|\n|\r"), 1, 200), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"(?i)^exit code:? ?-?\d+$"))
+    """The line of an error output that tells most, with what varies masked. Lines about the command as such are left out; of
+    a result object the texts in its content count."""
+    trimmed = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(trimmed(F.slice(F.split(text, _LINE_END), 1, 200)), lambda x: ~x.rlike(COMMAND_LINES))
+    parts = F.try_variant_get(F.try_parse_json(F.array_join(lines, "\n")), "$.content", "array<variant>")
+    said = trimmed(F.split(F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), " "), _LINE_END))
+    lines = F.when(F.get(lines, F.lit(0)).startswith("{") & (F.size(said) > 0), said).otherwise(lines)
     first = F.get(lines, F.lit(0))
     last = F.element_at(lines, -1)
     raised = F.element_at(F.filter(lines, lambda x: ~(x.startswith("File ") | x.startswith("^") | x.startswith("~"))), -1)

@@ -121,15 +121,28 @@ def samples_of_both(original: DataFrame, rewritten: DataFrame, annotated: DataFr
     return joined.fillna(False)
 
 
-def gate(compared: Column, errors: Column, warnings: Column, unjudged: Column, residue: Column, override: Column) -> Column:
-    """struct(gate, reason): whether a rewritten sample is exported. A decision for the record comes first; one that
-    wasn't compared is excluded."""
-    told = F.when(override.isNotNull(), F.struct(override.alias("gate"), F.lit("decided").alias("reason")))
-    rule = lambda when, verdict, reason: F.when(when, F.struct(F.lit(verdict).alias("gate"), F.lit(reason).alias("reason")))
-    return F.coalesce(
-        told, rule(~F.coalesce(compared, F.lit(False)), "exclude", "not compared"), rule(errors > 0, "exclude", "errors"), rule(residue > 0, "review", "residue"),
-        rule(warnings > 0, "review", "warnings"), rule(unjudged > 0, "review", "unjudged"), rule(F.lit(True), "include", "clean"),
+def gate(compared: Column, status: Column, errors: Column, misses: Column, confirmed: Column, unanswered: Column, out_of_sync: Column, flagged: Column, override: Column) -> Column:
+    """struct(decision, reasons): whether a rewritten sample is exported, and why, in order.
+
+    ``status``: the pipeline's, null if it is done. Counts: changes judged wrong, changes missed, residue confirmed,
+    residue without an answer, flagged changes without a verdict. Any reason to exclude excludes, else any other asks for
+    a review; one that wasn't compared is excluded. A decision for the record comes first and decides.
+    """
+    said = lambda when, level, key, n: F.when(when, F.struct(F.lit(level).alias("level"), F.lit(key).alias("reason"), n.cast("long").alias("n")))
+    count = lambda c: F.coalesce(c, F.lit(0))
+    decided = F.coalesce(override.isin("include", "exclude"), F.lit(False))
+    reasons = F.array_compact(
+        F.array(
+            said(decided, "override", "decided", F.lit(None)), said(~F.coalesce(compared, F.lit(False)), "exclude", "not compared", F.lit(None)),
+            said(status.isNotNull(), "exclude", "pipeline status", F.lit(None)), said(count(errors) > 0, "exclude", "changes judged wrong", errors),
+            said(count(misses) > 0, "exclude", "changes missed", misses), said(count(confirmed) > 0, "exclude", "residue confirmed", confirmed),
+            said(count(unanswered) > 0, "review", "residue without an answer", unanswered), said(F.coalesce(out_of_sync, F.lit(False)), "review", "summary out of sync", F.lit(None)),
+            said(count(flagged) > 0, "review", "flagged changes without a verdict", flagged),
+        )
     )
+    level = lambda name: F.exists(reasons, lambda r: r["level"] == name)
+    decision = F.when(decided, override).when(level("exclude"), "exclude").when(level("review"), "review").otherwise("include")
+    return F.struct(decision.alias("decision"), reasons.alias("reasons"))
 
 
 def overview(changes: DataFrame, facets: list[str]) -> DataFrame:

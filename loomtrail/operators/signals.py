@@ -38,7 +38,7 @@ FILLER = (
     r"(?i)\b(sorry|apologi[sz]e|my apologies|let me double[- ]check|let me re-?verify|to be safe, let me|I (have|'ve) (now )?(verified|confirmed) (again|once more))\b|"
     r"抱歉|对不起|让我再(确认|检查)一下"
 )
-_ADDED = r"\*\*\* (?:Add) File: ([^\s\\\"'`]+)"
+_ADDED = r"\*\*\* Add File: ([^\s\\\"'`]+)"
 _PATCHED = r"\*\*\* (?:Update|Add|Delete) File: ([^\s\\\"'`]+)"
 _REDIRECT = r">{1,2}\s*([\w./~-]+)"
 
@@ -69,19 +69,21 @@ def is_check(tool: Column, tool_input: Column, paths: Column, changed: Column) -
 
 
 def edits(calls: DataFrame, order: tuple[str, ...] = ("call_index",)) -> DataFrame:
-    """Calls with their paths, whether they change files, the paths changed and created before, and test paths edited
-    that the run didn't create."""
+    """Calls with their paths, whether they change files, the paths that they create, and test paths edited that the run
+    didn't create before.
+
+    The first creation of a path in a run is joined to the edits of it, so that no call gathers all earlier paths."""
     marked = calls.withColumn("paths", touched_paths(F.col("tool"), F.col("input"))).withColumn("mutation", is_mutation(F.col("tool"), F.col("input")))
     creates = base_tool(F.col("tool")).isin(*CREATING) | (F.coalesce(F.try_variant_get(F.try_parse_json("input"), "$.command", "string"), F.lit("")) == "create")
     added = F.regexp_extract_all(command_text(F.col("input")), F.lit(_ADDED), 1)
-    marked = marked.withColumn("creates", F.when(F.col("mutation"), F.when(creates, F.col("paths")).otherwise(added)).otherwise(F.array().cast("array<string>")))
-    before = Window.partitionBy("run_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     none = F.array().cast("array<string>")
-    created = F.array_distinct(F.flatten(F.collect_list("creates").over(before)))
-    changed = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("mutation"), F.col("paths"))).over(before)))
-    marked = marked.withColumn("created_before", F.coalesce(created, none)).withColumn("changed_before", F.coalesce(changed, none))
-    tests = F.filter(F.array_except(F.array_except("paths", "creates"), "created_before"), lambda p: p.rlike(TEST_PATH))
-    return marked.withColumn("test_edits", F.when(F.col("mutation"), tests).otherwise(none))
+    marked = marked.withColumn("creates", F.when(F.col("mutation"), F.when(creates, F.col("paths")).otherwise(added)).otherwise(none))
+    created = marked.select("run_id", F.explode("creates").alias("_path"), F.struct(*order).alias("_at")).groupBy("run_id", "_path").agg(F.min("_at").alias("_created"))
+    tests = F.filter(F.array_except("paths", "creates"), lambda p: p.rlike(TEST_PATH))
+    touched = marked.where("mutation").select("run_id", *order, F.struct(*order).alias("_at"), F.explode(tests).alias("_path"))
+    edited = touched.join(created, ["run_id", "_path"], "left").where("_created IS NULL OR _created >= _at")
+    edited = edited.groupBy("run_id", *order).agg(F.array_sort(F.collect_set("_path")).alias("test_edits"))
+    return marked.join(edited, ["run_id", *order], "left").withColumn("test_edits", F.coalesce("test_edits", none))
 
 
 def verification(calls: DataFrame, order: tuple[str, ...] = ("call_index",)) -> DataFrame:

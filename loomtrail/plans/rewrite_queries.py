@@ -61,12 +61,19 @@ def component_changes(spark: SparkSession, d: str) -> DataFrame:
     return rewrites.component_changes(side(docs.where("part < 3")), side(docs.where("part > 0"))).drop("kind")
 
 
-@catalog.query("""SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'include' WHEN quality IS NULL THEN 'exclude' WHEN quality = 0 THEN 'exclude' WHEN toxic = 1 THEN 'review' ELSE 'include' END AS gate,
-  CASE WHEN doc_id % 17 = 0 THEN 'decided' WHEN quality IS NULL THEN 'not compared' WHEN quality = 0 THEN 'errors' WHEN toxic = 1 THEN 'warnings' ELSE 'clean' END AS reason FROM documents LEFT JOIN labels USING (doc_id)""")
+@catalog.query("""WITH g AS (SELECT doc_id, quality IS NOT NULL AS compared, CASE WHEN doc_id % 23 = 0 THEN 'failed' END AS status, doc_id % 5 % 2 AS errors, doc_id % 11 // 9 AS misses, doc_id % 7 // 6 AS confirmed, toxic AS unanswered,
+  doc_id % 4 = 0 AS out_of_sync, doc_id % 3 AS flagged, CASE WHEN doc_id % 17 = 0 THEN 'include' WHEN doc_id % 19 = 0 THEN 'exclude' WHEN doc_id % 13 = 0 THEN 'later' END AS told FROM documents LEFT JOIN labels USING (doc_id)),
+r AS (SELECT *, coalesce(told IN ('include', 'exclude'), false) AS decided, list_filter([CASE WHEN NOT compared THEN 'not compared' END, CASE WHEN status IS NOT NULL THEN 'pipeline status' END, CASE WHEN errors > 0 THEN 'changes judged wrong ' || errors END,
+  CASE WHEN misses > 0 THEN 'changes missed ' || misses END, CASE WHEN confirmed > 0 THEN 'residue confirmed ' || confirmed END], lambda x: x IS NOT NULL) AS out,
+  list_filter([CASE WHEN unanswered > 0 THEN 'residue without an answer ' || unanswered END, CASE WHEN out_of_sync THEN 'summary out of sync' END, CASE WHEN flagged > 0 THEN 'flagged changes without a verdict ' || flagged END], lambda x: x IS NOT NULL) AS ask FROM g)
+SELECT doc_id, CASE WHEN decided THEN told WHEN len(out) > 0 THEN 'exclude' WHEN len(ask) > 0 THEN 'review' ELSE 'include' END AS decision, array_to_string(list_concat(CASE WHEN decided THEN ['decided'] ELSE [] END, out, ask), ', ') AS reasons FROM r""")
 def rewrite_gate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    decided = rewrites.gate(F.col("quality").isNotNull(), (F.col("quality") == 0).cast("int"), F.col("toxic"), F.lit(0), F.lit(0), F.when(F.col("doc_id") % 17 == 0, "include"))
-    return rows.select("doc_id", decided.alias("g")).select("doc_id", "g.gate", "g.reason")
+    k = F.col("doc_id")
+    told = F.when(k % 17 == 0, "include").when(k % 19 == 0, "exclude").when(k % 13 == 0, "later")
+    decided = rewrites.gate(F.col("quality").isNotNull(), F.when(k % 23 == 0, "failed"), k % 5 % 2, F.floor(k % 11 / 9), F.floor(k % 7 / 6), F.col("toxic"), k % 4 == 0, k % 3, told)
+    reasons = F.transform("g.reasons", lambda r: F.concat_ws(" ", r["reason"], r["n"].cast("string")))
+    return rows.select("doc_id", decided.alias("g")).select("doc_id", "g.decision", F.array_join(reasons, ", ").alias("reasons"))
 
 
 @catalog.query("""WITH c AS (SELECT l_returnflag AS kind, l_linestatus AS status, CASE l_linenumber % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'error' WHEN 2 THEN 'uncertain' END AS verdict FROM lineitem),

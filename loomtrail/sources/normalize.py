@@ -91,10 +91,24 @@ def metrics(messages: DataFrame, calls: DataFrame) -> DataFrame:
     return by_run.join(by_calls, "run_id", "left").fillna(0, ["tool_calls", "tool_errors", "tools"])
 
 
-def context_estimates(messages: DataFrame) -> DataFrame:
-    """Messages with the estimated tokens before them; context_tokens measures, compaction empties the context."""
-    size = scalars.estimate_tokens(F.coalesce("text", F.lit(""))) + scalars.estimate_tokens(F.coalesce("thinking", F.lit("")))
-    return context_track(messages, size, F.coalesce("compaction", F.lit(False)), F.col("context_tokens"))
+def context_estimates(messages: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """Messages with the estimated tokens before them; context_tokens measures, compaction empties the context. A message
+    weighs its text, thinking and images, and with ``calls`` also the arguments and results of its calls."""
+    tokens = lambda c: scalars.estimate_tokens(F.coalesce(c, F.lit("")))
+    images = lambda d: scalars.IMAGE_TOKENS * F.coalesce("images", F.lit(0)) if "images" in d.columns else F.lit(0)
+    size = tokens("text") + tokens("thinking") + images(messages)
+    if calls is None:
+        return context_track(messages, size, F.coalesce("compaction", F.lit(False)), F.col("context_tokens"))
+    of_calls = calls.groupBy("run_id", "step").agg(F.sum(tokens("input") + tokens("result_text") + images(calls)).alias("_of_calls"))
+    weighed = messages.join(of_calls, ["run_id", "step"], "left")
+    return context_track(weighed, size + F.coalesce("_of_calls", F.lit(0)), F.coalesce("compaction", F.lit(False)), F.col("context_tokens")).drop("_of_calls")
+
+
+def context_summary(estimates: DataFrame) -> DataFrame:
+    """(run_id, context_peak, measured_steps, compactions): the peak is of measured sizes where there are, else of estimates;
+    null if nothing was ever in the context."""
+    peak = F.max(F.coalesce("context_tokens", "estimate"))
+    return estimates.groupBy("run_id").agg(F.when(peak > 0, peak).alias("context_peak"), F.count("context_tokens").alias("measured_steps"), F.count_if(F.coalesce("compaction", F.lit(False))).alias("compactions"))
 
 
 def readiness(messages: DataFrame, calls: DataFrame, orphans: DataFrame | None = None, max_tokens: int = 262_144) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomtrail.functions import diffs, scalars
 from loomtrail.operators import episodes, joins, judge, library, replay, rewrites, sampling, search, sequences, upserts
-from loomtrail.sources import trials
+from loomtrail.sources import normalize, trials
 from loomtrail.streaming import imports
 
 CALLS = "run_id int, ts int, call_id int, tool string, is_error boolean, input string"
@@ -50,6 +50,9 @@ def test_error_templates(spark):
     t = lambda x: one(spark, scalars.error_template, x)
     assert t("ls: cannot access '/a/b': No such file") == t("ls: cannot access '/other/x9': No such file")
     assert t("Traceback (most recent call last):\n  File \"x.py\", line 3\nValueError: bad value 17") == "ValueError: bad value <n>"
+    assert t("Exit code: 1\nWall time: 3 s\nChunk ID 4\nProcess exited with code 2\nOutput:\nno such thing") == "no such thing"
+    assert t('{"content": [{"type": "text", "text": "one"}, {"text": "denied: 5"}], "isError": true}') == "one denied: <n>"
+    assert t('{"other": 1}') == '{<str>: <n>}'
     assert t("some output\nmore\nerror: it broke") == "error: it broke" and t("") == "(empty error output)"
 
 
@@ -91,6 +94,9 @@ def test_prefix_match_takes_the_latest_ancestor(spark):
     runs = spark.createDataFrame([(1, "/d/runs/t1"), (2, "/d/runs2/t1"), (3, "/d/other")], "run_id int, path string")
     rewards = spark.createDataFrame([("/d/runs", "old", 1), ("/d", "older", 0), ("/d/runs", "new", 2)], "root string, label string, imported_at int")
     assert {r["run_id"]: r["label"] for r in joins.latest_by_prefix(runs, rewards).collect()} == {1: "new", 2: "older", 3: "older"}
+    runs = spark.createDataFrame([(1, "/d/runs/t", "a/t-1"), (2, "/d/runs/t", "xt-1"), (3, "/d/runs/t", "t-1"), (4, "/e", "t-1"), (5, "/d/runs", None)], "run_id int, path string, task_id string")
+    rewards = spark.createDataFrame([("/d/runs", "new", 2, "t-1"), ("/d", "old", 1, "t-1")], "root string, label string, imported_at int, task_id string")
+    assert {r["run_id"]: r["label"] for r in joins.latest_by_prefix(runs, rewards).collect()} == {1: "new", 3: "new"}
     assert spark.range(1).select(joins.suffixes(F.lit("a/b/c"))).first()[0] == ["a/b/c", "b/c", "c"]
 
 
@@ -138,8 +144,17 @@ def test_alignment_and_gate(spark):
     got = {(r["old_step"], r["new_step"], r["how"]) for r in rewrites.align_steps(a, b).collect()}
     assert got == {(1, 1, "content"), (2, None, "removed"), (3, 2, "call"), (4, 3, "content"), (None, 4, "added")}
     assert rewrites.rising([(0, 2), (1, 0), (2, 1), (3, 3)]) == [(1, 0), (2, 1), (3, 3)]
-    decide = lambda *v: spark.range(1).select(rewrites.gate(*map(F.lit, v)).alias("g")).first()["g"]["gate"]
-    assert [decide(True, 0, 0, 0, 0, None), decide(False, 0, 0, 0, 0, None), decide(True, 0, 1, 0, 0, None), decide(True, 1, 0, 0, 0, "include")] == ["include", "exclude", "review", "include"]
+    decide = lambda *v: spark.range(1).select(rewrites.gate(*map(F.lit, v)).alias("g")).first()["g"]
+    wanted = [
+        ((True, None, 0, 0, 0, 0, False, 0, None), "include", []),
+        ((False, None, 0, 0, 0, 0, False, 0, None), "exclude", ["not compared"]),
+        ((True, "failed", 1, 0, 0, 2, True, 0, None), "exclude", ["pipeline status", "changes judged wrong", "residue without an answer", "summary out of sync"]),
+        ((True, None, None, 0, 0, 0, None, 3, "later"), "review", ["flagged changes without a verdict"]),
+        ((True, None, 0, 1, 1, 0, False, 0, "include"), "include", ["decided", "changes missed", "residue confirmed"]),
+    ]
+    for given, decision, reasons in wanted:
+        got = decide(*given)
+        assert (got["decision"], [r["reason"] for r in got["reasons"]]) == (decision, reasons)
 
 
 def test_replay(spark):
@@ -210,7 +225,7 @@ def test_whole_tables_are_joined(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source").collect()]
     related = sorted((a, b) for a, la, sa in docs if a % 100 == 0 for b, lb, sb in docs if la == lb and sa != sb)
     assert sorted(tuple(r) for r in queries["related_runs_each_hundredth"](spark, SF).collect()) == related
-    assert {a for a, _ in related} - {a for a, _ in queries["related_runs"](spark, SF).collect()}
+    assert sorted(tuple(r) for r in queries["related_runs"](spark, SF).collect()) == related
 
 
 def test_spans_are_summed_in_several_partitions(spark):
@@ -221,3 +236,33 @@ def test_spans_are_summed_in_several_partitions(spark):
     for at, records, end, start in sorted(tuple(r) for r in got.select("at", "records", "end_row", "start_row").collect()):
         assert (start, end) == (ends, ends + records), at
         ends = end
+
+
+def test_rewards_below_the_top_tier_fail(spark):
+    status = lambda *v: spark.range(1).select(scalars.reward_status(*[F.lit(x).cast(k) for x, k in zip(v, ("boolean", "int", "double"), strict=True)])).first()[0]
+    assert [status(False, t, 0.5) for t in (0, 1, 3, 4, 5)] == ["fail", "fail", "fail", "pass", "pass"] and status(True, 4, 1.0) == status(False, 4, None) == "unknown"
+
+
+def test_context_of_five_messages(spark):
+    rows = [(1, "x" * 400, None, False), (2, "x" * 400, 5100, False), (3, "x" * 40, None, False), (4, "", None, True), (5, "x" * 8, None, False)]
+    m = spark.createDataFrame([("r", s, t, c, z) for s, t, c, z in rows], "run_id string, step int, text string, context_tokens int, compaction boolean").withColumn("thinking", F.lit(None).cast("string"))
+    got = [r["estimate"] for r in normalize.context_estimates(m).orderBy("step").collect()]
+    assert got[0] == 0 and got[2] == 5200 and got[3] == 0
+    s = normalize.context_summary(normalize.context_estimates(m)).first()
+    assert (s["context_peak"], s["measured_steps"], s["compactions"]) == (5200, 1, 1)
+    calls = spark.createDataFrame([("r", 1, "y" * 40, "z" * 360)], "run_id string, step int, input string, result_text string")
+    assert normalize.context_estimates(m.where("step <> 2"), calls).where("step = 3").first()["estimate"] == 200
+
+
+def test_next_steps_and_recovery_of_one_long_run(spark):
+    steps = spark.range(1, 8).select(F.lit("r").alias("run_id"), F.col("id").cast("int").alias("step"))
+    got = {r["step"]: r["next_steps"] for r in sequences.next_steps(steps, F.col("step") % 2 == 0).collect()}
+    assert got == {1: [2, 4], 2: [4, 6], 3: [4, 6], 4: [6], 5: [6], 6: [], 7: []}
+    calls = spark.range(200_000).select(F.lit("r").alias("run_id"), F.col("id").alias("ts"), F.col("id").alias("call_id"), F.lit("t").alias("tool"), (F.col("id") % 10 < 9).alias("is_error"))
+    found = sequences.error_recovery(calls).agg(F.count("*"), F.sum(F.col("recovered_by") - F.col("call_id")), F.max("attempts_later")).first()
+    assert tuple(found) == (180_000, 20_000 * 45, 199_999)
+
+
+def test_chains_of_any_depth_have_one_root(spark):
+    rows = spark.range(300).select(F.col("id").alias("run_id"), F.concat(F.lit("k"), "id").alias("self_key"), F.when(F.col("id") > 0, F.concat(F.lit("k"), F.col("id") - 1)).alias("parent_key"), F.lit(None).cast("string").alias("group_key"))
+    assert {r["episode_key"] for r in episodes.episode_roots(rows).select("episode_key").distinct().collect()} == {"k0"}
