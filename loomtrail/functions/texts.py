@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: fields of a wrapped task, those with the harness's rules, letters around a wrapper, its least share of the text
+TASK_FIELDS = ("context", "prompt", "request", "task", "query", "user_request", "instruction")
+HARNESS_FIELDS = ("instructions", "system", "harness_instructions", "rules")
+MOST_FRAMING, LEAST_SHARE = 600, 0.6
+
 # fixed values: words that make a sentence a likely requirement
 HINTS = r"(?iu)\b(must|should|need|required?|ensure|make sure|at least|at most|exactly|only|never|always|do not|don't|avoid|include|without)\b|必须|需要|应该|不要|至少|最多|确保|避免|包含"
 
@@ -70,3 +77,33 @@ def step_ranges(text: str, most: int = 200) -> list[int]:
     if len(out) > most:
         raise ValueError(f"more than {most} steps")
     return sorted(set(out))
+
+
+def _unwrapped(text: str) -> tuple[str, str]:
+    """(task, harness text). JSON counts as a wrapper if it is most of the text, or what stands before it speaks of JSON and
+    it has rules; and if little stands before it."""
+    before, brace, _ = text.partition("{")
+    try:
+        wrapper, end = json.JSONDecoder().raw_decode(text, len(before)) if brace else (None, 0)
+    except ValueError:
+        return text, ""
+    before = before.strip()
+    if not isinstance(wrapper, dict) or len(before) > MOST_FRAMING:
+        return text, ""
+    told = lambda fields: [wrapper[f] for f in fields if isinstance(wrapper.get(f), str)]
+    is_most = end - text.index("{") >= LEAST_SHARE * len(text)
+    task = "\n".join(told(TASK_FIELDS))
+    if not task or not (is_most or ("json" in before.lower() and told(HARNESS_FIELDS))):
+        return text, ""
+    return task, "\n".join(filter(None, [before, text[end:].strip(), "\n".join(told(HARNESS_FIELDS))]))
+
+
+def split_task(instruction: Column) -> Column:
+    """struct(task, harness): what the user asks for, and the harness's text, of an instruction that may wrap both in JSON.
+    Reading one JSON value from the middle of a text is not to be had as an expression."""
+
+    @F.pandas_udf("task string, harness string")
+    def split(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_unwrapped((t or "").strip()) for t in texts], columns=["task", "harness"])
+
+    return split(instruction)

@@ -82,3 +82,33 @@ def inherit_title(runs: DataFrame) -> DataFrame:
     needs = F.coalesce("instruction", F.lit("")) == ""
     out = runs.withColumn("_first", first)
     return out.withColumn("title", F.when(needs, F.coalesce("_first.title", "title")).otherwise(F.col("title"))).withColumn("task_key", F.when(needs, F.coalesce("_first.task_key", "task_key")).otherwise(F.col("task_key"))).drop("_first")
+
+
+def episode_tree(members: DataFrame, launches: DataFrame | None = None, current: Column | None = None) -> DataFrame:
+    """(collection, episode_key, lane, place, kind, segment, run_id, launched_by, launched_at, current) of each episode.
+
+    Lane ``thread`` has the main run and its segments in order, and a row of the kind ``missing`` for each number that a
+    later segment shows to be missing (a main run without a number is the first); lane ``subagent`` has the others by the step that launched them. ``launches``
+    (run_id, launched_by, launched_at) tells of that, ``current`` which run is shown.
+    """
+    keys = ["collection", "episode_key"]
+    thread = F.coalesce("role", F.lit("main")) != "subagent"
+    number = F.coalesce("segment", F.lit(0)).cast("long")
+    rank = F.when(F.coalesce("role", F.lit("main")) == "main", 0).otherwise(1)
+    shown = F.coalesce(current, F.lit(False)) if current is not None else F.lit(False)
+    rows = members.select(*keys, "run_id", "role", number.alias("segment"), thread.alias("_thread"), rank.alias("_rank"), shown.alias("current"))
+    have = rows.where("_thread").groupBy(*keys).agg(F.collect_set(F.when(F.col("segment") > 0, F.col("segment")).when(F.col("_rank") == 0, 1)).alias("_have"))
+    blank = {"run_id": members.schema["run_id"].dataType, "role": members.schema["role"].dataType}
+    gaps = have.select(*keys, F.explode(missing_numbers(F.col("_have"))).alias("segment")).select(
+        *keys, *[F.lit(None).cast(t).alias(c) for c, t in blank.items()], "segment", F.lit(True).alias("_thread"), F.lit(1).alias("_rank"), F.lit(False).alias("current")
+    )
+    rows = rows.withColumn("_gap", F.lit(False)).unionByName(gaps.withColumn("_gap", F.lit(True)))
+    if launches is not None:
+        rows = rows.join(launches.select("run_id", "launched_by", "launched_at"), "run_id", "left")
+    else:
+        rows = rows.withColumns({"launched_by": F.lit(None).cast(blank["run_id"]), "launched_at": F.lit(None).cast("int")})
+    kind = F.when(F.col("_gap"), "missing").when(~F.col("_thread"), "subagent").when(F.col("segment") > 0, "segment").otherwise("main")
+    lane = F.when(F.col("_thread"), "thread").otherwise("subagent")
+    order = [F.when(F.col("_thread"), F.col("_rank")), F.when(F.col("_thread"), F.col("segment")), F.col("launched_at").asc_nulls_last(), F.col("segment"), F.col("run_id")]
+    place = F.row_number().over(Window.partitionBy(*keys, "_thread").orderBy(*order))
+    return rows.select(*keys, lane.alias("lane"), place.alias("place"), kind.alias("kind"), "segment", "run_id", "launched_by", "launched_at", "current")

@@ -125,14 +125,24 @@ def unverified_claims(calls: DataFrame, claim: Column, implement: Column, verify
     return calls.withColumn("_claim", claim).withColumn("_last", F.last(phase, ignorenulls=True).over(before)).where("_claim AND _last = 'implement'").select("run_id", "call_id")
 
 
-def closing_tail(calls: DataFrame, tail: Column, polish: Column) -> DataFrame:
-    """The longest suffix of calls of the kind ``tail``, from its first ``polish`` on: its length and share."""
-    marked = numbered(calls).withColumn("_tail", tail).withColumn("_polish", polish)
-    last_other = F.coalesce(F.max(F.when(~F.col("_tail"), F.col("call_index"))).over(Window.partitionBy("run_id")), F.lit(0))
-    n = F.count("*").over(Window.partitionBy("run_id"))
-    marked = marked.withColumn("_last_other", last_other).withColumn("calls", n)
-    first = marked.groupBy("run_id", "calls").agg(F.min(F.when((F.col("call_index") > F.col("_last_other")) & F.col("_polish"), F.col("call_index"))).alias("tail_from"))
-    return first.where("tail_from IS NOT NULL").select("run_id", "tail_from", (F.col("calls") - F.col("tail_from") + 1).alias("tail_calls"), F.round((F.col("calls") - F.col("tail_from") + 1) / F.col("calls"), 3).alias("tail_share"))
+def closing_tail(calls: DataFrame, tail: Column, polish: Column, stamp: str = "ts") -> DataFrame:
+    """The longest suffix of calls of the kind ``tail`` or ``polish``, from its first ``polish`` on: its first call, the one
+    before it (null: none), its length and share, polishing calls in it, its time and share of the run's time."""
+    marked = numbered(calls).withColumn("_polish", polish).withColumn("_tail", tail | F.col("_polish")).withColumn("_at", _micros(F.col(stamp)))
+    run = Window.partitionBy("run_id")
+    last_other = F.coalesce(F.max(F.when(~F.col("_tail"), F.col("call_index"))).over(run), F.lit(0))
+    marked = marked.withColumn("_after", F.col("call_index") > last_other).withColumn("calls", F.count("*").over(run))
+    marked = marked.withColumn("tail_from", F.min(F.when(F.col("_after") & F.col("_polish"), F.col("call_index"))).over(run)).where("tail_from IS NOT NULL")
+    in_tail = F.col("call_index") >= F.col("tail_from")
+    found = marked.groupBy("run_id", "calls", "tail_from").agg(
+        F.count_if(in_tail & F.col("_polish")).alias("polish_calls"), F.max(F.when(F.col("call_index") == F.col("tail_from"), F.col("_at"))).alias("_begin"),
+        F.max_by("_at", "call_index").alias("_end"), F.min_by("_at", F.when(F.col("_at").isNotNull(), F.col("call_index"))).alias("_start"),
+    )
+    length, spent, total = F.col("calls") - F.col("tail_from") + 1, F.col("_end") - F.col("_begin"), F.col("_end") - F.col("_start")
+    return found.select(
+        "run_id", "tail_from", F.nullif(F.col("tail_from") - 1, F.lit(0)).alias("milestone"), length.alias("tail_calls"), F.round(length / F.col("calls"), 3).alias("tail_share"), "polish_calls",
+        F.floor(spent / 1000).alias("tail_ms"), F.when(total > 0, F.round(spent / total, 3)).alias("time_share"),
+    )
 
 
 def first_divergence(left: DataFrame, right: DataFrame, pair: str = "pair_id", signature: str = "signature", order: Sequence[str] = ORDER) -> DataFrame:

@@ -184,10 +184,23 @@ def data_card(spark: SparkSession, d: str) -> DataFrame:
     return a.data_card(runs(spark, d), ["collection", "model", "outcome"])
 
 
-@catalog.query()
+@catalog.query("""WITH p AS (SELECT page_id AS run_id, CASE page_id % 6 WHEN 0 THEN 'error: <url>' WHEN 1 THEN 'ValueError: bad value <n>' WHEN 2 THEN 'cannot open <path>' WHEN 3 THEN 'connection refused by <str> at <hex>' WHEN 4 THEN 'denied: <file>' ELSE '(empty error output)' END AS template,
+  CASE page_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'error' END AS outcome FROM pages)
+SELECT 'fetch' AS tool, template, count(*) AS occurrences, count(*) AS runs, count(*) FILTER (WHERE outcome = 'pass') AS pass_runs, count(*) FILTER (WHERE outcome <> 'pass') AS fail_runs, array_to_string(list(run_id ORDER BY run_id)[1:5], ',') AS examples FROM p GROUP BY template""")
 def error_templates(spark: SparkSession, d: str) -> DataFrame:
-    failures = table(spark, d, "pages").select(F.col("page_id").alias("run_id"), F.lit("fetch").alias("tool"), scalars.error_template(F.concat(F.lit("error: "), "url")).alias("template"), F.lit("fail").alias("outcome"), F.lit(1).alias("step"))
-    return a.error_template_usage(failures)
+    n = F.col("page_id")
+    kinds = (
+        F.concat(F.lit("error: "), F.split_part("url", F.lit(" "), F.lit(1))),
+        F.concat(F.lit('Traceback (most recent call last):\n  File "x.py", line 3\nValueError: bad value '), n),
+        F.concat(F.lit("reading\nProcess exited with code 2\ncannot open /data/run"), n, F.lit("/part.bin\nbye")),
+        F.concat(F.lit('{"content": [{"type": "text", "text": "connection refused by \'host'), n, F.lit("' at 0x1f"), n, F.lit('"}]}')),
+        F.concat(F.lit("Exit code: 1\nWall time: 2 s\ndenied: part-"), n, F.lit(".json")),
+        F.lit("Exit code 1\nOutput:\n"),
+    )
+    text = F.coalesce(*[F.when(n % 6 == i, kind) for i, kind in enumerate(kinds)])
+    outcome = F.when(n % 3 == 0, "pass").when(n % 3 == 1, "fail").otherwise("error")
+    failures = table(spark, d, "pages").select(n.alias("run_id"), F.lit("fetch").alias("tool"), scalars.error_template(text).alias("template"), outcome.alias("outcome"), F.lit(1).alias("step"))
+    return a.error_template_usage(failures).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))
 
 
 @catalog.query("""SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN NULL ELSE 'h:' || substr(sha1(substr(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 1500)), 1, 16) END AS task_key FROM documents""")

@@ -115,11 +115,11 @@ def component_trace(spark: SparkSession, d: str) -> DataFrame:
     return found.select("run_id", "name", F.array_join(F.transform("mentions", lambda x: x.cast("string")), ",").alias("mentions"))
 
 
-@catalog.query(f"WITH {MESSAGES} SELECT run_id, count(*) FILTER (WHERE role <> 'result') AS messages FROM messages GROUP BY run_id")
+@catalog.query(f"WITH {MESSAGES} SELECT run_id, count(*) FILTER (WHERE role <> 'result') + count(*) FILTER (WHERE role = 'assistant' AND step % 2 = 0) AS messages FROM messages GROUP BY run_id")
 def chat_export(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d).withColumn("thinking", F.lit(""))
-    none = m.limit(0).select("run_id", "step", F.lit(1).alias("call_index"), F.lit("").alias("call_id"), F.lit("").alias("raw_name"), F.lit("").alias("input"), F.lit("").alias("result_text"))
-    lines = sinks.chat_samples(m, none)
+    calls = m.where("role = 'assistant'").select("run_id", "step", F.lit(1).alias("call_index"), F.concat(F.lit("c"), "step").alias("call_id"), F.lit("Bash").alias("raw_name"), F.lit('{"command": "ls"}').alias("input"), F.when(F.col("step") % 2 == 0, F.lit("listing")).alias("result_text"))
+    lines = sinks.chat_samples(m, calls)
     return lines.select("run_id", F.size(F.try_variant_get(F.parse_json("line"), "$.messages", "array<variant>")).cast("long").alias("messages"))
 
 

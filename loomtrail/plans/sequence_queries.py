@@ -104,10 +104,12 @@ def unverified_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 @catalog.query(f"""WITH {CALLS}, {_NUMBERED}, o AS (SELECT run_id, coalesce(max(call_index) FILTER (WHERE tool NOT IN ('view', 'click')), 0) AS last_other, count(*) AS calls FROM n GROUP BY run_id),
-f AS (SELECT run_id, calls, min(call_index) AS tail_from FROM n JOIN o USING (run_id) WHERE call_index > last_other AND tool = 'view' GROUP BY ALL)
-SELECT run_id, CAST(tail_from AS INTEGER) AS tail_from, calls - tail_from + 1 AS tail_calls, round((calls - tail_from + 1) / calls, 3) AS tail_share FROM f""")
+f AS (SELECT run_id, calls, min(call_index) AS tail_from FROM n JOIN o USING (run_id) WHERE call_index > last_other AND tool = 'view' GROUP BY ALL),
+t AS (SELECT run_id, calls, tail_from, count(*) FILTER (WHERE call_index >= tail_from AND tool = 'view') AS polish_calls, max(epoch_us(ts)) FILTER (WHERE call_index = tail_from) AS b, arg_max(epoch_us(ts), call_index) AS e, arg_min(epoch_us(ts), call_index) AS s FROM n JOIN f USING (run_id) GROUP BY ALL)
+SELECT run_id, CAST(tail_from AS INTEGER) AS tail_from, CAST(nullif(tail_from - 1, 0) AS INTEGER) AS milestone, calls - tail_from + 1 AS tail_calls, round((calls - tail_from + 1) / calls, 3) AS tail_share, polish_calls,
+  CAST(floor((e - b) / 1000) AS BIGINT) AS tail_ms, CASE WHEN e > s THEN round((e - b) / (e - s), 3) END AS time_share FROM t""")
 def closing_tail(spark: SparkSession, d: str) -> DataFrame:
-    return s.closing_tail(calls(spark, d), F.col("tool").isin("view", "click"), F.col("tool") == "view")
+    return s.closing_tail(calls(spark, d), F.col("tool") == "click", F.col("tool") == "view")
 
 
 @catalog.query(f"""WITH {CALLS}, {_NUMBERED}, a AS (SELECT run_id // 2 AS pair_id, call_index, tool FROM n WHERE run_id % 2 = 0), b AS (SELECT run_id // 2 AS pair_id, call_index, tool FROM n WHERE run_id % 2 = 1)

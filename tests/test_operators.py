@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrail.functions import diffs, scalars
+from loomtrail.functions import diffs, scalars, texts
 from loomtrail.operators import episodes, joins, judge, library, replay, rewrites, sampling, search, sequences, upserts
 from loomtrail.sources import normalize, trials
 from loomtrail.streaming import imports
@@ -266,3 +266,29 @@ def test_next_steps_and_recovery_of_one_long_run(spark):
 def test_chains_of_any_depth_have_one_root(spark):
     rows = spark.range(300).select(F.col("id").alias("run_id"), F.concat(F.lit("k"), "id").alias("self_key"), F.when(F.col("id") > 0, F.concat(F.lit("k"), F.col("id") - 1)).alias("parent_key"), F.lit(None).cast("string").alias("group_key"))
     assert {r["episode_key"] for r in episodes.episode_roots(rows).select("episode_key").distinct().collect()} == {"k0"}
+
+
+def test_tasks_wrapped_in_json(spark):
+    import json
+
+    long = "x" * 400
+    cases = {
+        json.dumps({"prompt": "do", "rules": "r"}): ("do", "r"),
+        f'Treat this JSON: {{"task": "do", "system": "s"}} {long}': ("do", f"Treat this JSON:\n{long}\ns"),
+        f'An example {{"task": "do"}} {long}': (f'An example {{"task": "do"}} {long}', ""),
+        f'{"y" * 601} {{"task": "do", "rules": "{long * 9}"}}': (f'{"y" * 601} {{"task": "do", "rules": "{long * 9}"}}', ""),
+        '{"other": 1}': ('{"other": 1}', ""), "{not json": ("{not json", ""), None: ("", ""), " a ": ("a", ""),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", texts.split_task(F.col("x")).alias("t")).collect()
+    assert {r["x"]: (r["t"]["task"], r["t"]["harness"]) for r in rows} == cases
+
+
+def test_an_episode_as_a_tree(spark):
+    rows = [("c", "e", "r1", "main", None), ("c", "e", "r2", "segment", 2), ("c", "e", "r4", "segment", 4), ("c", "e", "s1", "subagent", None), ("c", "e", "s2", "subagent", None)]
+    members = spark.createDataFrame(rows, "collection string, episode_key string, run_id string, role string, segment int")
+    launches = spark.createDataFrame([("s1", "r2", 9), ("s2", "r1", 3)], "run_id string, launched_by string, launched_at int")
+    tree = episodes.episode_tree(members, launches, F.col("run_id") == "r4").orderBy(F.desc("lane"), "place").collect()
+    assert [(t["kind"], t["segment"], t["run_id"], t["launched_by"], t["current"]) for t in tree] == [
+        ("main", 0, "r1", None, False), ("segment", 2, "r2", None, False), ("missing", 3, None, None, False), ("segment", 4, "r4", None, True),
+        ("subagent", 0, "s2", "r1", False), ("subagent", 0, "s1", "r2", False),
+    ]
