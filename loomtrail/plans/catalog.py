@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import aggregate_queries, library_queries, practice_queries, rewrite_queries, sequence_queries, signal_queries
+from . import aggregate_queries, judge_queries, library_queries, practice_queries, rewrite_queries, sequence_queries, signal_queries
 from .registry import Query
 
-_PARTS = (aggregate_queries.catalog, sequence_queries.catalog, library_queries.catalog, rewrite_queries.catalog, signal_queries.catalog, practice_queries.catalog)
+_PARTS = (aggregate_queries.catalog, sequence_queries.catalog, library_queries.catalog, rewrite_queries.catalog, signal_queries.catalog, practice_queries.catalog, judge_queries.catalog)
 
 
 def queries() -> dict[str, Query]:

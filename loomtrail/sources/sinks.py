@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import data_card
@@ -68,3 +68,19 @@ def accepted_lines(samples: DataFrame, gates: DataFrame) -> DataFrame:
 def rerun_chains(gates: DataFrame) -> DataFrame:
     """The chains of samples that weren't included: ids without the number of their context, each once."""
     return gates.where("gate <> 'include'").select(F.regexp_replace("sample_id", r"_context_\d+$", "").alias("chain")).distinct()
+
+
+def card_lines(card: DataFrame, titles: dict[str, str]) -> DataFrame:
+    """(facet, place, line): the Markdown tables of a data card (facet, value, count), by falling count, then value.
+
+    ``titles`` gives the heading of each facet that is written. A facet without values has no table; a bar within a
+    value is escaped, a null value is empty.
+    """
+    title = F.coalesce(*[F.when(F.col("facet") == f, F.lit(t)) for f, t in titles.items()])
+    told = card.withColumn("_title", title).where("_title IS NOT NULL")
+    row = F.concat(F.lit("| "), F.replace(F.coalesce("value", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("count").cast("string"), F.lit(" |"))
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("count"), "value")) + 3
+    rows = told.select("facet", place.alias("place"), row.alias("line"))
+    head = F.posexplode(F.array(F.concat(F.lit("### "), "_title"), F.lit(""), F.lit("| | count |"), F.lit("| --- | ---: |")))
+    heads = told.select("facet", "_title").distinct().select("facet", head.alias("place", "line"))
+    return heads.unionByName(rows)
