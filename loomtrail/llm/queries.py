@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html, line_dedup, lm_score, mixing, quality, simhash, substring_dedup, urls
+from . import conversations, decontaminate, exact_dedup, html, line_dedup, lm_score, mixing, quality, simhash, substring_dedup, urls
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,10 +91,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     named = (
         op1_html_extraction, op2_quality_classifier, op3_url_filter, op4_decontaminate, op5_exact_dedup,
-        op6_line_dedup, op7_substring_dedup, op8_lm_score, op9_mix_sources, op10_simhash_dedup,
+        op6_line_dedup, op7_substring_dedup, op8_lm_score, op9_mix_sources, op10_simhash_dedup, op11_conversation_repair,
     )
     return {f.__name__: f for f in named}
 
