@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact_dedup, html, line_dedup, lm_score, mixing, quality, simhash, substring_dedup, urls
+from . import conversations, decontaminate, exact_dedup, html, line_dedup, lm_score, mixing, phrases, quality, simhash, substring_dedup, urls
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,13 +95,50 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(conversations.damaged(read(spark, sf_dir, "conversations")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+  SELECT lang, 1 AS k, unnest(ws) AS gram FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+f AS (SELECT lang, k, gram, count(*) AS n FROM g GROUP BY ALL),
+s AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, gram, n AS a, string_split(gram, ' ') AS ws FROM f WHERE k > 1 AND n >= 10),
+x AS (
+  SELECT lang, k, gram, a, 1 AS cut, ws[1] AS one, array_to_string(ws[2:], ' ') AS rest FROM c
+  UNION ALL SELECT lang, k, gram, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM c WHERE k = 3),
+y AS (
+  SELECT x.lang, x.k, x.gram, x.a, cut, fl.n AS l, fr.n AS r, (1000000::HUGEINT * x.a * x.a) // (fl.n::HUGEINT * fr.n) AS score
+  FROM x JOIN f fl ON fl.lang = x.lang AND fl.gram = x.one JOIN f fr ON fr.lang = x.lang AND fr.gram = x.rest),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) AS nth FROM y),
+i AS (
+  SELECT lang, ws[1] || ' ' || ws[2] AS gram, a FROM c WHERE k = 3
+  UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM c WHERE k = 3),
+m AS (SELECT lang, gram, max(a) AS longer FROM i GROUP BY ALL),
+o AS (
+  SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, z.a DESC, z.gram) AS rank
+  FROM z LEFT JOIN m ON m.lang = z.lang AND m.gram = z.gram
+  WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 50 * z.a))
+SELECT o.lang, rank, gram AS phrase, a, l, r, s.n, score::BIGINT AS score FROM o JOIN s ON s.lang = o.lang WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     named = (
         op1_html_extraction, op2_quality_classifier, op3_url_filter, op4_decontaminate, op5_exact_dedup,
-        op6_line_dedup, op7_substring_dedup, op8_lm_score, op9_mix_sources, op10_simhash_dedup, op11_conversation_repair,
+        op6_line_dedup, op7_substring_dedup, op8_lm_score, op9_mix_sources, op10_simhash_dedup, op11_conversation_repair, op12_phrases,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op12_phrases": OP12_SQL}
