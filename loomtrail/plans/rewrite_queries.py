@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import diffs, scalars
-from ..operators import judge, replay, rewrites
+from ..operators import judge, ownership, replay, rewrites
 from ..sources import sinks
 from ..streaming import imports
 from .registry import Catalog
@@ -28,6 +28,31 @@ def line_changes(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("delta", diffs.line_delta("before", "text")).select("run_id", "step", "delta.added", "delta.removed")
 
 
+def rewritten_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Turns with two runs of words replaced, in every third conversation with more than the records tell, and the records."""
+    words = F.split("text", " ")
+    rows = messages(spark, d).select(F.col("run_id").alias("sample_id"), F.col("step").alias("row"), "step", F.lit("text").alias("field"), F.col("text").alias("old"), words.alias("w")).where(F.size("w") > 8)
+    some = lambda begin, n: F.array_join(F.slice("w", begin, n), " ")
+    more = F.when(F.col("sample_id") % 3 == 0, " and more").otherwise("")
+    new = F.concat(some(1, 1), F.lit(" rewritten "), some(4, 2), F.lit(" also "), F.array_join(F.slice("w", F.lit(8), F.size("w")), " "), more)
+    edit = lambda n, begin, gap, said: F.struct(F.lit(n).alias("n"), F.concat_ws(":", "step", F.lit(n)).alias("edit"), F.array_join(F.slice("w", begin, 2), gap).alias("old"), F.lit(said).alias("new"))
+    records = rows.select("sample_id", "step", "field", F.inline(F.array(edit(1, 2, " ", "rewritten"), edit(2, 6, "  ", "also"))))
+    return rows.withColumn("new", new).drop("w"), records
+
+
+@catalog.query()
+def owned_changes(spark: SparkSession, d: str) -> DataFrame:
+    fields, records = rewritten_texts(spark, d)
+    changes = ownership.owned_changes(fields, records)
+    return changes.select("sample_id", "step", "id", "removed", "added", F.array_join("owners", "+").alias("owners"))
+
+
+@catalog.query()
+def unplaced_edits(spark: SparkSession, d: str) -> DataFrame:
+    fields, records = rewritten_texts(spark, d)
+    return ownership.unplaced_edits(records, ownership.owned_changes(fields, records)).select("sample_id", "step", "edit", "old", "new")
+
+
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = messages(spark, d).withColumn("sample_id", F.col("run_id"))
     ids = F.when(F.col("role") == "assistant", F.array(F.concat(F.lit("c"), "step"))).otherwise(F.array().cast("array<string>"))
