@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact_dedup, html, line_dedup, lm_score, mixing, phrases, quality, simhash, substring_dedup, urls
+from . import conversations, decontaminate, exact_dedup, html, line_dedup, lm_score, mixing, phrases, private, quality, simhash, substring_dedup, urls
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,10 +132,15 @@ SELECT o.lang, rank, gram AS phrase, a, l, r, s.n, score::BIGINT AS score FROM o
 """
 
 
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.personal_data(read(spark, sf_dir, "documents")).drop("found")
+
+
 def queries() -> dict[str, Query]:
     named = (
         op1_html_extraction, op2_quality_classifier, op3_url_filter, op4_decontaminate, op5_exact_dedup,
         op6_line_dedup, op7_substring_dedup, op8_lm_score, op9_mix_sources, op10_simhash_dedup, op11_conversation_repair, op12_phrases,
+        op13_private,
     )
     return {f.__name__: f for f in named}
 
