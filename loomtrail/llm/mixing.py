@@ -76,18 +76,20 @@ def pivotal(items: Iterator[tuple[float, float, float]]) -> tuple[list[int], int
 
 
 def _round_group(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["draw", "id", "size", "row"], kind="stable", na_position="last").reset_index(drop=True)
+    group = group.sort_values(["draw", "id", "size", "row", "chunk"], kind="stable", na_position="last").reset_index(drop=True)
     draws = (group["draw"].to_numpy().view("uint64") >> 11) / float(1 << 53)
     copies, open_at, part = pivotal(zip(group["size"].astype(float), group["part"], draws, strict=True))
-    group["copies"] = copies
+    group["copies"] = group["copies"] + copies
     group["part"] = 0.0
     group["open"] = False
     if open_at is not None:
         group.loc[open_at, ["part", "open"]] = [part, True]
-    return group[["id", "row", "source", "source_size", "target", "size", "node", "draw", "part", "copies", "open"]]
+    return group[[c.split()[0] for c in _SCHEMA.split(", ")]]
 
 
-_SCHEMA = "id long, row long, source string, source_size long, target double, size long, node long, draw long, part double, copies long, open boolean"
+_SCHEMA = (
+    "id long, row long, source string, source_size long, target double, size long, chunk long, rows long, node long, draw long, part double, copies long, open boolean"
+)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -95,66 +97,80 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
 
     size counts the words of the text (null: 0). Every document of a source has target / source_size
     expected copies; the whole part is given to all, the fraction is rounded by the pivotal method. Leaves
-    are groups of about 1,000 documents of a source, dealt by a hash of id and text, so that a source with
-    a third of all rows has many. Each leaves one open document at most; those meet in nodes of 256
+    are groups of about 1,000 items of a source, dealt by a hash of id and text, so that a source with
+    a third of all rows has many. Each leaves one open item at most; those meet in nodes of 256
     until one is left, which is drawn alone. Words taken differ from the target by one document at most.
-    Draws are hashes of id, text and ``seed``: reruns agree, however rows are partitioned. Documents
-    without words get no copies. Rows that repeat an id and a text are rounded each. An empty table gives
-    no rows.
+
+    Rows that repeat an id, a text and a source are counted first and are one item for each 1,000 of them, whose copies are
+    rounded in sum and given out evenly, so that no leaf grows with their number. Draws are hashes of id, text and
+    ``seed``: reruns agree, however rows are partitioned. Documents without words, null and empty ones get no copies.
+    A text of any length is one number. Null ids and sources are values like others; an empty table gives no rows;
+    other columns are not read.
     """
     text = text_of(F.col(text_col))
-    words = cut(
-        docs.select(
-            F.col(id_col).cast("long").alias("id"),
-            content_tag(F.col(text_col)).alias("row"),
-            F.col(source_col).cast("string").alias("source"),
-            F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-        )
+    words = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        content_tag(F.col(text_col)).alias("row"),
+        F.col(source_col).cast("string").alias("source"),
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+    )
+    counted = words.groupBy("id", "row", "source", "size").agg(F.count("*").alias("n"))
+    items = cut(
+        counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LEAF))))
+        .withColumn("rows", F.least(F.lit(LEAF).cast("long"), F.col("n") - F.col("chunk") * LEAF))
+        .drop("n")
     )
-    sizes = words.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
+    sizes = items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("items"))
     aims = targets(sizes.select("source", "source_size"), weights, most)
-    aims = aims.join(sizes.select(F.col("source").alias("of"), "documents"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    aims = aims.join(sizes.select(F.col("source").alias("of"), "items"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     aims = cut(aims.withColumnRenamed("source", "of"))
-    rate = F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
-    leaves = F.greatest(F.lit(1), F.ceil(F.col("documents") / LEAF))
+    leaves = F.greatest(F.lit(1), F.ceil(F.col("items") / LEAF))
+    # of an item's expected copies the whole part is certain
+    expected = F.col("rows") * F.when((F.col("size") > 0) & (F.col("source_size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
     dealt = (
-        words.join(aims, words["source"].eqNullSafe(aims["of"]))
-        .withColumn("rate", rate)
-        .withColumn("whole", F.floor(F.col("rate") + 1e-9))
-        .withColumn("draw", F.xxhash64("id", "row", F.lit(seed)))
-        .withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
+        items.join(aims, items["source"].eqNullSafe(aims["of"]))
+        .withColumn("expected", expected)
+        .withColumn("copies", F.floor(F.col("expected") + 1e-9))
+        .withColumn("draw", F.xxhash64("id", "row", "chunk", F.lit(seed)))
+        .withColumn("part", F.greatest(F.lit(0.0), F.col("expected") - F.col("copies")))
         .withColumn("node", F.pmod(F.xxhash64("draw"), leaves))
+        .withColumn("open", F.lit(False))
     )
-    even = dealt.where(F.col("part") <= 1e-9).withColumn("copies", F.lit(0).cast("long")).withColumn("open", F.lit(False)).withColumn("node", F.lit(0).cast("long"))
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
-    rounded = cut(dealt.where(F.col("part") > 1e-9).select(*[F.lit(0).cast("long").alias(c) if c == "copies" else F.lit(False).alias(c) if c == "open" else F.col(c) for c in columns]).groupBy("source", "node").applyInPandas(_round_group, _SCHEMA))
+    even = dealt.where(F.col("part") <= 1e-9).withColumn("node", F.lit(0).cast("long"))
+    rounded = cut(dealt.where(F.col("part") > 1e-9).select(*columns).groupBy("source", "node").applyInPandas(_round_group, _SCHEMA))
     done, open_rows = [even.select(*columns), rounded.where("NOT open")], rounded.where("open")
     most_leaves = aims.agg(F.max(leaves)).first()[0] or 1
     while most_leaves > 1:
-        # each leaf has one open document at most, so a node of FAN leaves has FAN rows
+        # each leaf has one open item at most, so a node of FAN leaves has FAN rows
         most_leaves = -(-most_leaves // FAN)
         level = cut(open_rows.withColumn("node", F.floor(F.col("node") / FAN)).groupBy("source", "node").applyInPandas(_round_group, _SCHEMA))
         done, open_rows = [*done, level.where("NOT open")], level.where("open")
-    last = open_rows.withColumn("copies", (F.shiftrightunsigned(F.xxhash64("draw", F.lit(seed)), 11) / float(1 << 53) < F.col("part")).cast("long"))
-    rows = last
+    drawn = (F.shiftrightunsigned(F.xxhash64("draw", F.lit(seed)), 11) / float(1 << 53) < F.col("part")).cast("long")
+    rows = open_rows.withColumn("copies", F.col("copies") + drawn)
     for part in done:
         rows = rows.unionByName(part)
-    whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + 1e-9)
-    return rows.select(
-        F.col("id").alias("doc_id"), "row", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.col("copies") + whole).otherwise(0).cast("long").alias("copies"),
-    )
+    each = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    share = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") <= F.col("copies") % F.col("rows")).cast("long")
+    return each.select(F.col("id").alias("doc_id"), "row", "source", "size", "source_size", "target", share.cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copies_col: str = "copies", **options) -> DataFrame:
     """The documents that the mix takes, with all columns and how many copies of each it takes.
 
-    Rows that repeat an id and a text share their copies evenly, the first in sum: each has the largest
-    number that one of them got.
+    Rows that repeat an id and a text stand once, with the sum of their copies. Null and empty texts are never taken; null ids
+    are values like others; an empty table gives no rows; a column that is called like the new one keeps its name.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options).where("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_tag")).agg(F.max("copies").alias("keep_copies"))
+    taken = mix(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_tag"))
+    taken = cut(taken.agg(F.sum("copies").alias("keep_copies"), F.count("*").alias("keep_n")).where("keep_copies > 0"))
     tag, name = fresh(docs, "__tag"), fresh(docs, copies_col)
     tagged = docs.withColumn(tag, content_tag(F.col(text_col)))
-    same = tagged[id_col].eqNullSafe(taken["keep_id"]) & (tagged[tag] == taken["keep_tag"])
-    return tagged.join(taken, same).drop(tag, "keep_id", "keep_tag").withColumnRenamed("keep_copies", name)
+
+    def named(rows: DataFrame) -> DataFrame:
+        same = tagged[id_col].eqNullSafe(rows["keep_id"]) & (tagged[tag] == rows["keep_tag"])
+        return tagged.join(rows, same).drop("keep_id", "keep_tag", "keep_n").withColumnRenamed("keep_copies", name)
+
+    kept, several = named(taken.where("keep_n = 1")), taken.where("keep_n > 1")
+    if not several.isEmpty():
+        kept = kept.unionByName(named(several).dropDuplicates([id_col, tag]))
+    return kept.drop(tag)

@@ -283,6 +283,43 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_mixed_as_one_and_no_leaf_grows_with_them(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 100)
+    rows = [(i, "w " * (1 + i % 9), "abc"[i % 3]) for i in range(2000)] + [(7, "same words again", "a")] * 1500 + [(7, "other", "a")] * 3 + [(None, "x y z", None)] * 40
+    docs = frame(spark, rows, "doc_id long, text string, source string, size string, copies string")
+    leaves = []
+    monkeypatch.setattr(mixing, "cut", lambda df, cut=mixing.cut: leaves.append(cut(df)) or leaves[-1])
+    got = mixing.mix(docs).collect()
+    assert Counter((x["doc_id"], x["size"], x["source"]) for x in got) == Counter((i, len(t.split()), s) for i, t, s in rows)
+    assert any("node" in d.columns for d in leaves)
+    for d in leaves:
+        if "node" in d.columns:
+            assert d.groupBy("source", "node").count().agg(F.max("count")).first()[0] <= 2 * mixing.LEAF
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want, taken, mixed_taken, by_row = brute_targets(sizes), Counter(), Counter(), Counter()
+    for x in got:
+        taken[x["source"]] += x["copies"] * x["size"]
+        by_row[x["doc_id"], x["size"], x["source"]] += x["copies"]
+        assert 0 <= x["copies"] <= 3
+    mixed = mixing.mixed_documents(docs).collect()
+    assert len({(x["doc_id"], x["text"]) for x in mixed}) == len(mixed)
+    for x in mixed:
+        mixed_taken[x["source"]] += x["copies_"] * len(x["text"].split())
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 9 and mixed_taken[s] == taken[s]
+    assert {(x["doc_id"], len(x["text"].split()), x["source"]): x["copies_"] for x in mixed} == {k: n for k, n in by_row.items() if n}
+    own = [x["copies"] for x in got if x["doc_id"] == 7 and x["size"] == 3]
+    assert len(own) == 1500 and max(own) - min(own) <= 1
+    assert sorted(map(str, mixing.mix(docs.repartition(3)).collect())) == sorted(map(str, got))
+
+
+def test_a_very_long_document_is_mixed(spark):
+    docs = frame(spark, [(1, "w " * 500_000, "a"), (2, "w", "a")], "doc_id long, text string, source string, size string, copies string")
+    assert sorted((x["doc_id"], x["size"], x["copies"]) for x in mixing.mix(docs).collect()) == [(1, 500_000, 1), (2, 1, 1)]
+
+
 def test_pivotal_keeps_words_and_expectation():
     r = random.Random(1)
     items = [(float(r.randrange(1, 50)), r.random()) for _ in range(40)]
