@@ -2,13 +2,14 @@
 
 P(word | history) = P(class | history) * P(member | class, history) * P(word | class, member). Two softmaxes
 over hashed features of the words before: the last word, skips to the second and third last, and an n-gram of
-word endings; the member is predicted from the class with the last word and the endings. A word belongs to a class by its ending and to a member
-of it by its hash, so that every word of any text has both. Within a member, about a thousandth of all
+word endings; the member is predicted from the class with the last word, the skip to the second last and the endings. A word
+belongs to a class by its ending and to a member of it by its hash, so that every word of any text has both. Within a member, about a thousandth of all
 words, a word has its smoothed share of the training tokens.
 
-The model is trained in two synchronous steps, of which the first takes the gradient over all training documents, where
-all outcomes are equally likely, and the second over half of them. Gradients are taken in Spark: tasks sum it by row of the weight table in whole numbers, Spark adds those up, and the driver takes the
-step for the whole table, which has a fixed size. Sums of whole numbers are the same however rows are partitioned.
+The model is trained in two synchronous steps over all training documents. Gradients are taken in Spark: tasks sum them by
+row of the weight table in whole numbers, Spark adds those up, and the driver takes the step for the whole table, which
+has a fixed size. In the first step all outcomes are equally likely. Sums of whole numbers are the same however rows are
+partitioned.
 
 Counts of words grow with the corpus and stay in Spark: batches of documents send each distinct word once, counts are
 summed by word, and joined back to the batches.
@@ -32,7 +33,7 @@ from .common import cut, held_out, text_of
 from .tokens import pieces, split_words, xxh64
 
 #: Classes (the last one is the end of a text), members of each, rows of the class table and of each class's member table.
-CLASSES, MEMBERS, ROWS, MEMBER_ROWS = 32, 32, 1 << 13, 1 << 9
+CLASSES, MEMBERS, ROWS, MEMBER_ROWS = 32, 32, 1 << 14, 1 << 10
 #: Tokens whose features are looked up at once.
 BATCH = 1 << 15
 #: Of the first step: how much of a feature's log ratio its weight takes. Counts added to every row, size of later steps.
@@ -90,8 +91,8 @@ def tokens(texts: list[str | None]) -> Tokens:
         context = (before[1], before[2] + np.uint64(2), before[3] + np.uint64(3), tail1 * np.uint64(31) + tail2 + np.uint64(4))
         hashed = [(c * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32) for c in context]
     kind_rows = np.zeros((1 + len(hashed), len(text)), dtype=np.uint16)
-    # of the last word and the endings
-    member_hashed = (hashed[0], hashed[-1])
+    # of the last word, the second last and the endings
+    member_hashed = (hashed[0], hashed[1], hashed[-1])
     member_rows = np.zeros((1 + len(member_hashed), len(text)), dtype=np.uint16)
     first = ROWS + kind * MEMBER_ROWS
     first[ends] = 0
@@ -194,26 +195,26 @@ def _summed(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
         yield gradient.rows()
 
     parts = rows.mapInArrow(each, "row int, seen long, sums array<long>")
-    total = parts.groupBy("row").agg(F.sum("seen").alias("seen"), F.array(*[F.sum(F.get("sums", F.lit(c))) for c in range(CLASSES)]).alias("sums")).toPandas()
+    total = parts.groupBy("row").agg(F.sum("seen").alias("seen"), F.array(*[F.sum(F.get("sums", F.lit(c))) for c in range(CLASSES)]).alias("sums")).toArrow()
     sums, seen = np.zeros((_TABLE, CLASSES), dtype=np.int64), np.zeros(_TABLE, dtype=np.int64)
-    if len(total):
-        sums[total["row"]], seen[total["row"]] = np.stack(total["sums"]), total["seen"]
+    row = total["row"].to_numpy()
+    seen[row] = total["seen"].to_numpy()
+    sums[row] = np.concatenate([np.zeros(0, dtype=np.int64), *(c.flatten().to_numpy() for c in total["sums"].chunks)]).reshape(-1, CLASSES)
     return sums, seen
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> Model:
     """Learns from all documents of which crc32 of the id modulo ``folds`` isn't 1.
 
-    A hash of id and text chooses the half that the second step takes. Null and empty texts have an end token only.
-    Without training rows all outcomes are equally likely.
+    Null and empty texts have an end token only. Without training rows all outcomes are equally likely.
     """
-    rows = docs.where(~held_out(F.col(id_col), folds)).select(F.pmod(F.xxhash64(F.col(id_col), text_of(F.col(text_col))), F.lit(2)).alias("half"), text_of(F.col(text_col)).alias("text"))
-    sums, seen = _summed(rows.select("text"), np.zeros((_TABLE, CLASSES), dtype=np.float32))
+    rows = docs.where(~held_out(F.col(id_col), folds)).select(text_of(F.col(text_col)).alias("text"))
+    sums, seen = _summed(rows, np.zeros((_TABLE, CLASSES), dtype=np.float32))
     weights = first_step(sums, seen)
     n_tokens, n_texts = int(seen[0]), int(seen[0] - seen[ROWS::MEMBER_ROWS].sum())
     # the row that all tokens of a table share tells how often an outcome is seen
     shares = np.exp(weights[_SHARED])
-    weights = later_step(weights, *_summed(rows.where("half = 1").select("text"), weights), shares)
+    weights = later_step(weights, *_summed(rows, weights), shares)
     return Model(weights, n_tokens, n_texts)
 
 
