@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 # fixed values of the ranking
 K1, B = 1.2, 0.75
 _WORD = r"[\p{L}\p{N}]+"
@@ -46,25 +48,49 @@ def query_phrases(query: str) -> list[list[str]]:
     return found
 
 
-def search(index: DataFrame, query: str, keys: tuple[str, ...] = ("run_id", "step"), limit: int = 50, sizes: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame, query: str, keys: tuple[str, ...] = ("run_id", "step"), limit: int = 50, sizes: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Steps with all phrases of the query, by BM25 (lower is better, as the score is negative).
 
-    ``sizes`` (keys, size) has all steps, also those without terms; without it those in the index count.
-    Only postings of the query's terms are read.
+    ``sizes`` (keys, size) has all steps, also those without terms; without it those in the index count. ``stats`` (steps, average)
+    says what is needed of them in one row. Only postings of the query's terms are read.
     """
-    phrases = query_phrases(query)
-    sizes = sizes if sizes is not None else index.select(*keys, "size").distinct()
-    stats = sizes.agg(F.count("*").alias("_steps"), F.avg("size").alias("_average"))
-    wanted = sorted({t for p in phrases for t in p})
-    if not wanted:
-        return index.select(*keys).limit(0).withColumn("score", F.lit(0.0))
-    used = index.where(F.col("term").isin(*wanted))
+    wanted = sorted({t for p in query_phrases(query) for t in p})
+    if stats is None:
+        sizes = sizes if sizes is not None else index.select(*keys, "size").distinct()
+        stats = sizes.agg(F.count("*").alias("steps"), F.avg("size").alias("average"))
+    used = index.where(F.col("term").isin(*wanted) if wanted else F.lit(False))
     by_step = used.groupBy(*keys, "size").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_at"))
+    return _ranked(by_step, stats, query, keys, limit)
+
+
+def search_text(steps: DataFrame, query: str, keys: tuple[str, ...] = ("run_id", "step"), text: str = "text", limit: int = 50) -> DataFrame:
+    """``search`` without an index: one pass over the steps, of which only sizes and places of the query's terms are kept."""
+    wanted = sorted({t for p in query_phrases(query) for t in p})
+    words = steps.select(*keys, terms(F.coalesce(text, F.lit(""))).alias("_terms"))
+    met = F.array_compact(F.transform("_terms", lambda t, at: F.when(t.isin(*wanted) if wanted else F.lit(False), F.struct(t.alias("term"), at.alias("at")))))
+    found = words.select(*keys, F.size("_terms").alias("size"), met.alias("_met"))
+    # used for the sizes of all, the counts of steps with a phrase, and the ranking
+    found = cut(found)
+    stats = found.agg(F.count("*").alias("steps"), F.avg("size").alias("average"))
+    places = [x for t in wanted for x in (F.lit(t), F.transform(F.filter("_met", _is_term(t)), lambda m: m["at"]))]
+    at = F.create_map(*places) if places else F.create_map().cast("map<string,array<int>>")
+    return _ranked(found.where(F.size("_met") > 0).select(*keys, "size", at.alias("_at")), stats, query, keys, limit)
+
+
+def _is_term(term: str):
+    return lambda met: met["term"] == term
+
+
+def _ranked(by_step: DataFrame, stats: DataFrame, query: str, keys: tuple[str, ...], limit: int) -> DataFrame:
+    """The best of the steps (keys, size, _at: places of the query's terms)."""
+    phrases = query_phrases(query)
+    if not phrases:
+        return by_step.select(*keys).limit(0).withColumn("score", F.lit(0.0))
     scores = []
     for n, phrase in enumerate(phrases):
         by_step = by_step.withColumn(f"_tf{n}", F.coalesce(F.size(_begins(phrase)), F.lit(0)))
     counts = by_step.agg(*[F.count_if(F.col(f"_tf{n}") > 0).alias(f"_df{n}") for n in range(len(phrases))])
-    joined = by_step.join(F.broadcast(counts)).join(F.broadcast(stats))
+    joined = by_step.join(F.broadcast(counts)).join(F.broadcast(stats.select(F.col("steps").alias("_steps"), F.col("average").alias("_average"))))
     for n in range(len(phrases)):
         joined = joined.where(F.col(f"_tf{n}") > 0)
         tf, df = F.col(f"_tf{n}"), F.col(f"_df{n}")

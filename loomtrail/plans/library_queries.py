@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import episodes, joins, library, sampling, search, upserts
+from ..operators import episodes, joins, library, sampling, search, text_index, upserts
+from ..operators.lineage import fresh_folder
 from .registry import Catalog
 from .tables import CALLS, MESSAGES, RUNS, calls, messages, runs, table
 
@@ -164,9 +165,22 @@ k AS (SELECT doc_id, -(greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * tf1 * 2
 SELECT doc_id AS run_id, round(score, 6) AS score FROM k ORDER BY score, doc_id LIMIT 50""")
 def phrase_search_bm25(spark: SparkSession, d: str) -> DataFrame:
     steps = table(spark, d, "documents").select(F.col("doc_id").alias("run_id"), "text")
-    sizes = steps.select("run_id", F.size(search.terms(F.col("text"))).alias("size"))
-    hits = search.search(search.postings(steps, ("run_id",)), '"the of" and', ("run_id",), 50, sizes)
-    return hits.select("run_id", F.round("score", 6).alias("score"))
+    return search.search_text(steps, '"the of" and', ("run_id",)).select("run_id", F.round("score", 6).alias("score"))
+
+
+@catalog.query(rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN text || ' the of and' ELSE text END AS text FROM documents WHERE doc_id % 50 <> 7), t AS (SELECT doc_id, {_TERMS} AS w FROM d), s AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t),
+f AS (SELECT doc_id, len(w) AS size, len(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND w[i + 1] = 'of')) AS tf1, len(list_filter(w, lambda x: x = 'and')) AS tf2 FROM t),
+c AS (SELECT count(*) FILTER (WHERE tf1 > 0) AS d1, count(*) FILTER (WHERE tf2 > 0) AS d2 FROM f),
+k AS (SELECT doc_id, -(greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * size / av)) + greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * tf2 * 2.2 / (tf2 + 1.2 * (0.25 + 0.75 * size / av))) AS score FROM f, c, s WHERE tf1 > 0 AND tf2 > 0)
+SELECT doc_id AS run_id, round(score, 6) AS score FROM k ORDER BY score, doc_id LIMIT 50""")
+def indexed_phrase_search(spark: SparkSession, d: str) -> DataFrame:
+    """The kept index over all documents, after every fiftieth got more text and another fiftieth went."""
+    steps = table(spark, d, "documents").select(F.col("doc_id").alias("run_id"), "text")
+    index = text_index.TextIndex(spark, fresh_folder(spark, "index"), ("run_id",))
+    index.build(steps, parts=4, buckets=8)
+    longer = steps.where("run_id % 50 = 0").withColumn("text", F.concat("text", F.lit(" the of and")))
+    index.replace(longer, steps.where("run_id % 50 = 7"))
+    return index.search('"the of" and').select("run_id", F.round("score", 6).alias("score"))
 
 
 @catalog.query("""WITH o AS (SELECT doc_id, source AS collection, n_chars AS value, 1 AS version FROM documents UNION ALL SELECT doc_id, source, n_chars + 1, 2 FROM documents WHERE doc_id % 4 = 0),
