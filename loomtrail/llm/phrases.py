@@ -28,8 +28,6 @@ from .common import cut, text_of
 SHARD = 16_000_000
 #: Bits of the bitmap of frequent pairs, as a power of two: 16 MB.
 BITS = 27
-#: Parts that a language's phrases are ranked in first.
-SALTS = 64
 #: Rows that a task sends at once.
 ROWS = 1 << 18
 
@@ -126,31 +124,43 @@ def shards(texts: Iterator[tuple[str, str]], most: int) -> Iterator[list[tuple[s
         yield run
 
 
-def numbered(run: list[tuple[str, str]]) -> tuple[list[str], list[bytes], np.ndarray]:
-    """The distinct words of a shard as languages and words, and its text as their numbers, -1 for an end of a piece."""
-    langs, words, parts, by_lang = [], [], [], defaultdict(list)
+def numbered(run: list[tuple[str, str]]) -> tuple[dict[str, list[bytes]], np.ndarray]:
+    """The distinct words of a shard by language, the most frequent of each first, and its text as their numbers, counted
+    on from language to language, -1 for an end of a piece."""
+    words, parts, by_lang, before = {}, [], defaultdict(list), 0
     for lang, text in run:
         by_lang[lang].append(text)
     for lang, texts in sorted(by_lang.items()):
         data = "\n".join(texts).encode().lower().translate(_TO_BREAK).replace(_BREAK, b" \xff ").split()
         number = defaultdict(count().__next__)
-        number[_BREAK] = -1 - len(words)
+        number[_BREAK] = -1
         ids = np.fromiter(map(number.__getitem__, data), np.int32, len(data))
         del number[_BREAK]
-        # numbers begin at 0 for each language
-        parts += [ids + len(words), [-1]]
-        words += number
-        langs += [lang] * len(number)
-    return langs, words, np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, dtype=np.int32)
+        order = np.argsort(-np.bincount(ids[ids >= 0], minlength=len(number)), kind="stable")
+        rank = np.empty(len(number) + 1, dtype=np.int32)
+        rank[order], rank[-1] = np.arange(before, before + len(number), dtype=np.int32), -1
+        own = list(number)
+        words[lang] = [own[k] for k in order]
+        parts += [rank[ids], [-1]]
+        before += len(number)
+    return words, np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, dtype=np.int32)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    raw = values.astype(np.int32).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def _unzip(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True) if packed else b""
+
+
+def _pack(text: np.ndarray) -> bytes:
+    """Numbers from -1 on: all their low bytes, then all second ones, and so on, which compress better by themselves."""
+    return _zip(np.ascontiguousarray((text + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), dtype=np.int32)
+    return np.ascontiguousarray(np.frombuffer(_unzip(packed), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int32) - 1
 
 
 def symbols_of(text: np.ndarray, k: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +189,9 @@ def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
             slot = _slots(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
             yield pa.RecordBatch.from_arrays([pa.array((slot >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (slot & np.uint64(63))).view(np.int64))], names=["at", "bits"])
 
-    rows = pairs.select("w1", "w2").mapInArrow(each, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = pairs.select("w1", "w2").mapInArrow(each, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    if len(rows):
-        out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -194,9 +203,21 @@ def _sent(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatc
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for n in range(batch.num_rows):
-            words = batch.column("found")[n].values
-            if words is not None and len(words):
-                yield symbols_of(_unpack(batch.column("text")[n].as_py()), words.field("k").to_numpy(), words.field("id").to_numpy())
+            k, ids, text = (batch.column(c)[n] for c in ("k", "id", "text"))
+            if len(k):
+                yield symbols_of(_unpack(text.as_py()), k.values.to_numpy(), ids.values.to_numpy())
+
+
+def _each_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of shards as rows (shard, k, lang, word, n)."""
+    for batch in batches:
+        for shard, langs, sizes, words, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "langs", "sizes", "words", "text")), strict=True):
+            text, words = _unpack(text), _unzip(words).split()
+            n, langs = np.bincount(text[text >= 0], minlength=len(words)), pa.array(langs, pa.string()).take(pa.array(np.repeat(np.arange(len(langs)), sizes)))
+            for at in range(0, len(words), ROWS):
+                part = pa.array(words[at : at + ROWS], pa.string())
+                k = np.arange(at, at + len(part), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard)), pa.array(k), langs[at : at + ROWS], part, pa.array(n[k].astype(np.int64))], names=["shard", "k", "lang", "word", "n"])
 
 
 def _each_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,23 +235,21 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
         number = TaskContext.get().partitionId() << 32
         texts = ((lang, text) for b in batches for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for run in shards(texts, SHARD):
-            langs, words, text = numbered(run)
-            n = np.bincount(text[text >= 0], minlength=len(words))
-            entries = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
-            lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), entries)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, pa.array([_pack(text)], pa.binary())], names=["shard", "words", "text"])
+            words, text = numbered(run)
+            own = [[number], [list(words)], [[len(w) for w in words.values()]], [_zip(b" ".join(w for ws in words.values() for w in ws))], [_pack(text)]]
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(own, kinds, strict=True)], names=["shard", "langs", "sizes", "words", "text"])
             number += 1
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")), text_of(F.col(text_col)))
-    kept = cut(rows.mapInArrow(read, "shard long, words array<struct<lang: string, word: string, n: long>>, text binary"))
-    sent = kept.select("shard", F.posexplode("words").alias("k", "x")).select("shard", "k", "x.lang", "x.word", "x.n")
-    every = cut(sent.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    sizes = every.groupBy("lang").agg(F.sum("n").alias("n"))
+    kept = cut(rows.mapInArrow(read, "shard long, langs array<string>, sizes array<int>, words binary, text binary"))
+    sent = kept.mapInArrow(_each_word, "shard long, k int, lang string, word string, n long")
+    sizes = sent.groupBy("lang").agg(F.sum("n").alias("n"))
     # written, so that the ids stay what they are; and the join has exchanges of its own, which may be split at a word
     # that every shard has
-    words = cut(every.where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
-    found = sent.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("k", "id")).alias("found"))
-    indexed = cut(kept.select("shard", "text").join(found, "shard").select("text", "found"))
+    words = cut(sent.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
+    found = sent.select("shard", "k", "lang", "word").join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("k", "id")).alias("found"))
+    indexed = cut(kept.select("shard", "text").join(found, "shard").select("text", "found.k", "found.id"))
     pairs = cut(indexed.mapInArrow(_each_pair, "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     frequent, bits = sc.broadcast(_bitmap(pairs, BITS)), BITS
 
@@ -287,8 +306,17 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         F.when(early, F.col("n1")).otherwise(F.col("n12")).alias("l"), F.when(early, F.col("n23")).otherwise(F.col("n3")).alias("r"), F.least("s1", "s2").alias("score"),
     )
     best_first = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    found = two.unionByName(three).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-    # a language's best are among the best of each part of it
-    first = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best_first))).where(F.col("rank") <= most).drop("part", "rank")
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)).cast("long")).where(F.col("rank") <= most)
-    return best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    ranked = _ranked(two.unionByName(three), (F.col("score").desc(), F.col("a").desc(), F.col("phrase")))
+    return ranked.where(F.col("rank") <= most).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+
+
+def _ranked(rows: DataFrame, best_first: tuple[Column, ...]) -> DataFrame:
+    """``rows`` with their rank within ``lang``, from 1. Rows are sorted by ranges, so that no language is one task: a rank is
+    that within the range and how many of the language stand in ranges before."""
+    ranges = cut(cut(rows).repartitionByRange("lang", *best_first).withColumn("range", F.spark_partition_id()))
+    each = ranges.groupBy("lang", "range").agg(F.count("*").alias("many"))
+    # a row for each language and range
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select("lang", "range", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("before"))
+    within = ranges.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "range").orderBy(*best_first)))
+    return within.join(offsets, ["lang", "range"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long")).drop("range", "before")
