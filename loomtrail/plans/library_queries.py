@@ -216,3 +216,17 @@ def related_runs_each_hundredth(spark: SparkSession, d: str) -> DataFrame:
     """Every row with an id divisible by 100 against all rows, tested against brute force."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("run_id"), F.col("lang").alias("task_key"), F.col("source").alias("episode_key"))
     return joins.related_runs(rows.where("run_id % 100 = 0"), rows).select("of_run", "run_id")
+
+
+@catalog.query("""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) = 1 AS first, length(text) AS size FROM (SELECT doc_id, text, 0 AS part FROM documents UNION ALL SELECT doc_id, text, 1 FROM documents WHERE doc_id % 10 = 0)""")
+def samples_by_offset(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as chat samples in JSON lines, every tenth twice in its file, read by byte ranges."""
+    from ..sources import ranges
+
+    docs = table(spark, d, "documents")
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), turns.alias("messages")))
+    folder = fresh_folder(spark, "samples")
+    docs.select(F.explode(F.array_repeat(line, F.when(F.col("doc_id") % 10 == 0, 2).otherwise(1)))).write.text(folder)
+    found = ranges.read_samples(spark, folder, split=1_000_000)
+    return found.select(F.col("sample_id").cast("long").alias("doc_id"), (F.col("key") == F.col("sample_id")).alias("first"), F.length(F.try_variant_get("value", "$.messages[0].content", "string")).alias("size"))

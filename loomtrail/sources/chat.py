@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import normalize
-from .lines import content_images, content_text, get, read_lines, run_id
+from .lines import content_images, content_text, get, run_id
 from .normalize import Transcripts
+from .ranges import read_samples
 
 
 def read_chat(spark: SparkSession, path: str | list[str]) -> Transcripts:
-    """Files may be of any size, as each line is a run of its own. A repeated sample id in one file gets its
-    place in the file as a suffix."""
-    lines = read_lines(spark, path)
-    samples = lines.where(get("value", "messages", "array<variant>").isNotNull())
-    sample_id = F.coalesce(get("value", "id"), F.concat(F.lit("line-"), F.col("place.block"), F.lit("-"), F.col("place.nth")))
-    samples = samples.withColumn("sample_id", sample_id)
-    nth = F.row_number().over(Window.partitionBy("file", "sample_id").orderBy("place"))
-    samples = samples.withColumn("_nth", nth).withColumn("key", F.when(F.col("_nth") > 1, F.concat("sample_id", F.lit("@"), F.col("_nth"))).otherwise(F.col("sample_id")))
-    samples = samples.withColumn("run_id", run_id(F.col("file"), F.col("key")))
+    """Files may be of any size, as each line is a run of its own. A sample without an id, or with that of an earlier one in
+    its file, goes by the offset of its line. ``runs`` has what finds a sample again: file, offset, row, key."""
+    paths = [path] if isinstance(path, str) else path
+    samples = reduce(DataFrame.unionByName, [read_samples(spark, p) for p in paths])
+    samples = samples.withColumn("run_id", run_id(F.col("file"), F.col("key"))).withColumn("sample_id", F.when(F.col("sample_id") != "", F.col("sample_id")).otherwise(F.col("key")))
 
     each = samples.select("run_id", F.posexplode(get("value", "messages", "array<variant>")).alias("at", "m"))
     each = each.withColumn("role", get("m", "role")).withColumn("content", get("m", "content", "variant"))
@@ -38,7 +37,7 @@ def read_chat(spark: SparkSession, path: str | list[str]) -> Transcripts:
     paired = normalize.pair_calls(calls, results)
     told = normalize.instructions(messages)
     runs = samples.select(
-        "run_id", "file", "sample_id", *sample_groups("sample_id"), get("value", "source").alias("source"), get("value", "synthetic_model").alias("model"),
+        "run_id", "file", "offset", "row", "key", "sample_id", *sample_groups("sample_id"), get("value", "source").alias("source"), get("value", "synthetic_model").alias("model"),
         F.coalesce(get("value", "reward", "double"), get("value", "score", "double"), F.when(get("value", "passed", "boolean"), 1.0).when(~get("value", "passed", "boolean"), 0.0)).alias("score"),
         F.coalesce(get("value", "tag.context_segment", "int"), F.regexp_extract("sample_id", r"_context_(\d+)", 1).try_cast("int")).alias("segment"),
     ).join(told, "run_id", "left")

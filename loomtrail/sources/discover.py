@@ -3,36 +3,44 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lines import get
+from .ranges import heads
 
 # fixed values: folders that are never descended, JSON files that belong to other ones
 VENDORED = ("node_modules", "__pycache__", "site-packages", "venv", "dist", "build")
 SIDECARS = ("manifest.json", "results.json", "run_metadata.json", "result.json", "package.json", "config.json")
-MAX_DEPTH, HEAD_ROWS = 8, 40
+MAX_DEPTH, HEAD_ROWS, HEAD_BYTES = 8, 40, 4_000_000
 _BOOKKEEPING = ("queue-operation", "cost-state", "summary", "file-history-snapshot")
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(path, format, modified, size): files below ``root`` that one of the formats claims.
 
-    Spark lists and reads the files, so that any store will do. The first rows of a file decide; hidden and vendored
-    folders, sidecars, and what lies deeper than eight folders are left out.
+    Spark lists the files and deals them out; of each only the head is read, which decides: at most 40 rows of at most
+    4 MB up to the first that isn't JSON. Hidden and vendored folders, sidecars, and what lies deeper than eight
+    folders are left out before that.
     """
     base = re.sub("^[a-z]+:(//)?", "", root.rstrip("/"))
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,json}").text(root)
-    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.trim("value").alias("line"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jsonl,json}").load(root)
+    files = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
     inner = F.regexp_replace(F.col("path"), "^[a-z]+:(//)?", "")
-    rows = rows.withColumn("_inner", F.substring_index(inner, base, -1))
+    files = files.withColumn("_inner", F.substring_index(inner, base, -1))
     folders = F.split("_inner", "/")
-    wanted = ~F.exists(folders, lambda f: f.isin(*VENDORED) | f.startswith(".")) & (F.size(folders) <= MAX_DEPTH + 2) & ~F.element_at(folders, -1).isin(*SIDECARS)
-    rows = rows.where(wanted & (F.col("line") != "") & (F.col("block") == 0))
-    head = rows.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("nth"))).where(F.col("_n") <= HEAD_ROWS)
-    value = F.try_parse_json("line")
-    head = head.withColumn("v", value)
+    files = files.where(~F.exists(folders, lambda f: f.isin(*VENDORED) | f.startswith(".")) & (F.size(folders) <= MAX_DEPTH + 2) & ~F.element_at(folders, -1).isin(*SIDECARS))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, (_, lines) in enumerate(heads(batch.column("path").to_pylist(), HEAD_ROWS, HEAD_BYTES)):
+                file = batch.take(pa.array([n] * len(lines), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*file.columns, pa.array(lines, pa.string())], names=[*file.schema.names, "line"])
+
+    head = files.select("path", "modified", "size").mapInArrow(read, "path string, modified timestamp, size long, line string").withColumn("v", F.try_parse_json("line"))
     whole = head.groupBy("path", "modified", "size").agg(
         F.bool_or(F.col("path").endswith(".jsonl") & get("v", "messages", "array<variant>").isNotNull()).alias("chat"),
         F.bool_or(get("v", "payload", "variant").isNotNull() & get("v", "type").isin("session_meta", "turn_context", "response_item", "event_msg", "compacted")).alias("rollout"),
