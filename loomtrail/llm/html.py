@@ -7,7 +7,7 @@ digits) in Spark, and every page is extracted again with the path that won on it
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -36,6 +36,8 @@ _INLINE = frozenset(
 _CONTAINERS = frozenset("body article main section div td center".split())
 _LISTS = frozenset("ul ol table dl".split())
 _ITEMS = frozenset("li dt dd tr td th".split())
+# what a name may rule out: boxes, but no heading, paragraph or part of a sentence
+_BOXES = frozenset("div section ul ol dl table center details figure".split())
 _ENDS_PARAGRAPH = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # fixed values: names of what is never main text, what may follow such a name without changing it, what negates it
 _UNWANTED = frozenset(
@@ -43,6 +45,7 @@ _UNWANTED = frozenset(
     "sponsor sponsored promo promotion popup modal overlay comment comments disqus respond reply replies social share sharing related breadcrumb breadcrumbs "
     "newsletter subscribe signup login search widget pagination pager toolbar skip".split()
 )
+_READERS = frozenset("comment comments disqus respond replies".split())
 _FORM_WORDS = frozenset(
     "area bar block body box button buttons card col column container content form group holder icon icons inner inline item items label left link links list main "
     "menu outer panel post posts right row section slot thread top bottom unit wrap wrapper".split()
@@ -54,6 +57,8 @@ _NEVER_DROPPED = frozenset("html body main".split())
 
 #: Share of the plain text of a page's own best path from which on the host's path is taken.
 FAIR_SHARE = 0.25
+#: Plain characters of a block from which on it counts as text where it stands beside the winning container.
+LEAD = 60
 #: Characters of a path and of a part of it, beyond which what is before stands as a digest.
 PATH_CHARS, PART_CHARS = 400, 100
 
@@ -91,17 +96,20 @@ def _gone(tag: str, attributes: dict[str, str]) -> bool:
 
 
 def _named(attributes: dict[str, str]) -> tuple[bool, bool]:
-    """Whether a class or the id names something that is never main text, and whether a part of one does.
+    """Whether a class names something that is never main text, and whether a part of a class or of the id does.
 
     A name of several parts is what its last part says ("cookie-notice", but not "notice-period"), or its first
-    where the others only say what form that has ("comment-list").
+    where the others only say what form that has ("comment-list"). An id is as often the anchor of a heading, so that it
+    rules out what readers wrote only.
     """
     named, in_part = False, False
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
-        parts = [p for p in re.split(r"[_\-\d]+", name) if p]
-        in_part = in_part or not _UNWANTED.isdisjoint(parts)
-        if parts and _NEGATIONS.isdisjoint(parts[:-1]):
-            named = named or parts[-1] in _UNWANTED or (parts[0] in _UNWANTED and _FORM_WORDS.issuperset(parts[1:]))
+    for kind in ("class", "id"):
+        for name in attributes.get(kind, "").lower().split():
+            parts = [p for p in re.split(r"[_\-\d]+", name) if p]
+            in_part = in_part or not _UNWANTED.isdisjoint(parts)
+            unwanted = _UNWANTED if kind == "class" else _READERS
+            if parts and _NEGATIONS.isdisjoint(parts[:-1]):
+                named = named or parts[-1] in unwanted or (parts[0] in unwanted and _FORM_WORDS.issuperset(parts[1:]))
     return named, in_part
 
 
@@ -166,14 +174,20 @@ class _Parser:
         self.blocks: list[Block] = []
         self.regions = _Regions()
         self.stack = [_Element("", "", False, -1, False, -1)]
-        self.open: Counter[str] = Counter()
+        # how deep the open elements are of each tag, those that aren't inline, and those that an open paragraph doesn't
+        # reach out of, the innermost last
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks_open, self.barriers = [0], [0]
         self.text: list[str] = []
         self.linked = 0
 
     def pop_to(self, depth: int) -> None:
         for element in self.stack[depth:]:
-            self.open[element.tag] -= 1
+            self.open[element.tag].pop()
         del self.stack[depth:]
+        for depths in (self.blocks_open, self.barriers):
+            while depths[-1] >= depth:
+                depths.pop()
 
     def close_block(self) -> None:
         if self.text:
@@ -199,35 +213,23 @@ class _Parser:
     def end(self, tag: str) -> None:
         if not self.open[tag]:
             return
-        depth = len(self.stack) - 1
-        if tag in _INLINE:
-            # an inline end tag doesn't reach out of its block
-            while self.stack[depth].tag != tag and self.stack[depth].tag in _INLINE:
-                depth -= 1
-            if self.stack[depth].tag != tag:
-                return
-            if self.stack[-1].region != self.stack[depth - 1].region:
-                self.close_block()
-        else:
-            while self.stack[depth].tag != tag:
-                depth -= 1
+        depth = self.open[tag][-1]
+        if tag not in _INLINE:
             self.close_block()
+        elif depth < self.blocks_open[-1]:
+            # an inline end tag doesn't reach out of its block
+            return
         self.pop_to(depth)
 
     def _end_open(self, closes: str) -> None:
         """Ends an open paragraph or item, if it is in the same container and list."""
-        depth = len(self.stack) - 1
-        while depth and self.stack[depth].tag != closes and self.stack[depth].tag not in _CONTAINERS and self.stack[depth].tag not in _LISTS:
-            depth -= 1
-        if depth and self.stack[depth].tag == closes:
-            self.pop_to(depth)
+        if self.open[closes] and self.open[closes][-1] >= self.barriers[-1]:
+            self.pop_to(self.open[closes][-1])
 
     def start(self, tag: str, rest: str) -> None:
         if tag in _ENDS_PARAGRAPH or tag in _ITEMS:
             self.close_block()
-            closes = "p" if tag in _ENDS_PARAGRAPH else tag
-            if self.open[closes]:
-                self._end_open(closes)
+            self._end_open("p" if tag in _ENDS_PARAGRAPH else tag)
         elif tag not in _INLINE:
             self.close_block()
         if tag in _VOID or (rest.endswith("/") and tag in _INLINE):
@@ -236,10 +238,8 @@ class _Parser:
         attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest else {}
         dropped = outer.dropped or tag == "head" or _gone(tag, attributes)
         path, container, region = outer.path, outer.container, outer.region
-        named, in_part = (False, False) if dropped or tag in _NEVER_DROPPED else _named(attributes)
+        named, in_part = _named(attributes) if tag in _BOXES and not dropped else (False, False)
         if named or in_part:
-            if tag in _INLINE:
-                self.close_block()
             self.regions.around.append(region)
             self.regions.named.append(named)
             region = len(self.regions.around) - 1
@@ -252,8 +252,13 @@ class _Parser:
             if named or in_part or container in self.doubted:
                 self.doubted.add(len(self.paths) - 1)
             container = len(self.paths) - 1
+        depth = len(self.stack)
         self.stack.append(_Element(tag, path, dropped, container, outer.in_link or tag == "a", region))
-        self.open[tag] += 1
+        self.open[tag].append(depth)
+        if tag not in _INLINE:
+            self.blocks_open.append(depth)
+        if tag in _CONTAINERS or tag in _LISTS:
+            self.barriers.append(depth)
 
 
 def parse(html: str) -> Page:
@@ -314,20 +319,20 @@ def scores(page: Page) -> dict[str, float]:
     out: dict[str, float] = {}
     for c, (path, n) in enumerate(zip(page.paths, held, strict=True)):
         tag, _, classes = path.rpartition("/")[2].partition(".")
-        good = {"article": 1.3, "main": 1.2, "body": 0.8}.get(tag, 1.0) * (1.1 if set(re.split(r"[._-]", classes)) & _WANTED else 1.0) * (0.5 if c in page.doubted else 1.0)
+        good = {"article": 1.3, "main": 1.2, "body": 0.5}.get(tag, 1.0) * (1.1 if set(re.split(r"[._-]", classes)) & _WANTED else 1.0) * (0.5 if c in page.doubted else 1.0)
         out[path] = out.get(path, 0.0) + good * n / total * (1 + 0.01 * min(20, path.count("/")))
     return out
 
 
 def extract(page: Page, path: str | None) -> str:
-    """The blocks in containers with that path, in page order. Where they have less than FAIR_SHARE of the plain text
-    that the page's own best path has, that one is taken, and if it has none all blocks are."""
+    """The blocks in containers with that path and in what leads up to them, in page order. Where they have less than
+    FAIR_SHARE of the plain text that the page's own best path has, that one is taken, and if it has none all blocks are."""
 
     def within(choice: str | None) -> list[Block]:
-        inside: list[bool] = []
-        for outer, p in zip(page.around, page.paths, strict=True):
-            inside.append(p == choice or (outer >= 0 and inside[outer]))
-        return [b for b in page.blocks if b.container >= 0 and inside[b.container]]
+        chosen = {c for c, p in enumerate(page.paths) if p == choice}
+        around, near = _beside(page, chosen)
+        inside = _inside(page, chosen | near)
+        return [b for b in page.blocks if b.container >= 0 and (inside[b.container] or (b.container in around and _plain(b) >= LEAD))]
 
     own = within(max(sorted(s), key=s.get) if (s := scores(page)) else None)
     said = within(path)
@@ -336,6 +341,35 @@ def extract(page: Page, path: str | None) -> str:
     return " ".join(b.text for b in said or own or page.blocks)
 
 
+def _inside(page: Page, chosen: set[int]) -> list[bool]:
+    inside: list[bool] = []
+    for c, outer in enumerate(page.around):
+        inside.append(c in chosen or (outer >= 0 and inside[outer]))
+    return inside
+
+
+def _beside(page: Page, chosen: set[int]) -> tuple[set[int], set[int]]:
+    """The containers around chosen ones, of which long blocks are text too, and containers in these that are text like the chosen
+    ones: not named like something else, mostly no links, and with a block of LEAD plain letters. What is called
+    article or main is whole by itself."""
+    tag = lambda c: page.paths[c].rpartition("/")[2].partition(".")[0]
+    outer = {page.around[c] for c in chosen if tag(c) not in ("article", "main", "body", "td")}
+    outer -= {-1}
+    if not outer:
+        return set(), set()
+    near = {c for c, around in enumerate(page.around) if around in outer and c not in chosen and c not in page.doubted and tag(c) in ("div", "section", "center")}
+    plain, said, longest = dict.fromkeys(near, 0), dict.fromkeys(near, 0), dict.fromkeys(near, 0)
+    top: list[int] = []
+    for c, around in enumerate(page.around):
+        top.append(c if c in near else top[around] if around >= 0 else -1)
+    for b in page.blocks:
+        if b.container >= 0 and (c := top[b.container]) in near:
+            plain[c] += _plain(b)
+            said[c] += len(b.text)
+            longest[c] = max(longest[c], _plain(b))
+    return outer, {c for c in near if longest[c] >= LEAD and 2 * plain[c] > said[c]}
+
+
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path): the path with the highest sum of scores on each host that has a name. Scores are summed before the shuffle."""
 

@@ -494,11 +494,35 @@ def test_odd_and_long_pages_take_time_and_memory_in_proportion(source):
         ("<p>a <math><mi>x</mi><mo>+</mo></math> <label>b</label></p>", "a x+ b"),
         ("<p>a</p><div class='ad'>b</div><div class='comment-list'>c</div><div class='cookie-notice'>d</div><ul class='share-buttons'><li>e</ul>", "a"),
         ("<p>a</p><div class='ad-slot-12'>b</div><section id='comments'>c</section><p class='no-comments'>d</p>", "a d"),
-        ("<p>a <span class='reply'>b</span> c</p>", "a c"),
+        ("<p>a <span class='reply'>b</span> c</p>", "a b c"),
+        ("<h2 id='search'>a b</h2><section id='related'><p>c</p></section><p class='comment'>d</p><p>e <span class='share'>f</span> g</p>", "a b c d e f g"),
     ],
 )
-@pytest.mark.parametrize("wrapper", ["article", "div id='search-algorithms' class='content'"])
+@pytest.mark.parametrize("wrapper", ["article", "main", "div id='search-algorithms' class='content'"])
 def test_names_rule_out_what_they_name_only(inside, want, wrapper):
     text = prose(1, 60)
     page = f"<body><nav>menu</nav><{wrapper}><p>{text}</p>{inside}</{wrapper.split()[0]}><div class='sidebar'>side</div>"
     assert html.extract(html.parse(page), None) == f"{text} {want}"
+
+
+@pytest.mark.parametrize("lead", [3, 4, 6])
+def test_the_lead_beside_the_content_stays(spark, lead):
+    sentences = [f"{prose(i, 12)}." for i in range(14)]
+    first, rest = " ".join(sentences[:lead]), " ".join(sentences[lead:])
+    side = "<div class='box'><a href='/x'>" + prose(3, 14) + "</a></div><div class='share-bar'>" + prose(4, 14) + "</div><div>short</div>"
+    page = f"<body><nav>{prose(5, 20)}</nav><div class='lead'>{first}</div><div class='content'><p>{rest}</p></div>{side}<footer>{prose(6, 9)}</footer>"
+    assert html.extract(html.parse(page), None) == f"{first} {rest}"
+    pages = [(i, f"http://h.example/{i}", page) for i in range(5)]
+    assert {r["text"] for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == {f"{first} {rest}"}
+
+
+@pytest.mark.parametrize("page", [lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<p><td>" + "<x>" * n + "<p></p>" * n, lambda n: "<ul><li>" + "<div>" * n + "<li>" * n + "</ul>" * n, lambda n: "<div class=content>x</div>" * n])
+def test_misnested_pages_take_time_in_proportion(page):
+    def took(n):
+        begun = time.process_time()
+        html.extract(html.parse(page(n)), None)
+        return time.process_time() - begun
+
+    took(1000)
+    small, large = min(took(25_000) for _ in range(2)), min(took(100_000) for _ in range(2))
+    assert large < 8 * small + 0.5 and large < 20
