@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import diffs, scalars
-from ..operators import judge, ownership, replay, rewrites
+from ..operators import components, judge, ownership, replay, rewrites
 from ..sources import sinks
 from ..streaming import imports
 from .registry import Catalog
@@ -140,6 +140,35 @@ def component_trace(spark: SparkSession, d: str) -> DataFrame:
     return found.select("run_id", "name", F.array_join(F.transform("mentions", lambda x: x.cast("string")), ",").alias("mentions"))
 
 
+_WORDS = ("thtion", "thing", "thble")
+
+
+def tool_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns as calls: in some steps of a tool that returns the path of a file, in some of others that read it."""
+    path, step = F.concat(F.lit("out/page-"), F.col("run_id"), F.lit(".html")), F.col("step")
+    rows = messages(spark, d).where("role = 'assistant'")
+    return rows.select(
+        "run_id", "step", step.alias("call_index"), F.when(step % 3 == 0, "find").otherwise("Read").alias("tool"), F.when(step % 3 == 0, "mcp__shopping__find").otherwise("Read").alias("raw_name"),
+        F.concat(F.col("text"), F.when(step % 5 == 0, F.concat(F.lit(" "), path)).otherwise("")).alias("input"), F.when(step % 3 == 0, F.concat(F.lit("made "), path)).otherwise("").alias("result_text"),
+    )
+
+
+@catalog.query(f"""WITH {MESSAGES}, m AS (SELECT * FROM messages WHERE role = 'assistant'), w AS (SELECT * FROM (VALUES {", ".join(f"('{w}')" for w in _WORDS)}) w(name)), r AS (SELECT DISTINCT run_id FROM messages),
+n AS (SELECT run_id, name, string_agg(CAST(step AS VARCHAR), ',' ORDER BY step) AS steps FROM m, w WHERE regexp_matches(text, '(^|[^a-zA-Z0-9_.\\-])' || name || '($|[^a-zA-Z0-9_\\-])') GROUP BY ALL),
+c AS (SELECT run_id, min(step) AS made, string_agg(CAST(step AS VARCHAR), ',' ORDER BY step) AS steps FROM m WHERE step % 3 = 0 GROUP BY run_id),
+s AS (SELECT m.run_id, min(m.step) AS seen FROM m WHERE step % 5 = 0 GROUP BY m.run_id),
+o AS (SELECT m.run_id, string_agg(CAST(m.step AS VARCHAR), ',' ORDER BY m.step) AS steps FROM m JOIN c ON c.run_id = m.run_id JOIN s ON s.run_id = m.run_id WHERE m.step % 5 = 0 AND m.step > c.made AND s.seen > c.made GROUP BY m.run_id)
+SELECT r.run_id, w.name, '' AS calls, coalesce(n.steps, '') AS mentions, '' AS outputs FROM r CROSS JOIN w LEFT JOIN n ON n.run_id = r.run_id AND n.name = w.name
+UNION ALL SELECT r.run_id, 'shopping', coalesce(c.steps, ''), '', coalesce(o.steps, '') FROM r LEFT JOIN c ON c.run_id = r.run_id LEFT JOIN o ON o.run_id = r.run_id""".replace("\\\\-", "\\-"))
+def component_uses(spark: SparkSession, d: str) -> DataFrame:
+    m = messages(spark, d).withColumn("thinking", F.lit(""))
+    kind = lambda k, name, tools: F.struct(F.lit(k).alias("kind"), F.lit(name).alias("name"), F.array(*map(F.lit, tools)).cast("array<string>").alias("tools"))
+    added = m.select("run_id").distinct().select("run_id", F.inline(F.array(kind("mcp", "shopping", ["mcp__shopping__find"]), *[kind("skill", w, []) for w in _WORDS])))
+    found = components.component_uses(added, m, tool_turns(spark, d))
+    steps = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select("run_id", "name", steps("calls"), steps("mentions"), steps("outputs"))
+
+
 @catalog.query(f"WITH {MESSAGES} SELECT run_id, count(*) FILTER (WHERE role <> 'result') + count(*) FILTER (WHERE role = 'assistant' AND step % 2 = 0) AS messages FROM messages GROUP BY run_id")
 def chat_export(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d).withColumn("thinking", F.lit(""))
