@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import diffs, scalars
-from ..operators import components, judge, ownership, replay, rewrites
+from ..operators import components, judge, ownership, replay, rewrites, summaries
+from ..operators import delegations as handed
+from ..operators.lineage import fresh_folder
 from ..sources import sinks
 from ..streaming import imports
 from .registry import Catalog
@@ -169,6 +171,31 @@ def component_uses(spark: SparkSession, d: str) -> DataFrame:
     return found.select("run_id", "name", steps("calls"), steps("mentions"), steps("outputs"))
 
 
+@catalog.query(f"""WITH {MESSAGES}, c AS (SELECT run_id, step, step % 2 = 0 AS later, regexp_extract(text, '[a-z]+') AS handle, text FROM messages WHERE role = 'assistant'),
+r AS (SELECT *, CASE WHEN NOT later THEN step WHEN handle <> '' THEN (SELECT min(u.step) FROM messages u WHERE u.run_id = c.run_id AND u.step > c.step AND u.role IN ('system', 'user') AND contains(u.text, c.handle)) END AS result_step FROM c)
+SELECT r.run_id, r.step, r.later, r.result_step, CASE WHEN NOT later THEN length(r.text) ELSE coalesce((SELECT length(u.text) FROM messages u WHERE u.run_id = r.run_id AND u.step = r.result_step), 0) END AS chars,
+  (SELECT coalesce(string_agg(CAST(a.step AS VARCHAR), ',' ORDER BY a.step), '') FROM (SELECT step FROM messages a WHERE a.run_id = r.run_id AND a.role = 'assistant' AND a.step > r.result_step ORDER BY step LIMIT 2) a) AS reactions FROM r""")
+def delegations(spark: SparkSession, d: str) -> DataFrame:
+    """Assistant turns as calls that hand over work, every second with a report that comes later under its first word."""
+    m, word = messages(spark, d), F.regexp_extract("text", "[a-z]+", 0)
+    later = F.col("step") % 2 == 0
+    launched = F.when(word != "", F.concat(F.lit("Async agent launched, agentId: "), word)).otherwise("Async agent launched")
+    calls = m.where("role = 'assistant'").select("run_id", "step", F.col("step").alias("call_id"), F.lit("Task").alias("tool"), F.lit('{"prompt": "do it"}').alias("input"), F.when(later, launched).otherwise(F.col("text")).alias("result_text"), F.lit(None).cast("string").alias("spawned"))
+    found = handed.delegations(calls, m)
+    return found.select("run_id", "step", later.alias("later"), "result_step", F.length("result").alias("chars"), F.array_join(F.transform("next_steps", lambda x: x.cast("string")), ",").alias("reactions"))
+
+
+@catalog.query("""SELECT CAST(doc_id AS VARCHAR) AS record, CASE WHEN doc_id % 20 = 0 THEN 'new' ELSE 'old' END || ' ' || lang || ' ' || length(text) AS summary FROM documents WHERE doc_id % 33 <> 1""")
+def refreshed_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of all documents, refreshed after every twentieth has changed and every thirty-third has gone."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("record"), "lang", "text", F.length("text").alias("fingerprint"))
+    say = lambda word: lambda rows: rows.select("record", F.concat_ws(" ", F.lit(word), "lang", F.length("text")).alias("summary"))
+    kept = summaries.Summaries(spark, fresh_folder(spark, "summaries"), 8)
+    kept.refresh(docs, ["fingerprint"], say("old"))
+    now = docs.where("record % 33 <> 1").withColumn("fingerprint", F.when(F.col("record") % 20 == 0, -1).otherwise(F.col("fingerprint")))
+    return kept.refresh(now, ["fingerprint"], say("new")).select("record", "summary")
+
+
 @catalog.query(f"WITH {MESSAGES} SELECT run_id, count(*) FILTER (WHERE role <> 'result') + count(*) FILTER (WHERE role = 'assistant' AND step % 2 = 0) AS messages FROM messages GROUP BY run_id")
 def chat_export(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d).withColumn("thinking", F.lit(""))
