@@ -42,8 +42,11 @@ def residue(removed: DataFrame, messages: DataFrame, calls: DataFrame) -> DataFr
 def merged_steps(removed: DataFrame, kept: DataFrame, share: float = 0.3) -> DataFrame:
     """Removed steps of which at least ``share`` of the distinct words stand in the next kept step: merged into it."""
     words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")), lambda w: F.length(w) > 3)
-    j = removed.alias("r").join(kept.alias("k"), F.expr("r.sample_id = k.sample_id AND k.step > r.step"))
-    nearest = j.groupBy("r.sample_id", "r.step").agg(F.min_by(F.struct(F.col("k.step").alias("into"), F.col("k.text").alias("text")), "k.step").alias("n"), F.first("r.text").alias("text"))
+    both = removed.select("sample_id", "step", "text", F.lit(0).alias("_kept")).unionByName(kept.select("sample_id", "step", "text", F.lit(1).alias("_kept")))
+    # from the end, a removed step before a kept one of its number
+    w = Window.partitionBy("sample_id").orderBy(F.desc("step"), "_kept").rowsBetween(Window.unboundedPreceding, -1)
+    following = F.last(F.when(F.col("_kept") == 1, F.struct(F.col("step").alias("into"), "text")), ignorenulls=True).over(w)
+    nearest = both.withColumn("n", following).where("_kept = 0 AND n IS NOT NULL")
     have = F.size(F.array_intersect(words(F.col("text")), words(F.col("n.text"))))
     return nearest.select("sample_id", "step", F.when(have >= share * F.greatest(F.size(words(F.col("text"))), F.lit(1)), F.col("n.into")).alias("merged_into"))
 

@@ -76,7 +76,8 @@ def spans_of(files: DataFrame, order: Sequence[str], records: str = "records") -
     within = Window.partitionBy("_part").orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
     sums = dealt.groupBy("_part").agg(F.sum(records).alias("_sum"))
     # one row for each partition
-    offsets = sums.alias("p").join(sums.alias("o"), F.col("o._part") < F.col("p._part"), "left").groupBy("p._part").agg(F.coalesce(F.sum("o._sum"), F.lit(0)).alias("_offset"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     spans = dealt.withColumn("end_row", F.sum(records).over(within)).join(F.broadcast(offsets), "_part")
     return spans.withColumn("end_row", F.col("end_row") + F.col("_offset")).withColumn("start_row", F.col("end_row") - F.col(records)).drop("_part", "_offset")
 

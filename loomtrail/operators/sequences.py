@@ -189,10 +189,17 @@ def removed_items(snapshots: DataFrame, items: str = "items", order: Sequence[st
 
 def duplicate_paragraphs(texts: DataFrame, text: str = "text", order: Sequence[str] = ("step",), least: int = 60) -> DataFrame:
     """Paragraphs of at least ``least`` characters, white space folded, that occurred earlier in the run."""
-    folded = texts.select("run_id", *order, F.posexplode(F.split(text, r"\n\s*\n")).alias("nth", "raw"))
-    folded = folded.withColumn("paragraph", F.trim(F.regexp_replace("raw", r"\s+", " "))).where(F.length("paragraph") >= least)
-    w = Window.partitionBy("run_id", "paragraph").orderBy(*order, "nth")
-    return folded.withColumn("occurrence", F.row_number().over(w)).where("occurrence > 1").drop("raw")
+    said = lambda raw: F.trim(F.regexp_replace(raw, r"\s+", " "))
+    raws = F.split(text, r"\n\s*\n")
+    # only digests are sorted; the text is taken again for what occurs twice
+    each = texts.select("run_id", *order, F.posexplode(raws).alias("nth", "raw")).withColumn("_said", said(F.col("raw"))).where(F.length("_said") >= least)
+    marked = each.select("run_id", *order, "nth", F.unhex(F.sha2(F.col("_said").cast("binary"), 256)).alias("_digest"))
+    w = Window.partitionBy("run_id", "_digest").orderBy(*order, "nth")
+    again = marked.withColumn("occurrence", F.row_number().over(w)).where("occurrence > 1").drop("_digest")
+    keys = ["run_id", *order]
+    again = again.select(*[F.col(k).alias(f"_{k}") for k in keys], "nth", "occurrence")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return texts.join(again, same).select(*keys, "nth", said(F.get(raws, F.col("nth"))).alias("paragraph"), "occurrence")
 
 
 def language_mix(texts: DataFrame, text: str = "text", least_units: float = 10.0) -> DataFrame:

@@ -137,8 +137,7 @@ SELECT run_id, name, string_agg(CAST(step AS VARCHAR), ',' ORDER BY step) AS men
 def component_trace(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d).withColumn("thinking", F.lit(""))
     added = m.select("run_id").distinct().select("run_id", F.lit("tool").alias("kind"), F.explode(F.array(F.lit("the"), F.lit("thing"))).alias("name"))
-    none = m.limit(0).select("run_id", "step", F.lit("").alias("raw_name"), F.lit("").alias("input"))
-    found = replay.component_trace(added, m, none).where(F.size("mentions") > 0)
+    found = replay.component_trace(added, m, tool_turns(spark, d)).where(F.size("mentions") > 0)
     return found.select("run_id", "name", F.array_join(F.transform("mentions", lambda x: x.cast("string")), ",").alias("mentions"))
 
 
@@ -207,8 +206,8 @@ def chat_export(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query()
 def judged_steps(spark: SparkSession, d: str) -> DataFrame:
     m = messages(spark, d).withColumn("thinking", F.lit(""))
-    none = m.limit(0).select("run_id", "step", F.lit(1).alias("call_index"), F.lit(False).alias("is_error"), F.lit("").alias("result_text"))
-    return judge.flagged_steps(judge.ask(judge.step_states(m, none, scalars.clip), judge.offline_client))
+    made = tool_turns(spark, d).select("run_id", "step", "call_index", (F.col("step") % 4 == 0).alias("is_error"), F.concat("result_text", F.lit(" "), "input").alias("result_text"))
+    return judge.flagged_steps(judge.ask(judge.step_states(m, made, scalars.clip), judge.offline_client))
 
 
 @catalog.query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

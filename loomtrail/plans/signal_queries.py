@@ -40,11 +40,10 @@ def overlapping_edits_whole(spark: SparkSession, d: str) -> DataFrame:
     return changes.overlapping(rows, rows, ["order_key"], 1000).where("left_id < right_id").select("order_key", "left_id", "right_id")
 
 
-@catalog.query("""WITH c AS (SELECT o_orderkey AS position, o_orderpriority AS sample_id, o_orderstatus = 'F' AS gate_warning, o_custkey % 3 AS n, o_orderkey % 2 = 0 AS recorded FROM orders WHERE o_orderstatus <> 'P')
+@catalog.query("""WITH c AS (SELECT o_orderkey AS position, o_orderpriority AS sample_id, o_orderstatus = 'F' AS gate_warning, o_custkey % 3 AS n, o_orderkey % 2 = 0 AS recorded FROM orders)
 SELECT sample_id, position FROM c ORDER BY CASE WHEN gate_warning THEN 3 WHEN n > 0 THEN 2 WHEN NOT recorded THEN 1 ELSE 0 END DESC, sample_id, position LIMIT 100 OFFSET 50""")
 def change_review_queue(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").where("o_orderstatus <> 'P'")
-    rows = orders.select(F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("sample_id"), (F.col("o_orderstatus") == "F").alias("gate_warning"), F.array_repeat(F.lit("w"), (F.col("o_custkey") % 3).cast("int")).alias("warnings"), (F.col("o_orderkey") % 2 == 0).alias("recorded"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("sample_id"), (F.col("o_orderstatus") == "F").alias("gate_warning"), F.array_repeat(F.lit("w"), (F.col("o_custkey") % 3).cast("int")).alias("warnings"), (F.col("o_orderkey") % 2 == 0).alias("recorded"))
     return changes.review_order(rows, 100, 50).select("sample_id", "position")
 
 

@@ -78,3 +78,11 @@ def test_texts(spark):
     assert one(texts.fence, "a ``` b").startswith("````\n") and texts.step_ranges("3-5, 9") == [3, 4, 5, 9]
     with pytest.raises(ValueError, match="not a step"):
         texts.step_ranges("x")
+
+
+def test_removed_steps_merge_into_the_next_kept_one(spark):
+    schema = "sample_id string, step int, text string"
+    removed = spark.createDataFrame([("s", 2, "please read every single card"), ("s", 3, "nothing alike here"), ("s", 9, "after all others"), ("t", 1, "alone")], schema)
+    kept = spark.createDataFrame([("s", 2, "read every card"), ("s", 4, "then read every single card again"), ("s", 5, "nothing alike here")], schema)
+    got = {(r["sample_id"], r["step"]): r["merged_into"] for r in changes.merged_steps(removed, kept).collect()}
+    assert got == {("s", 2): 4, ("s", 3): None}
