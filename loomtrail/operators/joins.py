@@ -76,8 +76,12 @@ def spans_of(files: DataFrame, order: Sequence[str], records: str = "records") -
     within = Window.partitionBy("_part").orderBy(*by_order).rowsBetween(Window.unboundedPreceding, 0)
     sums = dealt.groupBy("_part").agg(F.sum(records).alias("_sum"))
     # one row for each partition
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    # sums before a partition: those of its block of partitions, and those of the blocks before, of which there are few
+    sums = sums.withColumn("_block", F.floor(F.col("_part") / 256))
+    in_block = Window.partitionBy("_block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy("_block").agg(F.sum("_sum").alias("_all"))
+    earlier = blocks.alias("p").join(blocks.alias("o"), F.col("o._block") < F.col("p._block"), "left").groupBy("p._block").agg(F.coalesce(F.sum("o._all"), F.lit(0)).alias("_earlier"))
+    offsets = sums.withColumn("_own", F.coalesce(F.sum("_sum").over(in_block), F.lit(0))).join(earlier, "_block").select("_part", (F.col("_own") + F.col("_earlier")).alias("_offset"))
     spans = dealt.withColumn("end_row", F.sum(records).over(within)).join(F.broadcast(offsets), "_part")
     return spans.withColumn("end_row", F.col("end_row") + F.col("_offset")).withColumn("start_row", F.col("end_row") - F.col(records)).drop("_part", "_offset")
 
