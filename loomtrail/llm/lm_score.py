@@ -34,8 +34,8 @@ from .tokens import pieces, split_words, xxh64
 
 #: Classes (the last one is the end of a text), members of each, rows of the class table and of each class's member table.
 CLASSES, MEMBERS, ROWS, MEMBER_ROWS = 32, 32, 1 << 14, 1 << 10
-#: Tokens whose features are looked up at once.
-BATCH = 1 << 15
+#: Tokens whose features are looked up at once, and whose gradients are summed at once.
+BATCH, SUMMED = 1 << 15, 1 << 17
 #: Of the first step: how much of a feature's log ratio its weight takes. Counts added to every row, size of later steps.
 TRUST, SMOOTH, RATE = 0.5, 50.0, 0.4
 #: Whole-number units of a probability in the sums of gradients; characters of a batch of documents.
@@ -121,33 +121,39 @@ class Gradient:
         self.weights, self.zero = weights, not weights.any()
         self.sums = np.zeros((_TABLE, CLASSES), dtype=np.int64)
         self.seen = np.zeros(_TABLE, dtype=np.int64)
+        self.right = np.zeros((_TABLE, CLASSES) if self.zero else 0, dtype=np.int64)
 
     def add(self, t: Tokens) -> None:
         word = np.flatnonzero(t.kind != _END)
         for rows, right in ((t.kind_rows, t.kind), (t.member_rows[:, word], t.member[word])):
-            if self.zero:
-                self._add_even(rows, right)
-                continue
-            for at in range(0, len(right), BATCH):
-                self._add(rows[:, at : at + BATCH], right[at : at + BATCH])
+            for at in range(0, len(right), SUMMED * (8 if self.zero else 1)):
+                if self.zero:
+                    self._add_even(rows[:, at : at + 8 * SUMMED], right[at : at + 8 * SUMMED])
+                else:
+                    self._add(rows[:, at : at + SUMMED], right[at : at + SUMMED])
+        if self.zero:
+            self.seen = self.right.sum(axis=1)
+            self.sums = (UNITS // CLASSES) * self.seen[:, None] - UNITS * self.right
 
     def _add_even(self, rows: np.ndarray, right: np.ndarray) -> None:
-        """The same at zero weights, where every outcome has the same probability."""
-        for f in rows:
-            right_of = np.bincount(f.astype(np.int64) * CLASSES + right, minlength=_TABLE * CLASSES).reshape(_TABLE, CLASSES)
-            seen = right_of.sum(axis=1)
-            self.sums += (UNITS // CLASSES) * seen[:, None] - UNITS * right_of
-            self.seen += seen
+        """The same at zero weights, where every outcome has the same probability: how often each was right is counted first."""
+        at = rows.astype(np.int64) * CLASSES + right
+        self.right += np.bincount(at.ravel(), minlength=_TABLE * CLASSES).reshape(_TABLE, CLASSES)
 
     def _add(self, rows: np.ndarray, right: np.ndarray) -> None:
-        wrong = np.rint(_probabilities(self.weights, rows) * UNITS).astype(np.int32)
+        wrong = np.empty((len(right), CLASSES), dtype=np.int32)
+        for at in range(0, len(right), BATCH):
+            wrong[at : at + BATCH] = np.rint(_probabilities(self.weights, rows[:, at : at + BATCH]) * UNITS)
         wrong[np.arange(len(right)), right] -= UNITS
+        # SUMMED units of probability fit 32 bits, so that two sums are taken at once as one of 64
+        pairs = (wrong[:, 1::2].astype(np.int64) << 32) + wrong[:, 0::2]
         for f in rows:
             order = np.argsort(f, kind="stable")
             at = np.flatnonzero(np.diff(f[order].astype(np.int32), prepend=-1))
+            both = np.add.reduceat(np.take(pairs, order, axis=0), at, axis=0)
+            low = both.astype(np.int32).astype(np.int64)
             of = f[order[at]]
-            # BATCH units of probability fit 32 bits
-            self.sums[of] += np.add.reduceat(np.take(wrong, order, axis=0), at, axis=0, dtype=np.int32)
+            self.sums[of] += np.stack([low, (both - low) >> 32], axis=2).reshape(len(of), CLASSES)
             self.seen[of] += np.diff(at, append=len(f))
 
     def rows(self) -> pa.RecordBatch:
