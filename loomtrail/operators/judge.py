@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 # fixed values: probabilities from which a question flags its step
 THRESHOLDS = {"claims_done": 0.8, "ignores_error": 0.7}
 DEFAULT_THRESHOLD = 0.5
@@ -68,6 +71,34 @@ def cacheable(answers: DataFrame) -> DataFrame:
     return answers.join(answers.groupBy("run_id").agg(F.count("p").alias("_good")).where("_good > 0").select("run_id"), "run_id", "left_semi")
 
 
+def ask_in_turn(states: DataFrame, runs: Sequence, client: Client, stop_after: int = 3, at_once: int = 3) -> tuple[DataFrame, dict]:
+    """Asks about the runs named, ``at_once`` in a job, until ``stop_after`` in a row have failed altogether: then something is broken, and
+    further requests would be paid for nothing.
+
+    Returns the answers of the runs that were reached and didn't fail (see ``cacheable``), and a report: analyzed, failed, not_run,
+    stopped. The runs named are those of one batch, whose number the caller bounds; of each a job tells only whether it failed.
+    Runs of the last job that come after the stop don't count.
+    """
+    kept, failed, streak, reached = [], [], 0, 0
+    for begin in range(0, len(runs), at_once):
+        some = list(runs[begin : begin + at_once])
+        answers = cut(ask(states.where(F.col("run_id").isin(*some)), client))
+        good = {r["run_id"]: r["good"] for r in answers.groupBy("run_id").agg(F.count("p").alias("good")).collect()}
+        for run in some:
+            reached += 1
+            # a run with nothing to ask hasn't failed
+            streak = 0 if good.get(run, 1) else streak + 1
+            failed += [run] if streak else []
+            if streak >= stop_after:
+                break
+        kept.append(cacheable(answers).where(F.col("run_id").isin(*runs[begin:reached])))
+        if streak >= stop_after:
+            break
+    none = ask(states.limit(0), client)
+    report = {"analyzed": reached - len(failed), "failed": failed, "not_run": len(runs) - reached, "stopped": streak >= stop_after}
+    return reduce(DataFrame.unionByName, kept, none), report
+
+
 def usage(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("requests"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
 

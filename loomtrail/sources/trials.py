@@ -28,19 +28,28 @@ FAILURES = {
 }
 
 
-def classify_failure(name: Column) -> Column:
-    """struct(name, status, kind, infra): what an exception or classification means; null without a name.
+def classify_failure(*names: Column) -> Column:
+    """struct(name, status, kind, infra): what names of exceptions or classifications mean, the most telling given first; null if all
+    are null or blank.
 
-    infra is null where a crashed agent may be either's doing, or where nothing is known.
+    The first that is known decides, an error of an API among them. If none is, a classification that stands in one of them names the
+    failure, else the shortest one does, and what they say tells whether the infrastructure is to blame. infra is null where a crashed
+    agent may be either's doing, or where nothing is known.
     """
-    embedded = F.regexp_extract(name, r"classification=['\"]?([a-z_]+)", 1)
-    key = F.when(embedded != "", embedded).otherwise(F.trim(name))
     table = F.create_map(*[x for k, (s, kind) in FAILURES.items() for x in (F.lit(k), F.struct(F.lit(s).alias("status"), F.lit(kind).alias("kind")))])
-    known, api = table[key], key.rlike("^Api.*Error$")
+    told = F.filter(F.array(*[F.trim(n) for n in names]), lambda n: n.isNotNull() & (n != ""))
+    embedded = lambda n: F.regexp_extract(n, r"classification=['\"]?([a-z_]+)", 1)
+    keys = F.transform(told, lambda n: F.when(embedded(n) != "", embedded(n)).otherwise(n))
+    key = F.get(F.filter(keys, lambda k: F.map_contains_key(table, k) | k.rlike("^Api.*Error$")), F.lit(0))
+    classified = F.get(F.filter(F.transform(told, embedded), lambda e: e != ""), F.lit(0))
+    shortest = F.array_min(F.transform(told, lambda n, at: F.struct(F.length(n).alias("size"), at.alias("at"), n.alias("name"))))["name"]
+    name = F.coalesce(key, classified, shortest)
+    known = F.when(key.isNotNull(), table[name])
     status = F.coalesce(known["status"], F.lit("error"))
-    kind = F.coalesce(known["kind"], F.when(api | scalars.infra_failure(name) & (embedded == ""), "infra"))
+    unknown = F.when(key.isNull() & classified.isNull() & F.exists(told, lambda n: scalars.infra_failure(n)), "infra")
+    kind = F.coalesce(known["kind"], F.when(key.isNotNull(), "infra"), unknown)
     infra = F.when(kind.isin("infra", "grader"), True).when((kind == "budget") | ((kind == "agent") & (status == "fail")), False)
-    return F.when(name.isNotNull() & (F.trim(name) != ""), F.struct(F.substring(key, 1, 120).alias("name"), status.alias("status"), kind.alias("kind"), infra.alias("infra")))
+    return F.when(F.size(told) > 0, F.struct(F.substring(name, 1, 120).alias("name"), status.alias("status"), kind.alias("kind"), infra.alias("infra")))
 
 
 def trial_outcome(score: Column, failure: Column) -> Column:

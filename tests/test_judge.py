@@ -53,3 +53,20 @@ def test_card_lines(spark):
     card = spark.createDataFrame([("all", None, 3), ("model", "b|c", 1), ("model", "a", 1), ("model", None, 2)], "facet string, value string, count long")
     lines = [x["line"] for x in sinks.card_lines(card, {"model": "Models", "role": "Roles"}).orderBy("place").collect()]
     assert lines == ["### Models", "", "| | count |", "| --- | ---: |", "|  | 2 |", "| a | 1 |", r"| b\|c | 1 |"]
+
+
+def test_a_batch_stops_after_failures_in_a_row_and_keeps_what_succeeded(spark):
+    states = spark.createDataFrame([(r, s, f"{r} {s}", ["q"]) for r in "abcdefghij" for s in (1, 2)], "run_id string, step long, state string, questions array<string>")
+
+    def client(down):
+        return lambda said: [ValueError("down") if s.split()[0] in down or s == "b 1" else {"q": 0.5} for s in said]
+
+    def batch(down, **how):
+        answers, report = judge.ask_in_turn(states, list("abcxdefghij"), client(down), **how)
+        return sorted({a["run_id"] for a in answers.collect()}), report
+
+    for at_once in (1, 2, 3, 20):
+        assert batch("cefg", at_once=at_once) == (["a", "b", "d"], {"analyzed": 4, "failed": list("cefg"), "not_run": 3, "stopped": True})
+    # one that fails in part, or has nothing to be asked, ends a row of failures
+    assert batch("acd") == (list("befghij"), {"analyzed": 8, "failed": list("acd"), "not_run": 0, "stopped": False})
+    assert judge.ask_in_turn(states, [], client(""))[1] == {"analyzed": 0, "failed": [], "not_run": 0, "stopped": False}

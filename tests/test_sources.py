@@ -158,3 +158,20 @@ def test_discovery_and_rewards(spark, tmp_path):
     good, errors = rewards.read_rewards(spark, str(tmp_path / "w"), "label")
     got = {r["task_id"]: (r["r"], r["status"], [f["id"] for f in r["failed"]]) for r in good.collect()}
     assert got == {"t1": (0.75, "pass", ["L1"]), "t2": (None, "unknown", [])} and [r["task_id"] for r in errors.collect()] == ["t3"]
+
+
+def test_the_first_known_name_of_a_failure_decides(spark):
+    from loomtrail.sources import trials
+
+    cases = [
+        (("RuntimeError: x", "AgentTimeoutError"), ("AgentTimeoutError", "fail", "budget", False)),
+        ((None, " ", "ApiOverloadedError", "AgentTimeoutError"), ("ApiOverloadedError", "error", "infra", True)),
+        (("x classification='never_seen' y", "ValueError"), ("never_seen", "error", None, None)),
+        (("x classification=reward_zero", "AgentTimeoutError"), ("reward_zero", "fail", "agent", False)),
+        (("a long message of no meaning", "OddError"), ("OddError", "error", None, None)),
+        (("NonZeroAgentExitCodeError", None), ("NonZeroAgentExitCodeError", "error", "agent", None)),
+        ((None, ""), None),
+    ]
+    for names, want in cases:
+        got = spark.range(1).select(trials.classify_failure(*[F.lit(n).cast("string") for n in names]).alias("f")).first()["f"]
+        assert (tuple(got) if got else None) == want, names
