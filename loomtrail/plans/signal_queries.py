@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..operators import changes, signals
+from ..operators import changes, signals, tool_catalog
 from .registry import Catalog
 from .tables import MESSAGES, messages, table
 
@@ -58,3 +58,18 @@ def segment_summary_sync(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query()
 def requirement_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(texts.requirement_candidates(F.col("text"))).alias("candidates"))
+
+
+@catalog.query("""WITH s AS (SELECT user_id AS run_id, CASE WHEN event_id % 11 = 0 THEN upper(event_type) ELSE event_type END AS name, 1 AS kind, event_id AS place FROM events WHERE event_id % 3 = 0
+  UNION ALL SELECT user_id, upper(event_type), 2, event_id FROM events WHERE event_id % 5 = 0 UNION ALL SELECT user_id, event_type || '!', 3, event_id FROM events WHERE event_id % 7 = 0),
+f AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS folded FROM s),
+k AS (SELECT run_id, folded, count(DISTINCT name) FILTER (WHERE kind = 1) AS called, arg_min(name, (kind, place, name)) AS first FROM f GROUP BY ALL)
+SELECT run_id, CASE WHEN called > 1 THEN f.name ELSE first END AS name, count(*) FILTER (WHERE kind = 1) AS call_count, bool_or(kind = 2) AS available_in_session, bool_or(kind = 3) AS declared, string_agg(DISTINCT f.name, ',' ORDER BY f.name) AS raw_names
+FROM f JOIN k USING (run_id, folded) GROUP BY 1, 2""")
+def tools_by_alias(spark: SparkSession, d: str) -> DataFrame:
+    """Event types as tools that are called in two spellings, listed in a third and declared in a fourth."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_type", F.col("event_id").alias("place"))
+    kind = lambda every, name, k: events.where(F.col("place") % every == 0).select("run_id", name.alias("raw_name"), F.lit("log").alias("source"), F.lit(k).alias("kind"), "place")
+    called = F.when(F.col("place") % 11 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    seen = kind(3, called, "call").unionByName(kind(5, F.upper("event_type"), "session")).unionByName(kind(7, F.concat("event_type", F.lit("!")), "declared"))
+    return tool_catalog.tool_catalog(seen).select("run_id", "name", "call_count", "available_in_session", "declared", F.array_join("raw_names", ",").alias("raw_names"))
