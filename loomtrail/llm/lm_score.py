@@ -148,11 +148,14 @@ class Gradient:
         # SUMMED units of probability fit 32 bits, so that two sums are taken at once as one of 64
         pairs = (wrong[:, 1::2].astype(np.int64) << 32) + wrong[:, 0::2]
         for f in rows:
-            order = np.argsort(f, kind="stable")
-            at = np.flatnonzero(np.diff(f[order].astype(np.int32), prepend=-1))
-            both = np.add.reduceat(np.take(pairs, order, axis=0), at, axis=0)
+            if (f == f[0]).all():
+                # the row that all tokens share
+                of, at, both = f[:1], np.zeros(1, dtype=np.int64), pairs.sum(axis=0, keepdims=True)
+            else:
+                order = np.argsort(f, kind="stable")
+                at = np.flatnonzero(np.diff(f[order].astype(np.int32), prepend=-1))
+                of, both = f[order[at]], np.add.reduceat(np.take(pairs, order, axis=0), at, axis=0)
             low = both.astype(np.int32).astype(np.int64)
-            of = f[order[at]]
             self.sums[of] += np.stack([low, (both - low) >> 32], axis=2).reshape(len(of), CLASSES)
             self.seen[of] += np.diff(at, append=len(f))
 
