@@ -49,8 +49,8 @@ class TextIndex:
         rest = [r for r in now if r["part"] not in touched]
         self._commit(now[0]["generation"] + 1, new, rest, parts, buckets, kind)
 
-    def search(self, query: str, limit: int = 50) -> DataFrame:
-        """(keys, score): the best steps with all phrases of the query, as ``search.search`` ranks them."""
+    def search(self, query: str, limit: int = 50, digits: int | None = None) -> DataFrame:
+        """(keys, score): the best steps with all phrases of the query, as ``search.search`` ranks and rounds them."""
         now = self._last()
         steps, total = sum(r["steps"] for r in now), sum(r["total"] for r in now)
         stats = self.spark.range(1).select(F.lit(steps).alias("steps"), F.lit(total / steps if steps else 0.0).alias("average"))
@@ -59,7 +59,7 @@ class TextIndex:
         for term in wanted:
             # a constant, so that other buckets aren't listed
             mine = mine | ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(now[0]["buckets"])).cast("int")) & (F.col("term") == term))
-        return search.search(self._postings(now).where(mine & (F.col("term") != "")), query, self.keys, limit, stats=stats)
+        return search.search(self._postings(now).where(mine & (F.col("term") != "")), query, self.keys, limit, stats=stats, digits=digits)
 
     def _part(self, parts: int):
         return F.pmod(F.xxhash64(F.col(self.keys[0])), F.lit(parts)).cast("int")

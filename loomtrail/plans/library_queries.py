@@ -180,7 +180,7 @@ def indexed_phrase_search(spark: SparkSession, d: str) -> DataFrame:
     index.build(steps, parts=4, buckets=8)
     longer = steps.where("run_id % 50 = 0").withColumn("text", F.concat("text", F.lit(" the of and")))
     index.replace(longer, steps.where("run_id % 50 = 7"))
-    return index.search('"the of" and').select("run_id", F.round("score", 6).alias("score"))
+    return index.search('"the of" and', digits=6)
 
 
 @catalog.query("""WITH o AS (SELECT doc_id, source AS collection, n_chars AS value, 1 AS version FROM documents UNION ALL SELECT doc_id, source, n_chars + 1, 2 FROM documents WHERE doc_id % 4 = 0),

@@ -83,3 +83,16 @@ def test_nothing_to_index(spark, tmp_path, rows):
     assert hits(index.search("quick")) == []
     index.replace(spark.createDataFrame([(1, 1, "quick")], STEPS))
     assert [h[:2] for h in hits(index.search("quick"))] == [(1, 1)]
+
+
+@pytest.mark.parametrize("name", ["indexed_phrase_search"])
+def test_scores_that_round_to_the_same_are_in_the_order_of_ids(spark, tmp_path, name):
+    import duckdb
+
+    from loomtrail.plans import catalog
+
+    # nearly all have the terms, so that scores differ in the seventh decimal only
+    texts = [(i, "the of and" + " more" * (120 - i)) for i in range(120)] + [(120, "nothing")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").execute(catalog.oracle_sql()[name]).fetchall()
+    assert [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == want
