@@ -165,7 +165,7 @@ k AS (SELECT doc_id, -(greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * tf1 * 2
 SELECT doc_id AS run_id, round(score, 6) AS score FROM k ORDER BY score, doc_id LIMIT 50""")
 def phrase_search_bm25(spark: SparkSession, d: str) -> DataFrame:
     steps = table(spark, d, "documents").select(F.col("doc_id").alias("run_id"), "text")
-    return search.search_text(steps, '"the of" and', ("run_id",)).select("run_id", F.round("score", 6).alias("score"))
+    return search.search_text(steps, '"the of" and', ("run_id",), digits=6)
 
 
 @catalog.query(rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN text || ' the of and' ELSE text END AS text FROM documents WHERE doc_id % 50 <> 7), t AS (SELECT doc_id, {_TERMS} AS w FROM d), s AS (SELECT count(*) AS n, avg(len(w)) AS av FROM t),

@@ -85,7 +85,7 @@ def test_nothing_to_index(spark, tmp_path, rows):
     assert [h[:2] for h in hits(index.search("quick"))] == [(1, 1)]
 
 
-@pytest.mark.parametrize("name", ["indexed_phrase_search"])
+@pytest.mark.parametrize("name", ["phrase_search_bm25", "indexed_phrase_search"])
 def test_scores_that_round_to_the_same_are_in_the_order_of_ids(spark, tmp_path, name):
     import duckdb
 
