@@ -34,8 +34,8 @@ from .tokens import pieces, split_words, xxh64
 
 #: Classes (the last one is the end of a text), members of each, rows of the class table and of each class's member table.
 CLASSES, MEMBERS, ROWS, MEMBER_ROWS = 32, 32, 1 << 14, 1 << 10
-#: Tokens whose features are looked up at once, and whose gradients are summed at once.
-BATCH, SUMMED = 1 << 15, 1 << 17
+#: Tokens whose features are looked up at once; tokens of a row whose gradients are summed in 32 bits at most.
+BATCH, SUMMED = 1 << 12, (1 << 18) - 1
 #: Of the first step: how much of a feature's log ratio its weight takes. Counts added to every row, size of later steps.
 TRUST, SMOOTH, RATE = 0.5, 50.0, 0.4
 #: Whole-number units of a probability in the sums of gradients; characters of a batch of documents.
@@ -105,13 +105,22 @@ def tokens(texts: list[str | None]) -> Tokens:
 
 
 def _probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The probability of every outcome for every token; kept by outcome, so that sums and largest values are taken of long rows."""
     logits = np.take(weights, rows[0], axis=0)
+    one = np.empty_like(logits)
     for f in rows[1:]:
-        logits += np.take(weights, f, axis=0)
-    logits -= logits.max(axis=1, keepdims=True)
+        # rows are below the table's length, so that nothing is clipped
+        logits += np.take(weights, f, axis=0, out=one, mode="clip")
+    logits = np.ascontiguousarray(logits.T)
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    parts = logits[:8] + logits[8:16]
+    for at in range(16, CLASSES, 8):
+        parts += logits[at : at + 8]
+    while len(parts) > 1:
+        parts = parts[::2] + parts[1::2]
+    logits /= parts
+    return logits.T
 
 
 class Gradient:
@@ -122,6 +131,8 @@ class Gradient:
         self.sums = np.zeros((_TABLE, CLASSES), dtype=np.int64)
         self.seen = np.zeros(_TABLE, dtype=np.int64)
         self.right = np.zeros((_TABLE, CLASSES) if self.zero else 0, dtype=np.int64)
+        # two sums in one number, and how many tokens one of them has at most
+        self.packed, self.most = np.zeros((CLASSES // 2, 0 if self.zero else _TABLE), dtype=np.int64), 0
 
     def add(self, t: Tokens) -> None:
         word = np.flatnonzero(t.kind != _END)
@@ -134,6 +145,8 @@ class Gradient:
         if self.zero:
             self.seen = self.right.sum(axis=1)
             self.sums = (UNITS // CLASSES) * self.seen[:, None] - UNITS * self.right
+        else:
+            self._unpack()
 
     def _add_even(self, rows: np.ndarray, right: np.ndarray) -> None:
         """The same at zero weights, where every outcome has the same probability: how often each was right is counted first."""
@@ -141,23 +154,32 @@ class Gradient:
         self.right += np.bincount(at.ravel(), minlength=_TABLE * CLASSES).reshape(_TABLE, CLASSES)
 
     def _add(self, rows: np.ndarray, right: np.ndarray) -> None:
-        wrong = np.empty((len(right), CLASSES), dtype=np.int32)
+        # so few units of probability fit 32 bits, so that two sums are taken at once as one of 64
+        pairs = np.empty((CLASSES // 2, len(right)), dtype=np.int64)
         for at in range(0, len(right), BATCH):
-            wrong[at : at + BATCH] = np.rint(_probabilities(self.weights, rows[:, at : at + BATCH]) * UNITS)
-        wrong[np.arange(len(right)), right] -= UNITS
-        # SUMMED units of probability fit 32 bits, so that two sums are taken at once as one of 64
-        pairs = (wrong[:, 1::2].astype(np.int64) << 32) + wrong[:, 0::2]
+            s = slice(at, at + BATCH)
+            wrong = np.rint(_probabilities(self.weights, rows[:, s]).T * UNITS).astype(np.int32)
+            wrong[right[s], np.arange(wrong.shape[1])] -= UNITS
+            pairs[:, s] = (wrong[1::2].astype(np.int64) << 32) + wrong[0::2]
+        dealt = np.empty(len(right), dtype=np.int64)
         for f in rows:
-            if (f == f[0]).all():
-                # the row that all tokens share
-                of, at, both = f[:1], np.zeros(1, dtype=np.int64), pairs.sum(axis=0, keepdims=True)
-            else:
-                order = np.argsort(f, kind="stable")
-                at = np.flatnonzero(np.diff(f[order].astype(np.int32), prepend=-1))
-                of, both = f[order[at]], np.add.reduceat(np.take(pairs, order, axis=0), at, axis=0)
-            low = both.astype(np.int32).astype(np.int64)
-            self.sums[of] += np.stack([low, (both - low) >> 32], axis=2).reshape(len(of), CLASSES)
-            self.seen[of] += np.diff(at, append=len(f))
+            order = np.argsort(f, kind="stable")
+            at = np.flatnonzero(np.diff(f[order].astype(np.int32), prepend=-1))
+            of, n = f[order[at]], np.diff(at, append=len(f))
+            if self.most + int(n.max()) > SUMMED:
+                self._unpack()
+            self.most += int(n.max())
+            self.seen[of] += n
+            for one, sums in zip(pairs, self.packed, strict=True):
+                # the row that all tokens share needs no order
+                sums[of] += np.add.reduceat(np.take(one, order, out=dealt, mode="clip"), at) if len(at) > 1 else one.sum()
+
+    def _unpack(self) -> None:
+        """Adds what is packed to the sums."""
+        low = self.packed.astype(np.int32).astype(np.int64)
+        self.sums[:, 0::2] += low.T
+        self.sums[:, 1::2] += ((self.packed - low) >> 32).T
+        self.packed[:], self.most = 0, 0
 
     def rows(self) -> pa.RecordBatch:
         used = np.flatnonzero(self.seen)

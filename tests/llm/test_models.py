@@ -526,3 +526,20 @@ def test_misnested_pages_take_time_in_proportion(page):
     took(1000)
     small, large = min(took(25_000) for _ in range(2)), min(took(100_000) for _ in range(2))
     assert large < 8 * small + 0.5 and large < 20
+
+
+@pytest.mark.parametrize("summed", [5, 64, lm_score.SUMMED])
+def test_gradients_are_the_plain_sums_however_many_are_packed(monkeypatch, summed):
+    monkeypatch.setattr(lm_score, "SUMMED", summed)
+    t = lm_score.tokens(["the cat of the house and the dog"] * 40 + ["", "a b c", None])
+    weights = np.random.default_rng(3).normal(size=(lm_score._TABLE, lm_score.CLASSES)).astype(np.float32)
+    sums, seen, word = np.zeros(weights.shape, dtype=np.int64), np.zeros(len(weights), dtype=np.int64), np.flatnonzero(t.kind != lm_score._END)
+    for rows, right in ((t.kind_rows, t.kind), (t.member_rows[:, word], t.member[word])):
+        wrong = np.rint(lm_score._probabilities(weights, rows) * lm_score.UNITS).astype(np.int64)
+        wrong[np.arange(len(right)), right] -= lm_score.UNITS
+        for f in rows:
+            np.add.at(sums, f, wrong)
+            np.add.at(seen, f, 1)
+    g = lm_score.Gradient(weights)
+    g.add(t)
+    assert (g.sums == sums).all() and (g.seen == seen).all()
