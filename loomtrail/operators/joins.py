@@ -130,7 +130,27 @@ def spawning_calls(children: DataFrame, calls: DataFrame) -> DataFrame:
     return joined.withColumn("launch", F.coalesce(launch, named)).select(*children.columns, F.col("launch.parent_run").alias("launched_by"), F.col("launch.step").alias("launched_at"))
 
 
-def related_runs(wanted: DataFrame, runs: DataFrame) -> DataFrame:
-    """For a stated set of runs those of other episodes with the same task."""
-    mine = wanted.where(F.col("task_key").isNotNull()).select(F.col("run_id").alias("of_run"), "task_key", F.col("episode_key").alias("_own"))
-    return runs.join(mine, "task_key").where(F.col("episode_key") != F.col("_own")).drop("_own")
+def related_runs(wanted: DataFrame, runs: DataFrame, block: int = 256) -> DataFrame:
+    """For a stated set of runs those of other episodes with the same task.
+
+    There are as many rows as pairs, which grow with the product of both sides. So that a frequent task isn't the work of one
+    task of Spark, both sides are dealt to blocks of about ``block`` rows of one task and episode, pairs of blocks are dealt
+    out evenly, and each is written out where it lies. Spark holds the rows of one pair of blocks at a time.
+    """
+    mine = _blocks(wanted.select(F.col("run_id").alias("of_run"), "task_key", F.col("episode_key").alias("_own")), "of_run", ["task_key", "_own"], "_of", block)
+    theirs = _blocks(runs, "run_id", ["task_key", "episode_key"], "_rows", block)
+    pairs = theirs.join(mine, "task_key").where(F.col("episode_key") != F.col("_own")).drop("_own")
+    # a stated number, since adaptive execution would put blocks together by their size, which is small beside what comes of them
+    dealt = pairs.repartition(max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), runs.sparkSession.sparkContext.defaultParallelism))
+    others = [c for c in runs.columns if c not in ("task_key", "episode_key")]
+    each = dealt.select("task_key", "episode_key", "_rows", F.explode("_of.of_run").alias("of_run")).select("task_key", "episode_key", "of_run", F.explode("_rows").alias("_row"))
+    return each.select("task_key", *[F.col("_row")[c].alias(c) if c in others else F.col(c) for c in runs.columns if c != "task_key"], "of_run")
+
+
+def _blocks(rows: DataFrame, id_col: str, keys: Sequence[str], into: str, block: int) -> DataFrame:
+    """For each value of the keys, none of them null, its other columns in arrays of about ``block`` rows by a hash of the id."""
+    rows = rows.where(F.col(keys[0]).isNotNull() & F.col(keys[1]).isNotNull())
+    others = F.struct(*[c for c in rows.columns if c not in keys])
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    dealt = rows.select(*keys, F.col(id_col).alias("_id"), others.alias("_row")).join(blocks, list(keys)).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+    return dealt.groupBy(*keys, "_block").agg(F.collect_list("_row").alias(into)).drop("_block")

@@ -292,3 +292,21 @@ def test_an_episode_as_a_tree(spark):
         ("main", 0, "r1", None, False), ("segment", 2, "r2", None, False), ("missing", 3, None, None, False), ("segment", 4, "r4", None, True),
         ("subagent", 0, "s2", "r1", False), ("subagent", 0, "s1", "r2", False),
     ]
+
+
+def test_related_runs_of_one_task_are_dealt_out(spark):
+    rows = [(i, None if i % 97 == 0 else "one", None if i % 89 == 0 else f"e{i % 7}", f"v{i}") for i in range(2000)] + [(2000, "two", "e1", "v"), (2001, "two", "e2", "v"), (2001, "two", "e2", "v")]
+    runs = spark.createDataFrame(rows, "run_id int, task_key string, episode_key string, more string").repartition(4)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.related_runs(runs.where("run_id % 10 = 0"), runs)
+        assert got.columns == ["task_key", "run_id", "episode_key", "more", "of_run"]
+        parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        found = sorted(tuple(r) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    want = sorted((t, b, e, m, a) for a, of, own, _ in rows if a % 10 == 0 for b, t, e, m in rows if None not in (t, e, own) and t == of and e != own)
+    assert found == want
+    # the task that nearly all runs have isn't the work of one partition
+    assert max(parts) < len(want) / 2
