@@ -310,3 +310,18 @@ def test_related_runs_of_one_task_are_dealt_out(spark):
     assert found == want
     # the task that nearly all runs have isn't the work of one partition
     assert max(parts) < len(want) / 2
+
+
+def test_differences_are_sent_in_runs(spark):
+    import pandas as pd
+
+    long = " ".join(f"w{i}" for i in range(800))
+    old, new = pd.Series([long, None, "x"] * 100), pd.Series([f"{long} z", "y", None] * 100)
+    runs = list(diffs.word_diff_of.func(iter([(old, new), (old[:0], new[:0])])))
+    # a batch of Arrow isn't held at once, and nothing is lost or moved
+    assert max(map(len, runs)) < 100 and sum(map(len, runs)) == 300
+    assert runs[0][1] == [{"op": "added", "text": "y"}] and runs[0][2] == [{"op": "removed", "text": "x"}]
+    rows = [(i, f"a b {i} c\nd", f"a x {i} c\ne\nf") for i in range(300)] + [(300, None, "y"), (301, "x", None), (302, None, None)]
+    got = spark.createDataFrame(rows, "i int, a string, b string").repartition(2).select("i", diffs.word_diff_of("a", "b").alias("d"), diffs.line_delta("a", "b").alias("n"), F.size(diffs.regions_of("a", "b")).alias("r")).collect()
+    want = {i: (diffs.word_diff(a or "", b or ""), diffs.line_counts(a or "", b or ""), len(diffs.regions(a or "", b or ""))) for i, a, b in rows}
+    assert {r["i"]: ([tuple(x) for x in r["d"]], tuple(r["n"]), r["r"]) for r in got} == want
