@@ -65,6 +65,12 @@ class Tokens:
         return self.kind * MEMBERS + self.member
 
 
+def _remainder(values: np.ndarray, by: int) -> np.ndarray:
+    """Of numbers below 2**32, from the quotient, which numpy takes of many at once."""
+    values = values.astype(np.uint32)
+    return values - values // np.uint32(by) * np.uint32(by)
+
+
 def tokens(texts: list[str | None]) -> Tokens:
     words = split_words(texts)
     n = np.diff(words.first) + 1
@@ -77,9 +83,9 @@ def tokens(texts: list[str | None]) -> Tokens:
     ending[is_word] = words.data[words.end - 1].astype(np.uint64) * np.uint64(256) + words.data[words.end - 2]
     with np.errstate(over="ignore"):
         mixed = (ending * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-        kind = (mixed % np.uint64(_END)).astype(np.int64)
+        kind = _remainder(mixed, _END).astype(np.int64)
         kind[ends] = _END
-        member = ((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(35)).astype(np.int64) % MEMBERS
+        member = _remainder((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(35), MEMBERS).astype(np.int64)
         member[ends] = 0
         before = [np.full(len(text), back, dtype=np.uint64) for back in range(4)]
         nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
@@ -98,18 +104,19 @@ def tokens(texts: list[str | None]) -> Tokens:
     first[ends] = 0
     member_rows[0] = first
     for f, h in enumerate(hashed, 1):
-        kind_rows[f] = 1 + h % np.uint64(ROWS - 1)
+        kind_rows[f] = 1 + _remainder(h, ROWS - 1)
     for f, h in enumerate(member_hashed, 1):
-        member_rows[f] = first + 1 + (h % np.uint64(MEMBER_ROWS - 1)).astype(np.int64)
+        member_rows[f] = first + 1 + _remainder(h, MEMBER_ROWS - 1)
     return Tokens(word, kind, member, text, kind_rows, member_rows)
 
 
-def _probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The probability of every outcome for every token; kept by outcome, so that sums and largest values are taken of long rows."""
-    logits = np.take(weights, rows[0], axis=0)
-    one = np.empty_like(logits)
+def _exponents(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every outcome and token the exponent of its logit above the token's largest, and for every token the sum of those;
+    kept by outcome, so that sums and largest values are taken of long rows."""
+    # rows are below the table's length, so that nothing is clipped
+    logits, one = np.empty((2, rows.shape[1], CLASSES), dtype=weights.dtype)
+    np.take(weights, rows[0], axis=0, out=logits, mode="clip")
     for f in rows[1:]:
-        # rows are below the table's length, so that nothing is clipped
         logits += np.take(weights, f, axis=0, out=one, mode="clip")
     logits = np.ascontiguousarray(logits.T)
     logits -= logits.max(axis=0)
@@ -119,8 +126,26 @@ def _probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
         parts += logits[at : at + 8]
     while len(parts) > 1:
         parts = parts[::2] + parts[1::2]
-    logits /= parts
-    return logits.T
+    return logits, parts[0]
+
+
+def _probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The probability of every outcome for every token."""
+    exponents, total = _exponents(weights, rows)
+    exponents /= total
+    return exponents.T
+
+
+def _log_right(weights: np.ndarray, rows: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The log10 probability of every token's own outcome, with what is read for its second row lying together."""
+    out = np.empty(len(right))
+    order = np.argsort(rows[1], kind="stable")
+    rows, right = np.take(rows, order, axis=1), right[order]
+    for at in range(0, len(right), BATCH):
+        exponents, total = _exponents(weights, rows[:, at : at + BATCH])
+        own = exponents.reshape(-1)[right[at : at + BATCH] * len(total) + np.arange(len(total))] / total
+        out[order[at : at + BATCH]] = np.log10(np.maximum(own.astype(np.float64), 1e-30))
+    return out
 
 
 class Gradient:
@@ -154,25 +179,38 @@ class Gradient:
         self.right += np.bincount(at.ravel(), minlength=_TABLE * CLASSES).reshape(_TABLE, CLASSES)
 
     def _add(self, rows: np.ndarray, right: np.ndarray) -> None:
+        # tokens by the second of their rows, and so by the first, which is the table's or the class's own
+        order = np.argsort(rows[1], kind="stable")
+        rows, right = np.take(rows, order, axis=1), right[order]
         # so few units of probability fit 32 bits, so that two sums are taken at once as one of 64
         pairs = np.empty((CLASSES // 2, len(right)), dtype=np.int64)
         for at in range(0, len(right), BATCH):
             s = slice(at, at + BATCH)
-            wrong = np.rint(_probabilities(self.weights, rows[:, s]).T * UNITS).astype(np.int32)
-            wrong[right[s], np.arange(wrong.shape[1])] -= UNITS
+            wrong = _probabilities(self.weights, rows[:, s]).T
+            wrong *= UNITS
+            wrong = np.rint(wrong, out=wrong).astype(np.int32)
+            wrong.reshape(-1)[right[s] * wrong.shape[1] + np.arange(wrong.shape[1])] -= UNITS
             pairs[:, s] = (wrong[1::2].astype(np.int64) << 32) + wrong[0::2]
-        dealt = np.empty(len(right), dtype=np.int64)
-        for f in rows:
-            order = np.argsort(f, kind="stable")
-            at = np.flatnonzero(np.diff(f[order].astype(np.int32), prepend=-1))
-            of, n = f[order[at]], np.diff(at, append=len(f))
-            if self.most + int(n.max()) > SUMMED:
+        dealt, upto = np.empty(len(right), dtype=np.int64), np.zeros(len(right) + 1, dtype=np.int64)
+        for own in (rows[:2], *rows[2:, None]):
+            order = np.argsort(own[0], kind="stable") if len(own) == 1 else None
+            # of each part of the table the first row, and how many tokens the rows from there have
+            parts = [(int(f.min()), np.bincount(f - f.min())) for f in own]
+            # no row is in two parts
+            most = max(int(n.max()) for _, n in parts)
+            if self.most + most > SUMMED:
                 self._unpack()
-            self.most += int(n.max())
-            self.seen[of] += n
+            self.most += most
+            for first, n in parts:
+                self.seen[first : first + len(n)] += n
+            ends = [(first, np.cumsum(n)) for first, n in parts]
             for one, sums in zip(pairs, self.packed, strict=True):
-                # the row that all tokens share needs no order
-                sums[of] += np.add.reduceat(np.take(one, order, out=dealt, mode="clip"), at) if len(at) > 1 else one.sum()
+                np.cumsum(one if order is None else np.take(one, order, out=dealt, mode="clip"), out=upto[1:])
+                # differences of running sums, which are right even where those pass 64 bits
+                for first, end in ends:
+                    until = np.take(upto, end)
+                    sums[first : first + len(end)] += until
+                    sums[first + 1 : first + len(end)] -= until[:-1]
 
     def _unpack(self) -> None:
         """Adds what is packed to the sums."""
@@ -265,13 +303,9 @@ def _unpack(packed: bytes, kind: np.dtype | type) -> np.ndarray:
 
 def predictions(weights: np.ndarray, t: Tokens) -> np.ndarray:
     """The log10 probability of every token's class and member."""
-    out = np.zeros(len(t.kind))
-    for at in range(0, len(out), BATCH):
-        s = slice(at, at + BATCH)
-        kind, member = t.kind[s], t.member[s]
-        nth, word = np.arange(len(kind)), np.flatnonzero(kind != _END)
-        out[s] = np.log10(np.maximum(_probabilities(weights, t.kind_rows[:, s])[nth, kind].astype(np.float64), 1e-30))
-        out[s][word] += np.log10(np.maximum(_probabilities(weights, t.member_rows[:, s][:, word])[np.arange(len(word)), member[word]].astype(np.float64), 1e-30))
+    word = np.flatnonzero(t.kind != _END)
+    out = _log_right(weights, t.kind_rows, t.kind)
+    out[word] += _log_right(weights, t.member_rows[:, word], t.member[word])
     return out
 
 
@@ -286,12 +320,14 @@ def _batch_row(number: int, texts: list[str | None], documents: np.ndarray, weig
         real = t.kind != _END
         parts.append((t.word[real], t.cell[real].astype(np.int16), t.text[real] + at))
     word, cell, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-    word, first, inverse = np.unique(word, return_index=True, return_inverse=True)
+    word, inverse = np.unique(word, return_inverse=True)
+    cells = np.empty(len(word), dtype=np.int16)
+    cells[inverse] = cell
     pair, count = np.unique(inverse * len(texts) + text, return_counts=True)
     of, text = pair // len(texts), pair % len(texts)
     trained = np.bincount(of, weights=count * ~documents["out"][text], minlength=len(word)).astype(np.int32)
     spread = np.bincount(of, minlength=len(word)).astype(np.uint32)
-    return (number, word.view(np.int64), trained, cell[first], _pack(documents), _pack(spread), _pack(text.astype(np.uint32)), _pack(count.astype(np.uint32)))
+    return (number, word.view(np.int64), trained, cells, _pack(documents), _pack(spread), _pack(text.astype(np.uint32)), _pack(count.astype(np.uint32)))
 
 
 def _finish(n_tokens: int, n_texts: int, log_cell: np.ndarray, log_base: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -543,3 +543,18 @@ def test_gradients_are_the_plain_sums_however_many_are_packed(monkeypatch, summe
     g = lm_score.Gradient(weights)
     g.add(t)
     assert (g.sums == sums).all() and (g.seen == seen).all()
+
+
+def test_tokens_are_ordered_once_for_what_lies_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    t = lm_score.tokens([" ".join(f"w{n}" for n in rng.zipf(1.5, size)) for size in (0, 1, 3, 9000)] + [None, "é a"])
+    weights = rng.normal(size=(lm_score._TABLE, lm_score.CLASSES)).astype(np.float32)
+    word, want = np.flatnonzero(t.kind != lm_score._END), np.zeros(len(t.kind))
+    for own, rows, right in ((slice(None), t.kind_rows, t.kind), (word, t.member_rows[:, word], t.member[word])):
+        want[own] += np.log10(lm_score._probabilities(weights, rows)[np.arange(len(right)), right].astype(np.float64))
+    assert lm_score.predictions(weights, t) == pytest.approx(want, rel=1e-12)
+    sorts, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(len(a[0])) or argsort(*a, **k))
+    lm_score.Gradient(weights).add(t)
+    # each table once, and again only for the third row and those after it
+    assert sorts == [len(t.kind)] * 4 + [len(word)] * 3
