@@ -35,7 +35,7 @@ from .tokens import pieces, split_words, xxh64
 #: Classes (the last one is the end of a text), members of each, rows of the class table and of each class's member table.
 CLASSES, MEMBERS, ROWS, MEMBER_ROWS = 32, 32, 1 << 14, 1 << 10
 #: Tokens whose features are looked up at once; tokens of a row whose gradients are summed in 32 bits at most.
-BATCH, SUMMED = 1 << 12, (1 << 18) - 1
+BATCH, SUMMED = 1 << 11, (1 << 18) - 1
 #: Of the first step: how much of a feature's log ratio its weight takes. Counts added to every row, size of later steps.
 TRUST, SMOOTH, RATE = 0.5, 50.0, 0.4
 #: Whole-number units of a probability in the sums of gradients; characters of a batch of documents.
