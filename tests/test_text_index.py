@@ -96,3 +96,44 @@ def test_scores_that_round_to_the_same_are_in_the_order_of_ids(spark, tmp_path,
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").execute(catalog.oracle_sql()[name]).fetchall()
     assert [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()] == want
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    plan = search.postings(spark.createDataFrame(steps_of(6, range(3)), STEPS))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def agrees(spark, index, rows):
+    for query in ["quick", '"quick brown"']:
+        assert hits(index.search(query)) == hits(search.search_text(spark.createDataFrame(rows, STEPS), query)), query
+
+
+def test_a_replacement_writes_only_its_own_runs(spark, tmp_path):
+    rows = steps_of(7, range(30))
+    index = TextIndex(spark, str(tmp_path))
+    index.build(spark.createDataFrame(rows, STEPS), parts=1, buckets=2)
+    new = steps_of(8, [4])
+    index.replace(spark.createDataFrame(new, STEPS), spark.createDataFrame([(9,)], "run_id int"))
+    written = spark.read.parquet(f"{tmp_path}/postings").where(search.F.col("version") == index._last()[-1]["version"])
+    assert {r["run_id"] for r in written.select("run_id").distinct().collect()} == {4}
+    agrees(spark, index, [r for r in rows if r[0] not in (4, 9)] + new)
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_a_part_of_many_versions_is_written_whole(spark, tmp_path, monkeypatch, before):
+    monkeypatch.setattr("loomtrail.operators.text_index.VERSIONS", 2)
+    rows = steps_of(9, range(12))
+    index = TextIndex(spark, str(tmp_path / "new"))
+    index.build(spark.createDataFrame(rows, STEPS), parts=1, buckets=2)
+    if before:
+        # as it was written when a part had one version, and an empty term only for steps without terms
+        spark.read.parquet(f"{index.path}/postings").where("term <> '' OR size = 0").write.partitionBy("part", "version", "bucket").parquet(f"{tmp_path}/old/postings")
+        spark.read.parquet(f"{index.path}/commits").drop("since").write.parquet(f"{tmp_path}/old/commits")
+        index = TextIndex(spark, str(tmp_path / "old"))
+    for n in range(3):
+        # 1 is replaced each time, 5 goes and comes back
+        new, gone = steps_of(10 + n, [1] if n < 2 else [1, 5]), [5] if n == 0 else []
+        index.replace(spark.createDataFrame(new, STEPS), spark.createDataFrame([(r,) for r in gone], "run_id int"))
+        rows = [r for r in rows if r[0] not in {1, *gone, *(x[0] for x in new)}] + new
+        assert len(index._last()) <= 2
+        agrees(spark, index, rows)
