@@ -62,7 +62,7 @@ class TextIndex:
         left = [r for p in touched if len(held[p]) < VERSIONS for r in held[p]]
         lost = self._sizes(left).join(named.select(run), run, "left_semi").groupBy("part").agg((-F.count("*")).alias("steps"), (-F.sum("size")).alias("total"))
         names = named.select(F.col(run).cast(StructType.fromDDL(kind)[run].dataType).alias(run), "part", F.lit(version).alias("version"))
-        names.repartition("part").write.mode("append").partitionBy("part", "version").parquet(f"{self.path}/gone")
+        names.hint("rebalance", "part").write.mode("append").partitionBy("part", "version").parquet(f"{self.path}/gone")
         change = self._added(version, kind, buckets).unionByName(lost).groupBy("part").agg(F.sum("steps").alias("steps"), F.sum("total").alias("total"))
         # a row for each part
         changed = {r["part"]: r for r in change.collect()}
